@@ -106,31 +106,59 @@ def with_islands(
     ).drop("_head")
 
 
-def merge_windows(
-    windows: DataFrame,
-    keys: list[str],
-    gap: Column,
-    width: float = CHUNK_SECONDS,
-) -> DataFrame:
-    """Merge overlapping or nearly touching windows (``start, end, labels``) per key.
+def local_runs(windows: DataFrame, keys: list[str], gap: Column, width: float = CHUNK_SECONDS) -> DataFrame:
+    """Runs merged inside each ``(keys, chunk)``: the only pass over the windows themselves.
 
     Copies of a window collapse before anything is ordered.
     """
-    distinct = windows.groupBy(*keys, "start").agg(
-        F.max("end").alias("end"),
-        F.array_distinct(F.flatten(F.collect_set("labels"))).alias("labels"),
+    distinct = windows.groupBy(*keys, "start").agg(F.max("end").alias("end"), _label_union().alias("labels"))
+    spec = Window.partitionBy(*keys, "_chunk").orderBy("start")
+    reach = F.max("end").over(spec.rowsBetween(*_BEFORE))
+    return (
+        distinct.withColumn("_chunk", _cell(F.col("start"), width))
+        .withColumn("_reach", reach)
+        .withColumn("_opens", F.when(F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap), F.col("start")))
+        .withColumn("_run", F.max("_opens").over(spec.rowsBetween(*_UP_TO_HERE)))
+        .groupBy(*keys, "_chunk", "_run")
+        .agg(F.max("end").alias("end"), _label_union().alias("labels"))
+        .withColumnRenamed("_run", "start")
+    )
+
+
+def _label_union() -> Column:
+    return F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels"))))
+
+
+def join_runs(runs: DataFrame, keys: list[str], gap: Column) -> DataFrame:
+    """Join ``local_runs`` across chunk borders.
+
+    A run continues an earlier one when it starts within ``gap`` of the furthest end of all
+    earlier chunks.  Runs of a chunk ascend, so if any of them opens a window the last does;
+    one summary row per chunk is therefore enough to name the window that later runs continue.
+    """
+    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*_BEFORE)
+    chunks = (
+        runs.groupBy(*keys, "_chunk").agg(F.max("end").alias("_end"), F.max("start").alias("_last"))
+        .withColumn("_reach", F.max("_end").over(across))
+        .withColumn("_open", F.when(F.col("_reach").isNull() | (F.col("_last") > F.col("_reach") + gap), F.col("_last")))
+        .withColumn("_current", F.max("_open").over(across))
+        .select(*keys, "_chunk", "_reach", "_current")
     )
+    opens = F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap)
     return (
-        with_islands(distinct, keys, gap, width=width)
-        .groupBy(*keys, "island")
-        .agg(
-            F.max("end").alias("end"),
-            F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"),
-        )
-        .withColumnRenamed("island", "start")
+        runs.join(chunks, [*keys, "_chunk"])
+        .withColumn("_window", F.when(opens, F.col("start")).otherwise(F.col("_current")))
+        .groupBy(*keys, "_window")
+        .agg(F.max("end").alias("end"), _label_union().alias("labels"))
+        .withColumnRenamed("_window", "start")
     )
 
 
+def merge_windows(windows: DataFrame, keys: list[str], gap: Column, width: float = CHUNK_SECONDS) -> DataFrame:
+    """Merge overlapping or nearly touching windows (``start, end, labels``) per key."""
+    return join_runs(local_runs(windows, keys, gap, width), keys, gap)
+
+
 # -- range joins --------------------------------------------------------------------------
 
 def _spread(df: DataFrame, start: str, end: str, width: float, tag: str) -> DataFrame:

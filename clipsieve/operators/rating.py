@@ -10,6 +10,7 @@ from clipsieve.config import ScoringConfig
 from clipsieve.functions import scalars as S
 from clipsieve.operators import intervals as I
 from clipsieve.operators.ranking import ranked
+from clipsieve.session import cut_lineage
 
 SEEDING_KINDS = ("motorsports_event", "topic_cluster", "ai_frame_score")
 
@@ -402,12 +403,12 @@ def playable_assets(assets: DataFrame) -> DataFrame:
     return assets.where((F.col("status") == "ok") & (F.col("duration") > 0))
 
 
-def fallback_windows(assets: DataFrame, seeds: DataFrame) -> DataFrame:
+def fallback_windows(assets: DataFrame, seeded: DataFrame) -> DataFrame:
     """Playable sources without any seed get their opening seconds."""
     return (
         playable_assets(assets)
         .withColumn("source", F.col("filepath"))
-        .join(seeds.select("source").distinct(), "source", "left_anti")
+        .join(seeded.select("source").distinct(), "source", "left_anti")
         .select(
             "source", F.lit(0.0).alias("start"), F.least("duration", F.lit(12.0)).alias("end"),
             F.array(F.lit("low_signal")).alias("labels"),
@@ -415,20 +416,25 @@ def fallback_windows(assets: DataFrame, seeds: DataFrame) -> DataFrame:
     )
 
 
-def candidate_windows(
-    assets: DataFrame, seeds: DataFrame, gap: float, width: float = I.CHUNK_SECONDS
-) -> DataFrame:
-    """Seeds and fallbacks clamped to the file, merged, and at least one second long."""
+def clamped_seeds(assets: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Seeds of playable files, cut to the file's extent."""
     durations = playable_assets(assets).select(F.col("filepath").alias("source"), "duration")
-    clamped = (
-        seeds.unionByName(fallback_windows(assets, seeds))
-        .join(durations, "source")
-        .select(
-            "source", S.clamp_start("start", "duration").alias("start"),
-            S.clamp_end("start", "end", "duration").alias("end"), "labels",
-        )
+    kept = [c for c in seeds.columns if c not in ("start", "end")]
+    return seeds.join(durations, "source").select(
+        *kept, S.clamp_start("start", "duration").alias("start"), S.clamp_end("start", "end", "duration").alias("end")
     )
-    return I.merge_windows(clamped, ["source"], F.lit(float(gap)), width).where(F.col("end") - F.col("start") >= 1.0)
+
+
+def candidate_windows(assets: DataFrame, seeds: DataFrame, gap: float, width: float = I.CHUNK_SECONDS) -> DataFrame:
+    """Seeds clamped to the file and merged, plus fallbacks; each at least one second long.
+
+    The runs merged inside each time chunk are materialised once: the chunk summaries, the
+    final merge and the search for unseeded files all read them instead of the signals.
+    """
+    step = F.lit(float(gap))
+    runs = cut_lineage(I.local_runs(clamped_seeds(assets, seeds), ["source"], step, width))
+    merged = I.join_runs(runs, ["source"], step)
+    return merged.unionByName(fallback_windows(assets, runs)).where(F.col("end") - F.col("start") >= 1.0)
 
 
 # -- window scores -------------------------------------------------------------------------
