@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import checks.evaluation  # noqa: F401  (its views are used here)
 from checks.registry import flat, query, r4
 from checks.views import view, with_views
 from clipsieve.config import ScoringConfig
@@ -120,7 +121,8 @@ def review_rows(spark, sf):
 
 @query("A16_hit_summaries", with_views("cands", "clip_objects", "clip_advanced") + """
 , o AS (SELECT "rank", string_agg(class_name || ' x' || total, ', ' ORDER BY class_name) AS text FROM (
-    SELECT "rank", class_name, sum(greatest(1, cnt)) AS total, row_number() OVER (PARTITION BY "rank" ORDER BY class_name) AS k FROM clip_objects WHERE n <= 20 GROUP BY ALL) WHERE k <= 6 GROUP BY "rank")
+    SELECT *, row_number() OVER (PARTITION BY "rank" ORDER BY class_name) AS k FROM (
+      SELECT "rank", class_name, sum(greatest(1, cnt)) AS total FROM clip_objects WHERE n <= 20 GROUP BY "rank", class_name)) WHERE k <= 6 GROUP BY "rank")
 , a AS (SELECT "rank", string_agg(kind || ' x' || total, ', ' ORDER BY kind) AS text FROM (
     SELECT "rank", kind, count(*) AS total FROM clip_advanced WHERE n <= 20 GROUP BY ALL) GROUP BY "rank")
 , l AS (SELECT "rank", array_to_string(list_sort(list_distinct(list(model_label)))[1:6], ', ') AS text FROM clip_advanced WHERE n <= 20 AND kind = 'ai_frame_score' GROUP BY "rank")

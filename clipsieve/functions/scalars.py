@@ -231,6 +231,11 @@ def joined(array, separator: str) -> Column:
     return F.coalesce(F.array_join(col(array), separator), F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once per row, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 # -- arrays, maps, numbers ----------------------------------------------------------------
 
 def empty_strings() -> Column:

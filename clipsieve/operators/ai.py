@@ -12,6 +12,7 @@ from clipsieve import schemas
 from clipsieve.functions import scalars as S, vocab as V
 from clipsieve.operators import evaluate as E, intervals as I
 from clipsieve.operators.ranking import global_rank
+from clipsieve.session import cut_lineage
 
 # Prompts shipped to every frame as one array; a larger bank is scored in blocks of this size.
 PROMPT_BLOCK = 512
@@ -89,25 +90,33 @@ def score_frames(frames: DataFrame, prompts: DataFrame, min_score: float = 0.22,
         keys = [c for c in frames.columns if c != "vector"]
         parts = rows.join(blocks, "profile").withColumn("_logits", logits)
         scored = parts.groupBy(*keys).agg(F.flatten(F.collect_list("_logits")).alias("_logits"))
-    peak = F.array_max(F.transform("_logits", lambda p: p["logit"]))
-    shifted = F.transform("_logits", lambda p: F.exp(p["logit"] - F.col("_peak")))
-    total = F.aggregate("_shifted", F.lit(0.0), lambda a, x: a + x)
-    ranked = F.array_sort(F.zip_with("_logits", "_shifted", lambda p, e: F.struct(
-        (-F.bround(e / F.col("_total"), 4)).alias("down"), p["id"].alias("id"), p["label"].alias("label"), p["prompt"].alias("prompt"), p["intent"].alias("intent"),
-    )))
-    prompt_scores = F.transform(ranked, lambda p: F.struct(
-        p["id"].alias("id"), p["label"].alias("label"), p["prompt"].alias("prompt"), p["intent"].alias("intent"), (-p["down"]).alias("score")))
-    over = F.array_sort(F.array_distinct(F.transform(F.filter("prompt_scores", lambda p: p["score"] >= min_score), lambda p: p["label"])))
-    top = F.try_element_at("prompt_scores", F.lit(1))
+    # One struct computed in one place: later filters on its fields do not repeat the inner steps.
     return (
-        scored.withColumn("_peak", peak).withColumn("_shifted", shifted).withColumn("_total", total)
-        .withColumn("prompt_scores", prompt_scores)
-        .withColumns({
-            "top_score": F.coalesce(top["score"], F.lit(0.0)), "top_label": F.coalesce(top["label"], F.lit("ai_frame_score")),
-            "labels": F.when(F.size(over) > 0, over).otherwise(F.array_compact(F.array(top["label"]))),
-            "explanation": F.concat(top["label"], F.lit(" from prompt: "), top["prompt"]),
-        })
-        .drop("_unit", "_prompts", "_logits", "_peak", "_shifted", "_total", "vector")
+        scored.withColumn("_s", S.let(F.col("_logits"), lambda l: S.let(_softmax(l), lambda p: _frame_struct(p, min_score))))
+        .select(*[c for c in frames.columns if c != "vector"], "_s.*")
+    )
+
+
+def _softmax(logits: Column) -> Column:
+    """Prompts with their share of the softmax, strongest first, then by id."""
+    def shares(peak: Column) -> Column:
+        return S.let(F.transform(logits, lambda p: F.exp(p["logit"] - peak)), lambda e: S.let(
+            F.aggregate(e, F.lit(0.0), lambda a, x: a + x), lambda total: F.zip_with(logits, e, lambda p, x: F.struct(
+                (-F.bround(x / total, 4)).alias("down"), p["id"].alias("id"), p["label"].alias("label"), p["prompt"].alias("prompt"), p["intent"].alias("intent")))))
+
+    ordered = F.array_sort(S.let(F.array_max(F.transform(logits, lambda p: p["logit"])), shares))
+    return F.transform(ordered, lambda p: F.struct(
+        p["id"].alias("id"), p["label"].alias("label"), p["prompt"].alias("prompt"), p["intent"].alias("intent"), (-p["down"]).alias("score")))
+
+
+def _frame_struct(prompts: Column, min_score: float) -> Column:
+    top = F.try_element_at(prompts, F.lit(1))
+    over = F.array_sort(F.array_distinct(F.transform(F.filter(prompts, lambda p: p["score"] >= min_score), lambda p: p["label"])))
+    return F.struct(
+        prompts.alias("prompt_scores"), F.coalesce(top["score"], F.lit(0.0)).alias("top_score"),
+        F.coalesce(top["label"], F.lit("ai_frame_score")).alias("top_label"),
+        F.when(F.size(over) > 0, over).otherwise(F.array_compact(F.array(top["label"]))).alias("labels"),
+        F.concat(top["label"], F.lit(" from prompt: "), top["prompt"]).alias("explanation"),
     )
 
 
@@ -129,8 +138,12 @@ def as_advanced_hits(scored: DataFrame) -> DataFrame:
 
 # -- missed moments ------------------------------------------------------------------------
 
-def _best_prompts(matches: Column) -> Column:
+def _best_prompts(all_matches: Column) -> Column:
     """Best score per prompt key, strongest first, at most six; earlier entries win ties."""
+    return S.let(all_matches, _best_of)
+
+
+def _best_of(matches: Column) -> Column:
     key = lambda m: F.coalesce(F.nullif(m["id"], F.lit("")), F.nullif(m["prompt"], F.lit("")), m["label"])
     names = F.array_distinct(F.transform(matches, key))
     best = lambda n: F.aggregate(
@@ -164,7 +177,8 @@ def missed_moments(
     """
     strong = frames.where((F.col("top_score") >= min_score) & (F.size("labels") > 0))
     covering = E.predicted_positive(candidates).select("source", "start", "end")
-    open_frames = I.uncovered_points(strong, covering, ["source"])
+    # Read by every branch below, so frames are scored once.
+    open_frames = cut_lineage(I.uncovered_points(strong, covering, ["source"]))
     near = E.nearest_to_point(open_frames.select("frame_id", "source", "time"), candidates).select(
         "frame_id", F.when(F.col("near_id").isNotNull(), F.struct(
             F.col("near_id").alias("id"), F.col("near_action").alias("action"), F.col("near_score").alias("score"))).alias("existing")
@@ -174,6 +188,7 @@ def missed_moments(
         F.col("top_score").alias("confidence"), "labels", F.slice("prompt_scores", 1, 4).alias("matches"),
         F.coalesce(F.nullif(F.col("explanation"), F.lit("")), F.lit("AI frame score above threshold")).alias("reason"), "existing", "time",
     )
+    rows = cut_lineage(rows)
     islands = I.with_islands(rows, ["source"], F.lit(float(merge_gap)))
     item = F.struct("start", "time", "matches", "reason", "existing")
     grouped = islands.groupBy("source", "island").agg(

@@ -241,11 +241,12 @@ def evaluate(annotations: DataFrame, candidates: DataFrame) -> Evaluation:
     """``candidates`` carry ``rank, id, source, start, end, score, action``; sources already resolved."""
     matches = cut_lineage(greedy_match(annotations, candidates))
     positives = positive_annotations(annotations)
-    missed = positives.join(matches.select("ann_index"), "ann_index", "left_anti")
+    # Both are read by the counts and by every branch of the nearest search.
+    missed = cut_lineage(positives.join(matches.select("ann_index"), "ann_index", "left_anti"))
     unused = predicted_positive(candidates).join(
         matches.select(F.col("cand_rank").alias("rank")), "rank", "left_anti"
     )
-    false_positives = outside_ignored(unused, annotations)
+    false_positives = cut_lineage(outside_ignored(unused, annotations))
     tally = lambda df, kind: df.select(F.lit(kind).alias("kind"))
     counts = (
         tally(matches, "tp").unionByName(tally(missed, "miss")).unionByName(tally(false_positives, "fp"))

@@ -21,10 +21,17 @@ def _flags(names: Column, prefix: str) -> Column:
 
 
 def _last_wins(entries: Column) -> Column:
-    """A map from entries; equal keys come from equal spellings, so any copy of a flag will do."""
-    keys = F.array_sort(F.array_distinct(F.transform(entries, lambda e: e["key"])))
-    value = lambda k: F.element_at(F.filter(entries, lambda e: e["key"] == k), -1)["value"]
-    return F.map_from_arrays(keys, F.transform(keys, lambda k: F.bround(value(k), 6)))
+    """A map from entries; of entries with one key the last counts."""
+    def build(all_entries: Column) -> Column:
+        distinct = F.array_distinct(all_entries)
+        keys = F.array_distinct(F.transform(all_entries, lambda e: e["key"]))
+        last = lambda k: F.element_at(F.filter(all_entries, lambda e: e["key"] == k), -1)["value"]
+        rounded = F.transform(distinct, lambda e: F.struct(e["key"].alias("key"), F.bround(e["value"], 6).alias("value")))
+        # Repeated labels leave equal entries; only real conflicts need the search.
+        return F.when(F.size(distinct) == F.size(keys), F.map_from_entries(rounded)).otherwise(
+            F.map_from_arrays(keys, F.transform(keys, lambda k: F.bround(last(k), 6))))
+
+    return S.let(entries, build)
 
 
 def feature_entries(with_explanations: bool) -> Column:
