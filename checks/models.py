@@ -176,10 +176,9 @@ def encode_frames(spark, sf):
 # -- learning --------------------------------------------------------------------------------------
 
 def _even2(x: str) -> str:
-    """Two decimals, halves to even, of a value with at most three: exact on whole thousandths."""
-    n = f"CAST(round(({x})::DOUBLE * 1000) AS BIGINT)"
-    q = f"CAST(floor({n} / 10.0) AS BIGINT)"
-    return f"(({q} + CASE WHEN {n} - 10 * {q} > 5 OR ({n} - 10 * {q} = 5 AND {q} % 2 <> 0) THEN 1 ELSE 0 END) / 100.0::DOUBLE)"
+    """Two decimals, halves of the printed decimal to even."""
+    d = f"(CAST(CAST(({x})::DOUBLE AS VARCHAR) AS DECIMAL(30, 16)) * 100)"
+    return f"((floor({d}) + CASE WHEN {d} - floor({d}) > 0.5 OR ({d} - floor({d}) = 0.5 AND CAST(floor({d}) AS BIGINT) % 2 <> 0) THEN 1 ELSE 0 END)::DOUBLE / 100.0::DOUBLE)"
 
 
 SIGNAL_COLUMNS = {
@@ -193,11 +192,11 @@ view("features", "cands", f"""
 
 
 @query("L1_candidate_features", with_views("features") + """
-  SELECT id, count(*) AS n, round(sum(value), 3) AS total, array_to_string(list(feature ORDER BY feature), '|') AS names FROM features GROUP BY id""")
+  SELECT id, count(*) AS n, round(sum(value), 6) AS total, array_to_string(list(feature ORDER BY feature), '|') AS names FROM features GROUP BY id""")
 def candidate_features(spark, sf):
     rows = L.candidate_features(B.candidates(spark, sf))
     total = F.aggregate(F.map_values("features"), F.lit(0.0), lambda a, v: a + v)
-    return rows.select("id", F.size("features").alias("n"), F.round(total, 3).alias("total"), F.array_join(F.array_sort(F.map_keys("features")), "|").alias("names"))
+    return rows.select("id", F.size("features").alias("n"), F.round(total, 6).alias("total"), F.array_join(F.array_sort(F.map_keys("features")), "|").alias("names"))
 
 
 view("training", "cands decisions", """
@@ -225,12 +224,12 @@ view("threshold", "stats", "SELECT round_even((sum(weight * pm) + sum(weight * n
 
 
 @query("A17_train_scorer", with_views("stats", "threshold") + """
-  SELECT feature, round(weight, 5) AS weight, round(lo, 4) AS lo, round(hi, 4) AS hi, round((SELECT threshold FROM threshold), 4) AS threshold FROM stats""")
+  SELECT feature, weight, round(lo, 4) AS lo, round(hi, 4) AS hi, round((SELECT threshold FROM threshold), 4) AS threshold FROM stats""")
 def train_scorer(spark, sf):
     model = L.train_scorer(_dataset(spark, sf))
     one = model.summary.select(F.lit(1).alias("_one"), "threshold")
     rows = model.weights.withColumn("_one", F.lit(1)).join(F.broadcast(one), "_one")
-    return rows.select("feature", F.round("weight", 5).alias("weight"), r4("min", "lo"), r4("max", "hi"), r4("threshold"))
+    return rows.select("feature", "weight", r4("min", "lo"), r4("max", "hi"), r4("threshold"))
 
 
 view("raw_scores", "features stats", 'SELECT "rank", sum(value * weight) AS raw FROM features LEFT JOIN stats USING (feature) GROUP BY "rank"')
