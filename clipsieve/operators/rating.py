@@ -164,45 +164,42 @@ _TALL = {
 }
 
 
-def _tall(df: DataFrame, **columns: Column) -> DataFrame:
-    return df.select(*[columns.get(n, F.lit(None)).cast(t).alias(n) for n, t in _TALL.items()])
+def _tall(df: DataFrame, **columns: Column | str) -> DataFrame:
+    """``df`` in the tall layout; columns not named come out null."""
+    def one(name: str, kind: str) -> Column | str:
+        value = columns.get(name, "NULL")
+        return f"CAST({value} AS {kind}) AS {name}" if isinstance(value, str) else value.cast(kind).alias(name)
+
+    return df.select(*[F.expr(c) if isinstance(c, str) else c for c in (one(n, t) for n, t in _TALL.items())])
 
 
 def tall_signals(signals: Signals, cfg: ScoringConfig) -> DataFrame:
     """Every signal as ``(source, kind, h_start, h_end, …)`` so one range join and one
     aggregation serve all of them."""
-    src = F.col("source")
     parts = []
+    point = {"source": "source", "h_start": "time", "h_end": "time"}
+    span = {"source": "source", "h_start": "`start`", "h_end": "`end`"}
     if signals.scenes is not None:
-        t = F.col("time")
-        parts.append(_tall(signals.scenes, source=src, kind=F.lit("scene"), h_start=t, h_end=t))
+        parts.append(_tall(signals.scenes, kind="'scene'", **point))
     if signals.levels is not None:
-        t = F.col("time")
-        parts.append(_tall(finite_levels(signals.levels), source=src, kind=F.lit("level"), h_start=t, h_end=t,
-                           rms_db=F.col("rms_db")))
-    span = {"source": src, "h_start": F.col("start"), "h_end": F.col("end")}
+        parts.append(_tall(finite_levels(signals.levels), kind="'level'", rms_db="rms_db", **point))
     if signals.silences is not None:
-        parts.append(_tall(signals.silences, kind=F.lit("silence"), **span))
+        parts.append(_tall(signals.silences, kind="'silence'", **span))
     if signals.transcript_hits is not None:
-        parts.append(_tall(signals.transcript_hits, kind=F.lit("transcript"), keywords=S.label_array("keywords"), **span))
+        parts.append(_tall(signals.transcript_hits, kind="'transcript'", keywords="coalesce(keywords, array())", **span))
     if signals.object_hits is not None:
         hits = interesting_objects(signals.object_hits, cfg.object_interest_classes)
-        parts.append(_tall(hits, kind=F.lit("object"), class_name=F.col("class_name"),
-                           amount=F.greatest(F.lit(1), F.coalesce("count", F.lit(1))), **span))
+        parts.append(_tall(hits, kind="'object'", class_name="class_name", amount="greatest(1, coalesce(`count`, 1))", **span))
     if signals.advanced_hits is not None:
-        hits = signals.advanced_hits
         parts.append(_tall(
-            hits, kind=F.col("kind"), source_wide=F.coalesce("source_wide", F.lit(False)),
-            face_count=F.coalesce("face_count", F.lit(0)), person_count=F.coalesce("person_count", F.lit(0)),
-            confidence=F.coalesce(
-                F.when(F.col("kind") == "ai_frame_score", F.col("top_score")).otherwise(F.col("confidence")), F.lit(0.0)
-            ),
-            event_type=F.col("event_type"), topic=F.col("topic"),
-            model_labels=F.when(F.col("kind") == "ai_frame_score", S.label_array("labels")),
+            signals.advanced_hits, kind="kind", source_wide="coalesce(source_wide, false)", face_count="coalesce(face_count, 0)",
+            person_count="coalesce(person_count, 0)", event_type="event_type", topic="topic",
+            confidence="coalesce(if(kind = 'ai_frame_score', top_score, confidence), 0.0D)",
+            model_labels="if(kind = 'ai_frame_score', coalesce(labels, array()), NULL)",
             hit_labels=advanced_labels(), main_label=advanced_label(), **span,
         ))
     if not parts:
-        return _tall(signals.assets.select(F.col("filepath").alias("source")), source=src).limit(0)
+        return _tall(signals.assets.selectExpr("filepath AS source"), source="source").limit(0)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -269,7 +266,7 @@ def score_sources(signals: Signals, cfg: ScoringConfig) -> DataFrame:
     if signals.levels is not None:
         spikes = audio_spikes(signals.levels, cfg.audio_spike_percentile, cfg.audio_spike_floor_db)
         tall = tall.unionByName(
-            _tall(spikes, source=F.col("source"), kind=F.lit("spike"), h_start=F.col("time"), h_end=F.col("time"))
+            _tall(spikes, source="source", kind="'spike'", h_start="time", h_end="time")
         )
     all_objects = None
     if signals.object_hits is not None:
@@ -465,8 +462,8 @@ def window_measures(floor_db: Column) -> dict[str, Column]:
     }
 
 
-def window_facts(windows: DataFrame, tall: DataFrame, id_cols: list[str]) -> DataFrame:
-    """Everything the score needs, one row per window.
+def window_facts(windows: DataFrame, tall: DataFrame, id_cols: list[str], per_file: DataFrame) -> DataFrame:
+    """Everything the score needs, one row per window; ``per_file`` adds its columns by source.
 
     One range join on ``(source, bucket)`` and one partial-then-final aggregation cover all
     signal kinds.  Source-wide hits are summed per source first and attached by source.
@@ -481,7 +478,7 @@ def window_facts(windows: DataFrame, tall: DataFrame, id_cols: list[str]) -> Dat
     per_source = tall.where(wide).groupBy("source").agg(
         *[c.alias(f"wide_{n}") for n, c in advanced_measures().items()]
     )
-    rows = windows.join(measured, id_cols, "left").join(per_source, "source", "left")
+    rows = windows.join(measured, id_cols, "left").join(per_file.join(per_source, "source", "left"), "source", "left")
     numbers = ("scene_changes", "silence_overlap", "transcript_hits", "object_hits", "detections")
     rows = _fill(rows, (*numbers, *_ADVANCED_NUMBERS, *[f"wide_{n}" for n in _ADVANCED_NUMBERS]))
     rows = rows.withColumns({n: F.col(n) + F.col(f"wide_{n}") for n in _ADVANCED_NUMBERS})
@@ -531,58 +528,47 @@ def total_score() -> Column:
     return S.round_score(F.least(F.lit(100.0), total))
 
 
-def window_labels(floor_db: Column) -> Column:
-    c = F.col
-    own = F.array(
-        F.when(c("scene_changes") > 1, "scene_cluster").when(c("scene_changes") == 1, "scene_change"),
-        audio_label("peak", floor_db),
-        F.when(c("silence_ratio") > 0.6, "mostly_silent"),
-        F.when(c("transcript_hits") > 0, "transcript_hit"),
-        F.when(c("object_hits") > 0, "object_presence"),
-    )
+def window_labels(floor_db: float) -> Column:
+    """Seed labels, labels of what the window holds, and those of its advanced hits, sorted."""
+    own = F.expr(f"""array(
+        CASE WHEN scene_changes > 1 THEN 'scene_cluster' WHEN scene_changes = 1 THEN 'scene_change' END,
+        CASE WHEN peak >= {float(floor_db)}D THEN 'audio_spike' WHEN peak IS NOT NULL THEN 'audio_present' END,
+        IF(silence_ratio > 0.6D, 'mostly_silent', NULL),
+        IF(transcript_hits > 0, 'transcript_hit', NULL),
+        IF(object_hits > 0, 'object_presence', NULL))""")
     objects = F.transform(F.slice("object_classes", 1, 4), lambda x: F.concat(F.lit("object_"), S.slug(x)))
     return S.sorted_union("labels", own, objects, "advanced_labels")
 
 
 def window_reasons() -> Column:
-    """Human-readable reasons in fixed order."""
-    c = F.col
-    scenes = F.concat(
-        c("scene_changes").cast("string"),
-        F.when(c("scene_changes") == 1, " scene change in window").otherwise(" scene changes in window"),
-    )
-    people = F.concat(
-        F.lit("face/person presence detected ("), c("face_total").cast("string"), F.lit(" faces, "),
-        c("person_total").cast("string"), F.lit(" people)"),
-    )
-    listed = lambda text, array: F.concat(F.lit(text), _first_six(array))
-    return F.array_compact(F.array(
-        F.when(c("scene_changes") > 0, scenes),
-        F.when(c("peak").isNotNull(), F.concat(
-            F.lit("audio peak "), F.bround("peak", 1).cast("decimal(20,1)").cast("string"), F.lit(" dB RMS"))),
-        F.when(c("silence_ratio") > 0.6, "mostly silent window"),
-        F.when(c("transcript_hits") > 0, listed("transcript keywords: ", "words")),
-        F.when(c("object_hits") > 0, listed("objects detected: ", "object_classes")),
-        F.when(c("ocr_hits") > 0, "OCR/signage text detected"),
-        F.when((c("face_total") != 0) | (c("person_total") != 0), people),
-        F.when(_some("event_types"), listed("motorsports events: ", "event_types")),
-        F.when(_some("topics"), listed("transcript topics: ", "topics")),
-        F.when(c("ai_frame_scores") > 0, listed("AI frame matches: ", "ai_labels")),
-        F.when(F.array_contains("labels", "low_signal"), "fallback candidate; no strong highlight signal found"),
-    ))
+    """Human-readable reasons in fixed order; name lists show their first six."""
+    return F.expr("""array_compact(array(
+        IF(scene_changes > 0, concat(scene_changes, ' scene change', IF(scene_changes = 1, '', 's'), ' in window'), NULL),
+        IF(peak IS NOT NULL, concat('audio peak ', CAST(bround(peak, 1) AS DECIMAL(20, 1)), ' dB RMS'), NULL),
+        IF(silence_ratio > 0.6D, 'mostly silent window', NULL),
+        IF(transcript_hits > 0, concat('transcript keywords: ', array_join(slice(words, 1, 6), ', ')), NULL),
+        IF(object_hits > 0, concat('objects detected: ', array_join(slice(object_classes, 1, 6), ', ')), NULL),
+        IF(ocr_hits > 0, 'OCR/signage text detected', NULL),
+        IF(face_total <> 0 OR person_total <> 0,
+           concat('face/person presence detected (', face_total, ' faces, ', person_total, ' people)'), NULL),
+        IF(size(event_types) > 0, concat('motorsports events: ', array_join(slice(event_types, 1, 6), ', ')), NULL),
+        IF(size(topics) > 0, concat('transcript topics: ', array_join(slice(topics, 1, 6), ', ')), NULL),
+        IF(ai_frame_scores > 0, concat('AI frame matches: ', array_join(slice(ai_labels, 1, 6), ', ')), NULL),
+        IF(array_contains(labels, 'low_signal'), 'fallback candidate; no strong highlight signal found', NULL)))""")
 
 
 def signals_map() -> Column:
     """The stored ``signals`` map of a scored window."""
-    two = lambda n: (n, F.bround(n, 2))
-    plain = lambda n: (n, F.col(n))
-    return S.numeric_map([
+    two = lambda n: (n, f"bround({n}, 2)")
+    plain = lambda n: (n, n)
+    entries = [
         *[two(n) for n in SCORE_NAMES[:5]],
-        plain("scene_changes"), ("peak_rms_db", F.bround("peak", 2)), ("silence_ratio", F.bround("silence_ratio", 3)),
-        plain("object_hits"), ("object_class_count", F.size("object_classes")),
+        plain("scene_changes"), ("peak_rms_db", "bround(peak, 2)"), ("silence_ratio", "bround(silence_ratio, 3)"),
+        plain("object_hits"), ("object_class_count", "size(object_classes)"),
         *[two(n) for n in SCORE_NAMES[5:]],
         *[plain(n) for n in COUNT_NAMES],
-    ])
+    ]
+    return F.expr("map(" + ", ".join(f"'{n}', CAST({x} AS DOUBLE)" for n, x in entries) + ")")
 
 
 def literal_weights(cfg: ScoringConfig) -> dict[str, Column]:
@@ -590,19 +576,22 @@ def literal_weights(cfg: ScoringConfig) -> dict[str, Column]:
 
 
 def score_windows(windows: DataFrame, signals: Signals, cfg: ScoringConfig) -> DataFrame:
-    """Score, action, labels, reasons and component scores of each merged window."""
+    """Component scores and total of each merged window; ``describe`` adds the texts."""
     technical = signals.assets.select(
         F.col("filepath").alias("source"), technical_points(cfg.weight("technical")).alias("technical_score")
     )
-    facts = window_facts(windows, tall_signals(signals, cfg), ["source", "start", "end"])
-    rows = facts.join(technical, "source", "left").fillna(0.0, subset=["technical_score"])
-    rows = rows.withColumn("silence_ratio", silence_ratio())
-    rows = rows.withColumns(score_columns(literal_weights(cfg))).withColumn("score", total_score())
-    return rows.withColumns({
+    facts = window_facts(windows, tall_signals(signals, cfg), ["source", "start", "end"], technical)
+    rows = facts.fillna(0.0, subset=["technical_score"]).withColumn("silence_ratio", silence_ratio())
+    return rows.withColumns(score_columns(literal_weights(cfg))).withColumn("score", total_score())
+
+
+def describe(scored: DataFrame, cfg: ScoringConfig) -> DataFrame:
+    """Action, reasons, signals map and labels of scored windows."""
+    return scored.withColumns({
         "action": action_for_score("score", cfg),
         "reasons": window_reasons(),
         "signals": signals_map(),
-        "labels": window_labels(F.lit(cfg.audio_spike_floor_db)),
+        "labels": window_labels(cfg.audio_spike_floor_db),
     })
 
 
@@ -617,11 +606,24 @@ def rank_candidates(scored: DataFrame, max_candidates: int | None) -> DataFrame:
     return ranked(scored, rank_order(), max_candidates).withColumn("id", F.format_string("clip_%04d", "rank"))
 
 
-def generate_candidates(signals: Signals, cfg: ScoringConfig) -> DataFrame:
+def scored_windows(signals: Signals, cfg: ScoringConfig) -> DataFrame:
     seeds = seed_windows(signals, cfg)
     return score_windows(candidate_windows(signals.assets, seeds, cfg.merge_gap), signals, cfg)
 
 
+def generate_candidates(signals: Signals, cfg: ScoringConfig) -> DataFrame:
+    """Every window, scored and described, in no order."""
+    return describe(scored_windows(signals, cfg), cfg)
+
+
+def ranked_candidates(signals: Signals, cfg: ScoringConfig) -> DataFrame:
+    """Ranked candidates.  Only rows that survive the limit get their texts built."""
+    best = ranked(scored_windows(signals, cfg), rank_order(), cfg.max_candidates)
+    if cfg.max_candidates is not None:
+        best = cut_lineage(best)  # a rank of everything is materialised already
+    return describe(best, cfg).withColumn("id", F.format_string("clip_%04d", "rank"))
+
+
 CANDIDATE_COLUMNS = ("rank", "id", "source", "start", "end", "score", "action", "labels", "reasons", "signals")
 
 

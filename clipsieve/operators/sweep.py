@@ -121,14 +121,11 @@ def scored_sets(signals: R.Signals, base: ScoringConfig, keep: int) -> DataFrame
     Technical points are the stored ones of the base run, so no profile changes them.
     """
     windows = windows_by_profile(signals, base)
-    facts = R.window_facts(
-        windows.drop("labels").withColumn("labels", S.empty_strings()), R.tall_signals(signals, base),
-        ["audio", "roll", "source", "start", "end"],
-    )
     technical = signals.assets.select(
         F.col("filepath").alias("source"), R.technical_points(base.weight("technical")).alias("technical_score")
     )
-    rows = facts.join(technical, "source").withColumn("silence_ratio", R.silence_ratio())
+    facts = R.window_facts(windows, R.tall_signals(signals, base), ["audio", "roll", "source", "start", "end"], technical)
+    rows = facts.withColumn("silence_ratio", R.silence_ratio())
     rows = rows.select("*", F.inline(_axis(grid_axes(base)["weight"], _weight_names(), "weight")))
     weights = {n: F.col(f"w_{n}").cast("double") for n in _NAMES}
     scored = rows.withColumns(R.score_columns(weights)).withColumn("score", R.total_score())

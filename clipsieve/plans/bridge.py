@@ -11,7 +11,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipsieve.config import ScoringConfig
-from clipsieve.operators.rating import Signals
+from clipsieve.operators.rating import Signals, ranked_candidates
 
 DURATION = 720.0
 EPOCH = "TIMESTAMP_NTZ'2024-01-01 00:00:00'"
@@ -177,9 +177,7 @@ FULL = ScoringConfig(max_candidates=None)
 
 @lru_cache(maxsize=None)
 def _ranked(app_id: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    from clipsieve.operators.rating import generate_candidates, rank_candidates
-
-    return rank_candidates(generate_candidates(signals(spark, sf_dir), FULL), None)
+    return ranked_candidates(signals(spark, sf_dir), FULL)
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def rate(
     """Signals to ranked candidates; an optional learned model re-scores, judgments attach by id."""
     if cfg.transcript_mode == "off":
         signals = R.Signals(**{**signals.__dict__, "transcript_hits": None})
-    ranked = R.rank_candidates(R.generate_candidates(signals, cfg), cfg.max_candidates)
+    ranked = R.ranked_candidates(signals, cfg)
     if model is not None:
         from clipsieve.operators.learning import apply_learned
 
