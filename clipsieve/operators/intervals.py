@@ -273,19 +273,15 @@ def nearest_interval(
     )
 
     def neighbour(right_edge: Column, left_edge: Column) -> DataFrame:
-        probes = l.select(*keys, left_edge.alias("_at"), F.lit(1).alias("_probe"), *left_id, F.lit(None).cast(
-            r.select(F.struct(F.lit(0.0).alias("edge"), *names, item).alias("v")).schema["v"].dataType
-        ).alias("_seen"))
-        marks = r.select(
-            *keys, right_edge.alias("_at"), F.lit(0).alias("_probe"),
-            *[F.lit(None).cast(l.schema[c].dataType).alias(c) for c in left_id],
-            F.struct(right_edge.alias("edge"), *names, item).alias("_seen"),
-        )
+        # Equal positions collapse on both sides first, so copies never pile up in one chunk.
+        seen = F.struct(right_edge.alias("edge"), *names, item)
+        marks = r.groupBy(*keys, right_edge.alias("_at")).agg(F.max(seen).alias("_seen")).withColumn("_probe", F.lit(0))
+        probes = l.select(*keys, left_edge.alias("_at")).distinct().withColumn("_probe", F.lit(1))
         line = running_max(
-            marks.unionByName(probes), keys, F.col("_at"), [F.col("_at"), F.col("_probe")],
+            marks.unionByName(probes, allowMissingColumns=True), keys, F.col("_at"), [F.col("_at"), F.col("_probe")],
             F.col("_seen"), "_near", width=width,
-        )
-        return line.where((F.col("_probe") == 1) & F.col("_near").isNotNull()).select(
+        ).where((F.col("_probe") == 1) & F.col("_near").isNotNull()).select(*keys, "_at", "_near")
+        return l.withColumn("_at", left_edge).join(line, [*keys, "_at"]).select(
             *keys, *left_id,
             F.struct(
                 (F.col("_near.edge") - F.col("_at")).alias("closeness"), F.lit(0.0).alias("shared"),

@@ -168,7 +168,7 @@ def with_raw_score(rows: DataFrame, model: Model) -> DataFrame:
     keyed = rows.withColumn("_row", F.monotonically_increasing_id())
     keyed = cut_lineage(keyed)
     parts = keyed.select("_row", F.explode("features").alias("feature", "_v")).withColumn("_salt", F.pmod("_row", F.lit(salts)))
-    spread = model.weights.where(F.col("weight") != 0).select("feature", "weight", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).cast("long").alias("_salt"))
+    spread = model.weights.where(F.col("weight") != 0).select("feature", "weight", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("_salt"))
     sums = parts.join(spread, ["feature", "_salt"]).groupBy("_row").agg(F.sum(F.col("_v") * F.col("weight")).alias("_sum"))
     scalars = model.summary.select(F.lit(1).alias("_one"), "threshold", "intercept")
     return (

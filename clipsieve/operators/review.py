@@ -20,7 +20,7 @@ def order_of(column="order") -> Column:
 
 def latest_decisions(decisions: DataFrame) -> DataFrame:
     """The last decision per id; ``pos`` is the place in the document (the order when absent)."""
-    place = F.col("pos") if "pos" in decisions.columns else F.col("order")
+    place = F.coalesce(F.col("pos") if "pos" in decisions.columns else F.col("order"), F.lit(-1))
     rest = [c for c in decisions.columns if c != "id"]
     return (
         decisions.where(F.length("id") > 0)

@@ -51,13 +51,17 @@ def fit_target_duration(clips: DataFrame, target: float | None) -> DataFrame:
     """Clips in order until the target is full, the overflowing one trimmed to what is left.
 
     Less than a second left is skipped over for shorter clips; the first clip is always taken.
-    The rule carries state from clip to clip, so it is a fold over each selection's ordered clips.
+    The rule carries state from clip to clip, so it is a fold over a selection's ordered clips.
+    Only clips that start before the target can matter, and after those only clips shorter than
+    the second that may be left; a running sum drops the rest before anything is gathered.
     """
     if target is None:
         return clips
     goal = max(0.0, float(target))
     if goal <= 0:
         return clips.limit(0)
+    reach = I.running_sum(clips, ["selection"], "pos", F.col("duration"), "_before")
+    clips = reach.where((F.col("_before") < goal) | (F.col("duration") < 1.0) | (F.col("pos") == 1)).drop("_before")
     fields = [c for c in clips.columns if c not in ("selection", "pos")]
     item = F.struct("pos", *fields)
     item_type = clips.select(item.alias("x")).schema["x"].dataType.simpleString()
