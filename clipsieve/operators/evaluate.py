@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -226,43 +226,61 @@ def scoring_modes(candidates: DataFrame, ai_configured: bool = False, learned_co
 
 # -- the whole report ----------------------------------------------------------------------
 
-@dataclass(frozen=True)
 class Evaluation:
-    matches: DataFrame
-    missed: DataFrame
-    false_positives: DataFrame
-    confusion: DataFrame
-    metrics: DataFrame
-    recall_at: DataFrame
-    recall_by_tag: DataFrame
+    """The parts of a report; each is planned when first asked for."""
+
+    def __init__(self, annotations: DataFrame, candidates: DataFrame):
+        self.annotations, self.candidates = annotations, candidates
+        self.positives = positive_annotations(annotations)
+
+    @cached_property
+    def matches(self) -> DataFrame:
+        return cut_lineage(greedy_match(self.annotations, self.candidates))
+
+    @cached_property
+    def _missed(self) -> DataFrame:
+        # Read by the counts and by every branch of the nearest search, as the next one.
+        return cut_lineage(self.positives.join(self.matches.select("ann_index"), "ann_index", "left_anti"))
+
+    @cached_property
+    def _false_positives(self) -> DataFrame:
+        used = self.matches.select(F.col("cand_rank").alias("rank"))
+        unused = predicted_positive(self.candidates).join(used, "rank", "left_anti")
+        return cut_lineage(outside_ignored(unused, self.annotations))
+
+    @cached_property
+    def missed(self) -> DataFrame:
+        return nearest_candidate(self._missed, self.candidates)
+
+    @cached_property
+    def false_positives(self) -> DataFrame:
+        return nearest_annotation(self._false_positives, self.annotations)
+
+    @cached_property
+    def confusion(self) -> DataFrame:
+        return action_confusion(self.candidates, self.annotations)
+
+    @cached_property
+    def recall_at(self) -> DataFrame:
+        return recall_at_k(self.annotations, self.candidates)
+
+    @cached_property
+    def recall_by_tag(self) -> DataFrame:
+        return recall_by_tag(self.annotations, self.matches)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        kinds = (("true_positives", self.matches), ("false_positives", self._false_positives), ("missed", self._missed),
+                 ("positive_annotations", self.positives))
+        tallies = [df.select(F.lit(name).alias("kind")) for name, df in kinds]
+        rows = reduce(DataFrame.unionByName, tallies)
+        counts = rows.agg(*[F.count_if(F.col("kind") == name).alias(name) for name, _ in kinds])
+        return counts.withColumns(prf("true_positives", "false_positives", "positive_annotations"))
 
 
 def evaluate(annotations: DataFrame, candidates: DataFrame) -> Evaluation:
     """``candidates`` carry ``rank, id, source, start, end, score, action``; sources already resolved."""
-    matches = cut_lineage(greedy_match(annotations, candidates))
-    positives = positive_annotations(annotations)
-    # Both are read by the counts and by every branch of the nearest search.
-    missed = cut_lineage(positives.join(matches.select("ann_index"), "ann_index", "left_anti"))
-    unused = predicted_positive(candidates).join(
-        matches.select(F.col("cand_rank").alias("rank")), "rank", "left_anti"
-    )
-    false_positives = cut_lineage(outside_ignored(unused, annotations))
-    tally = lambda df, kind: df.select(F.lit(kind).alias("kind"))
-    counts = (
-        tally(matches, "tp").unionByName(tally(missed, "miss")).unionByName(tally(false_positives, "fp"))
-        .unionByName(tally(positives, "pos"))
-        .agg(*[F.count_if(F.col("kind") == k).alias(n) for k, n in (
-            ("tp", "true_positives"), ("fp", "false_positives"), ("miss", "missed"), ("pos", "positive_annotations"))])
-    )
-    return Evaluation(
-        matches=matches,
-        missed=nearest_candidate(missed, candidates),
-        false_positives=nearest_annotation(false_positives, annotations),
-        confusion=action_confusion(candidates, annotations),
-        metrics=counts.withColumns(prf("true_positives", "false_positives", "positive_annotations")),
-        recall_at=recall_at_k(annotations, candidates),
-        recall_by_tag=recall_by_tag(annotations, matches),
-    )
+    return Evaluation(annotations, candidates)
 
 
 def compare_runs(runs: DataFrame, baseline: str) -> DataFrame:
