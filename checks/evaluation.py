@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import functions as F
 
 from checks.registry import flat, query, r4
@@ -40,6 +42,16 @@ view("fps", "matches predicted annotations", f"""
     AND NOT EXISTS (SELECT 1 FROM annotations a WHERE a.rating = 'ignore' AND a.source = c.source AND {MEETS})""")
 
 
+@lru_cache(maxsize=None)
+def _evaluation(app_id, spark, sf):
+    return E.evaluate(*_inputs(spark, sf))
+
+
+def evaluation(spark, sf):
+    """The report of all candidates.  Its matches are materialised; queries of a session share them."""
+    return _evaluation(spark.sparkContext.applicationId, spark, sf)
+
+
 def _inputs(spark, sf):
     return B.annotations(spark, sf), B.candidates(spark, sf)
 
@@ -126,7 +138,7 @@ RATIOS = """CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp)::DOUBLE END AS p, C
   UNION ALL SELECT 'missed', id, near_id, gap FROM ({NEAREST_CAND.format(left="missed")})
   UNION ALL SELECT 'false_positive', id, near_id, gap FROM ({NEAREST_ANN.format(left="fps")})""")
 def evaluate(spark, sf):
-    e = E.evaluate(*_inputs(spark, sf))
+    e = evaluation(spark, sf)
     part = lambda df, name, own, other, measure: df.select(
         F.lit(name).alias("part"), F.col(own).alias("id"), F.col(other).alias("other"), F.round(measure, 4).alias("measure")
     )
@@ -140,7 +152,7 @@ def evaluate(spark, sf):
 @query("A7_prf_metrics", with_views("matches", "fps", "missed", recursive=True) + f"""
   SELECT tp AS true_positives, fp AS false_positives, missed, pos AS positive_annotations, {PRF} FROM (SELECT *, {RATIOS} FROM ({COUNTS}))""")
 def prf_metrics(spark, sf):
-    return E.evaluate(*_inputs(spark, sf)).metrics
+    return evaluation(spark, sf).metrics
 
 
 @query("A8_recall_at_k", with_views("positives", "cands") + f"""
@@ -155,8 +167,7 @@ def recall_at_k(spark, sf):
   SELECT p.tag, count(*) AS total, count(m.ann_index) AS matched, round_even(count(m.ann_index) / count(*)::DOUBLE, 4) AS recall
   FROM positives p LEFT JOIN matches m USING (ann_index) GROUP BY p.tag""")
 def recall_by_tag(spark, sf):
-    ann, cand = _inputs(spark, sf)
-    return E.recall_by_tag(ann, E.greedy_match(ann, cand))
+    return evaluation(spark, sf).recall_by_tag
 
 
 @query("A10_action_confusion", with_views("actuals") + "SELECT action, actual, count(*) AS n FROM actuals GROUP BY ALL")

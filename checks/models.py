@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from checks.review import hms
 from checks.views import view, with_views
 from clipsieve.config import ScoringConfig
 from clipsieve.functions import scalars as S, vocab as V
-from clipsieve.operators import ai as A, content as C, evaluate as E, learning as L, rating as R, review as RV, sweep as W
+from clipsieve.operators import ai as A, content as C, learning as L, rating as R, sweep as W
 from clipsieve.plans import bridge as B, presets as P
 from clipsieve.sinks import tables as K
 from clipsieve.sources import documents as D
@@ -66,10 +67,16 @@ def _framed(spark, sf):
     return _scored(spark, sf).withColumn("frame_id", F.concat("source", F.lit("@"), F.col("time").cast("long").cast("string")))
 
 
-def _missed(spark, sf):
+@lru_cache(maxsize=None)
+def _moments(app_id, spark, sf):
     return A.missed_moments(_framed(spark, sf), B.candidates(spark, sf), min_score=0.2)
 
 
+def _missed(spark, sf):
+    """Ranking materialises the moments; both queries read them."""
+    return _moments(spark.sparkContext.applicationId, spark, sf)
+
+
 view("moment_frames", "scored_frames cands", """
   SELECT f.*, greatest(0, time - 2) AS s, time + 4 AS e FROM scored_frames f WHERE top_score >= 0.2
     AND NOT EXISTS (SELECT 1 FROM cands c WHERE c.action IN ('select', 'review', 'broll') AND c.source = f.source AND f.time BETWEEN c."start" AND c."end")""")

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-import checks.evaluation  # noqa: F401  (its views are used here)
+from checks.evaluation import evaluation
 from checks.registry import flat, query, r4
 from checks.views import view, with_views
 from clipsieve.config import ScoringConfig
 from clipsieve.functions import scalars as S
-from clipsieve.operators import evaluate as E, rating as R, review as V, timeline as T
+from clipsieve.operators import rating as R, review as V, timeline as T
 from clipsieve.plans import bridge as B
 from clipsieve.sinks import tables as K
 
@@ -80,8 +80,7 @@ def merge_decisions(spark, sf):
 
 
 def _judged(spark, sf):
-    ann, cand = B.annotations(spark, sf), B.candidates(spark, sf)
-    e = E.evaluate(ann, cand)
+    e = evaluation(spark, sf)
     return V.calibration_status(e.matches, e.false_positives)
 
 
@@ -280,14 +279,14 @@ def selection_sets(spark, sf):
         QUALIFY row_number() OVER (PARTITION BY a.ann_index ORDER BY CASE WHEN least(a."end", c."end") > greatest(a."start", c."start") THEN 0
           WHEN a."end" <= c."start" THEN c."start" - a."end" ELSE a."start" - c."end" END, c.score DESC, c."rank") = 1) n JOIN missed a USING (ann_index)""")
 def missed_csv(spark, sf):
-    e = E.evaluate(B.annotations(spark, sf), B.candidates(spark, sf))
+    e = evaluation(spark, sf)
     return K.missed_table(e.missed).drop("notes", "nearest_gap_seconds")
 
 
 @query("K5_false_positive_csv", with_views("fps", recursive=True) + f"""
   SELECT id, source, {hms('"start"')} AS "start", score, action, array_to_string(labels, ', ') AS labels, array_to_string(reasons, ' | ') AS reasons FROM fps""")
 def false_positive_csv(spark, sf):
-    e = E.evaluate(B.annotations(spark, sf), B.candidates(spark, sf))
+    e = evaluation(spark, sf)
     return K.false_positive_table(e.false_positives).select("id", "source", "start", "score", "action", "labels", "reasons")
 
 

@@ -300,7 +300,3 @@ def nearest_interval(
     )
 
 
-__all__ = [
-    "running_max", "running_sum", "with_islands", "merge_windows", "interval_join", "points_in_windows",
-    "overlapping_hits", "endpoint_hits", "endpoint_inside", "uncovered_points", "nearest_interval", "time_gap",
-]
