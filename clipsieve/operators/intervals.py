@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from clipsieve.functions.scalars import overlap_seconds, strictly_overlaps, time_gap
+from clipsieve.functions.scalars import overlap_seconds, strictly_overlaps
 
 CHUNK_SECONDS = 120.0
 BUCKET_SECONDS = 60.0

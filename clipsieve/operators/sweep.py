@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clipsieve.config import DEFAULT_WEIGHTS, ScoringConfig
-from clipsieve.functions import scalars as S
 from clipsieve.operators import evaluate as E, intervals as I, rating as R
 from clipsieve.operators.ranking import top_per_group
 from clipsieve.session import cut_lineage

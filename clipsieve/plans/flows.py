@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
 from clipsieve.config import ScoringConfig
 from clipsieve.operators import rating as R
