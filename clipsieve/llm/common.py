@@ -53,7 +53,7 @@ def mix64(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def batches(source: Iterator[pa.RecordBatch], text: str, budget: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def batches(source: Iterator[pa.RecordBatch], text: str, budget: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``budget`` bytes of text, and of one row at least."""
     for batch in source:
         if not batch.num_rows:

@@ -6,10 +6,12 @@ small the set, and agreement of coordinates is concentrated around the Jaccard s
 of ``ROWS`` coordinates miss a pair of similarity 0.75 with a chance of (1 - 0.75 ** 5) ** 42 < 2e-5, less above it.
 
 Equal sets form one class first, so copies cost nothing further.  Classes that share a band are
-compared by sketch in blocks of ``BLOCK`` rows at most, whatever the size of a band's bucket.  First every class
-is tried against its most similar earlier class; whoever is linked needs no more links inside its component.
-Then all pairs of different components that share a band and whose sketches agree in ``LEAST_AGREED`` or more are
-tried.  A trial compares the full sets of 64-bit shingle hashes.
+compared by sketch in blocks of ``BLOCK`` rows at most, whatever the size of a band's bucket; only sketches that agree
+in ``LEAST_AGREED`` or more count.  A trial compares the full sets of 64-bit shingle hashes, which are made once for the
+classes with such a partner.  First every class is tried against its most similar earlier class, then what
+is still apart against the partner with the most links so far: whoever is linked needs no more links inside its
+component.  At last all remaining pairs of different components that share a band are tried inside their blocks, each in the
+first band it shares, and only links leave a block.
 
 Defined results: a text without words has no shingle and is linked with nothing; rows that repeat a doc_id
 are one node of the graph; a row without doc_id joins its class but never names one; an empty table gives no row;
@@ -92,54 +94,104 @@ def sketched(docs: DataFrame, width: int = WIDTH, bands: int = BANDS, rows: int
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, bands array<long>, sketch binary")
 
 
-def _compare(members: DataFrame, best_only: bool, least: float) -> DataFrame:
-    """Pairs of classes (x, y) with y < x that share a bucket, and the share of equal coordinates.
+def _similar(a: np.ndarray, b: np.ndarray, similarity: int) -> bool:
+    """Whether two sorted sets have that similarity or more."""
+    least, most = sorted((a.size, b.size))
+    if 100 * least < similarity * most:
+        return False
+    both = np.sort(np.concatenate([a, b]))
+    same = int((both[1:] == both[:-1]).sum())
+    return same > 0 and 100 * same >= similarity * (a.size + b.size - same)
 
-    ``members``: key, block, of_a, of_b (the two blocks that meet), node, component, sketch.
+
+def _links_of(i: np.ndarray, j: np.ndarray, component: np.ndarray, sets: pa.ChunkedArray, similarity: int) -> list[tuple[int, int]]:
+    """Tries the pairs in order, but none inside what is linked already."""
+    above: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (y := above.get(x, x)) != x:
+            above[x] = above.get(y, y)
+            x = y
+        return x
+
+    made: dict[int, np.ndarray] = {}
+
+    def own(k: int) -> np.ndarray:
+        if k not in made:
+            made[k] = np.frombuffer(sets[k].as_buffer(), np.uint64)
+        return made[k]
+
+    found = []
+    for a, b in zip(i.tolist(), j.tolist()):
+        x, y = root(int(component[a])), root(int(component[b]))
+        if x != y and _similar(own(a), own(b), similarity):
+            above[max(x, y)] = min(x, y)
+            found.append((a, b))
+    return found
+
+
+def _compare(members: DataFrame, mode: str, least: float, similarity: int = SIMILARITY) -> DataFrame:
+    """Pairs of classes (x, y) of different components that share a bucket and agree in ``least`` coordinates.
+
+    ``members``: key, block, of_a, of_b (the two blocks that meet), node, component, links, sketch.  In mode "earlier"
+    every x has its most similar partner before it, and a partner that is in no such pair comes as an x without y; in
+    mode "hub" every x has the partner with the most links.  In mode "all", with the columns bands and shingles too,
+    all pairs are tried on the spot and links come that join what was apart.
     """
 
     def pairs(t: pa.Table):
         n = t.num_rows
         if not n:
             return
-        key, own, a, b, node, comp = (np.asarray(t.column(c)) for c in ("key", "block", "of_a", "of_b", "node", "component"))
+        key, own, a, b, node, comp, links = (np.asarray(t.column(c)) for c in ("key", "block", "of_a", "of_b", "node", "component", "links"))
         marks = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(n, -1)
         new = np.ones(n, bool)
         new[1:] = (key[1:] != key[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         firsts = np.flatnonzero(new)
         end = np.append(firsts[1:], n)[np.cumsum(new) - 1]
-        best, mate = np.zeros(n), np.full(n, -1)
-        xs, ys, es = [], [], []
+        best, mate, met = np.zeros(n), np.full(n, -1), np.zeros(n, bool)
+        if mode == "all":
+            bands = np.asarray(t.column("bands").combine_chunks().flatten()).reshape(n, -1)
+        xs, ys, values = [], [], []
         rows, lag = np.arange(n), 1
         while True:
             rows = rows[rows + lag < end[rows]]
             if not rows.size:
                 break
             i = rows[(comp[rows] != comp[rows + lag]) & ((own[rows] != own[rows + lag]) | (a[rows] == b[rows]))]
+            agreed = (marks[i] == marks[i + lag]).mean(1) if i.size else np.zeros(0)
+            i, agreed = i[agreed >= least], agreed[agreed >= least]
             j = i + lag
-            agreed = (marks[i] == marks[j]).mean(1) if i.size else np.zeros(0)
-            i, j, agreed = i[agreed >= least], j[agreed >= least], agreed[agreed >= least]
-            if best_only:
-                up = agreed > best[j]
-                best[j[up]], mate[j[up]] = agreed[up], i[up]
-            else:
-                xs.append(j), ys.append(i), es.append(agreed)
+            met[i] = met[j] = True
+            if mode == "all":
+                here = bands[i, (bands[i] == bands[j]).argmax(1)] == key[i] if i.size else np.zeros(0, bool)
+                xs.append(j[here]), ys.append(i[here]), values.append(agreed[here])
+            for x, y in ((j, i), (i, j))[: {"earlier": 1, "hub": 2, "all": 0}[mode]]:
+                value = agreed + (links[y] if mode == "hub" else 0)
+                up = value > best[x]
+                best[x[up]], mate[x[up]] = value[up], y[up]
             lag += 1
-        if best_only:
-            j = np.flatnonzero(mate >= 0)
-            xs, ys, es = [j], [mate[j]], [best[j]]
-        if xs:
-            x, y, e = np.concatenate(xs), np.concatenate(ys), np.concatenate(es)
+        if mode == "all":
+            i, j, agreed = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (ys, xs, values))
+            likely = np.argsort(-agreed, kind="stable")
+            found = _links_of(i[likely], j[likely], comp, t.column("shingles"), similarity)
+            y, x = (np.array([f[k] for f in found], np.int64) for k in (0, 1))
+        else:
+            x, y = np.flatnonzero(mate >= 0), mate[mate >= 0]
+        out = [(node[x], pa.array(node[y]), best[x])]
+        if mode == "earlier":
+            alone = np.unique(node[met & (mate < 0)])
+            out.append((alone, pa.nulls(alone.size, pa.int64()), np.zeros(alone.size)))
+        for x, y, value in out:
             for k in range(0, x.size, 50_000):
-                part = slice(k, k + 50_000)
-                yield pa.RecordBatch.from_arrays([pa.array(node[x[part]]), pa.array(node[y[part]]), pa.array(e[part])], names=["x", "y", "agreed"])
+                yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 50_000]), y[k : k + 50_000], pa.array(value[k : k + 50_000])], names=["x", "y", "value"])
 
     def run(source):
         held: list[pa.RecordBatch] = []
         for batch in source:
             held.append(batch)
             t = pa.Table.from_batches(held)
-            if t.num_rows < 4096:
+            if t.num_rows < 4096 and t.nbytes < 16_000_000:
                 continue
             key = [np.asarray(t.column(c)) for c in ("key", "of_a", "of_b")]
             same = np.logical_and.reduce([k == k[-1] for k in key])
@@ -150,52 +202,50 @@ def _compare(members: DataFrame, best_only: bool, least: float) -> DataFrame:
             yield from pairs(pa.Table.from_batches(held))
 
     dealt = members.repartition("key", "of_a", "of_b").sortWithinPartitions("key", "of_a", "of_b", "node")
-    found = dealt.mapInArrow(run, "x long, y long, agreed double")
-    if best_only:
-        return found.groupBy("x").agg(F.max(F.struct("agreed", "y"))["y"].alias("y"))
-    return found.select("x", "y").distinct()
+    found = dealt.mapInArrow(run, "x long, y long, value double")
+    if mode == "all":
+        return found.select(F.col("x").alias("a"), F.col("y").alias("b"))
+    return found.groupBy("x").agg(F.max(F.struct("value", "y"))["y"].alias("y"))
 
 
-def _members(band_rows: DataFrame, classes: DataFrame, labels: DataFrame | None, block: int) -> DataFrame:
+def _members(band_rows: DataFrame, classes: DataFrame, labels: DataFrame | None, links: DataFrame | None, block: int) -> DataFrame:
     """Rows of the buckets that hold several components, dealt to pairs of blocks."""
-    rows = band_rows.withColumn("component", F.col("node"))
+    rows = band_rows.withColumns({"component": F.col("node"), "links": F.lit(0).cast("long")})
     if labels is not None:
-        rows = band_rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
+        known = labels.join(degree, "node", "left")
+        rows = band_rows.join(known, "node", "left").withColumns({"component": F.coalesce("component", "node"), "links": F.coalesce("links", F.lit(0).cast("long"))})
     mixed = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
-    rows = rows.join(mixed, "key").join(classes.select("node", "sketch"), "node")
+    rows = rows.join(mixed, "key").join(classes, "node")
     blocks = F.ceil(F.col("n") / block)
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    return rows.select("key", "block", F.least("block", "other").alias("of_a"), F.greatest("block", "other").alias("of_b"), "node", "component", "sketch")
+    return rows.select("key", "block", F.least("block", "other").alias("of_a"), F.greatest("block", "other").alias("of_b"), "node", "component", "links", *(c for c in classes.columns if c != "node"))
 
 
-def _linked(docs: DataFrame, pairs: DataFrame, width: int, similarity: int) -> DataFrame:
-    """The pairs whose full sets are similar enough."""
-    nodes = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
+def _sets(docs: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """The full shingle sets of the documents ``nodes``."""
 
-    def sets(source):
+    def run(source):
         for batch in batches(source, "text"):
             found = shingle_sets(batch.column("text"), width)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([s.tobytes() for s in found], pa.binary())], names=["node", "shingles"])
 
-    of = docs.select("doc_id", "text").join(nodes, "doc_id", "left_semi").mapInArrow(sets, "node long, shingles binary")
-    of = written(of, "sets")
-    both = pairs.join(of.select(F.col("node").alias("x"), F.col("shingles").alias("sx")), "x").join(of.select(F.col("node").alias("y"), F.col("shingles").alias("sy")), "y")
+    wanted = docs.select("doc_id", "text").join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi")
+    return written(wanted.mapInArrow(run, "node long, shingles binary"), "sets")
+
+
+def _linked(sets: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
+    """The pairs whose full sets are similar enough."""
+    side = lambda n, s: sets.select(F.col("node").alias(n), F.col("shingles").alias(s))
+    both = pairs.join(side("x", "sx"), "x").join(side("y", "sy"), "y")
 
     def close(source):
         for batch in source:
-            keep = []
-            for a, b in zip(batch.column("sx"), batch.column("sy")):
-                a, b = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-                least, most = sorted((a.size, b.size))
-                same = 0
-                if 100 * least >= similarity * most:
-                    both = np.sort(np.concatenate([a, b]))
-                    same = int((both[1:] == both[:-1]).sum())
-                keep.append(same > 0 and 100 * same >= similarity * (a.size + b.size - same))
+            keep = [_similar(*(np.frombuffer(v.as_buffer(), np.uint64) for v in pair), similarity) for pair in zip(batch.column("sx"), batch.column("sy"))]
             yield pa.RecordBatch.from_arrays([batch.column("x"), batch.column("y")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.select("x", "y", "sx", "sy").mapInArrow(close, "a long, b long")
+    return written(both.select("x", "y", "sx", "sy").mapInArrow(close, "a long, b long"), "links")
 
 
 def near_duplicates(
@@ -208,12 +258,20 @@ def near_duplicates(
     )
     classes = written(classes, "classes")
     band_rows = classes.select("node", F.explode("bands").alias("key"))
-    first = written(_compare(_members(band_rows, classes, None, block), True, least_agreed), "pairs")
-    links = written(_linked(docs, first, width, similarity), "links")
+    marks = classes.select("node", "sketch")
+    first = written(_compare(_members(band_rows, marks, None, None, block), "earlier", least_agreed), "pairs")
+    sets = _sets(docs, first.select(F.col("x").alias("node")), width)
+    links = _linked(sets, first.where("y is not null"), similarity)
     labels = components(links)
-    rest = written(_compare(_members(band_rows, classes, labels, block), False, least_agreed), "pairs")
-    more = written(_linked(docs, rest, width, similarity), "links")
-    labels = components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    def join_up(more: DataFrame) -> DataFrame:
+        return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+
+    pairs = written(_compare(_members(band_rows, marks, labels, links, block), "hub", least_agreed), "pairs")
+    more = _linked(sets, pairs, similarity)
+    labels = join_up(more)
+    whole = classes.select("node", "sketch", "bands").join(sets, "node")  # only who has a partner
+    apart = _members(band_rows.join(sets.select("node"), "node", "left_semi"), whole, labels, links.union(more), block)
+    labels = join_up(written(_compare(apart, "all", least_agreed, similarity), "links"))
     named = classes.select("digest", "node").join(labels, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
     out = base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
     own = F.coalesce("component_id", "doc_id")
