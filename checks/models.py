@@ -170,7 +170,7 @@ def judge_clips(spark, sf):
 
 
 @query("X1_encode_frames", with_views("frame_vectors") + """
-  SELECT source, time, [length(source), CAST(time AS INT)] AS vector FROM frame_vectors""")
+  SELECT source, time, [length(source), CAST(time AS INT)]::FLOAT[] AS vector FROM frame_vectors""")
 def encode_frames(spark, sf):
     frames = B.frame_vectors(spark, sf).select("source", "time", F.concat_ws("@", "source", F.col("time").cast("int").cast("string")).alias("frame"))
 

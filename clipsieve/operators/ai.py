@@ -87,8 +87,10 @@ def score_frames(frames: DataFrame, prompts: DataFrame, min_score: float = 0.22,
         # At most PROMPT_BLOCK prompts per profile.
         scored = rows.join(F.broadcast(blocks.drop("_block")), "profile").withColumn("_logits", logits)
     else:
-        keys = [c for c in frames.columns if c != "vector"]
-        parts = rows.join(blocks, "profile").withColumn("_logits", logits)
+        # Frames may be alike in all columns, so each has a number of its own, fixed before the join.
+        keys = [*(c for c in frames.columns if c != "vector"), "_frame"]
+        numbered = cut_lineage(rows.withColumn("_frame", F.monotonically_increasing_id()))
+        parts = numbered.join(blocks, "profile").withColumn("_logits", logits)
         scored = parts.groupBy(*keys).agg(F.flatten(F.collect_list("_logits")).alias("_logits"))
     # One struct computed in one place: later filters on its fields do not repeat the inner steps.
     return (

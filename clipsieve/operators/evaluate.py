@@ -171,8 +171,9 @@ def recall_at_k(annotations: DataFrame, candidates: DataFrame, ks=RECALL_AT) ->
     top = predicted_positive(candidates.where(F.col("rank") <= max(ks)))
     first = overlap_pairs(positives, top).groupBy("ann_index").agg(F.min("cand_rank").alias("first"))
     rows = positives.join(first, "ann_index", "left")
-    # Counts distinct ids, as two annotations may share one.
-    measures = [F.count_distinct(F.when(F.col("first") <= k, F.col("id"))).alias(f"k{k}") for k in ks]
+    # Counts distinct ids of a document, as two annotations may share one.
+    name = F.struct("path", "id") if "path" in annotations.columns else F.col("id")
+    measures = [F.count_distinct(F.when(F.col("first") <= k, name)).alias(f"k{k}") for k in ks]
     totals = rows.agg(F.count("*").alias("total"), *measures)
     pairs = F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"k{k}").alias("matched")) for k in ks]))
     return totals.select("total", pairs).select("k", "matched", F.bround(S.safe_ratio("matched", "total"), 4).alias("recall"))
@@ -278,8 +279,21 @@ class Evaluation:
         return counts.withColumns(prf("true_positives", "false_positives", "positive_annotations"))
 
 
+def over_documents(rows: DataFrame, number: str, first: str, second: str) -> DataFrame:
+    """``number``, which starts anew in every document, as one numbering over all of them."""
+    return global_rank(rows.drop("_doc_number").withColumnRenamed(number, "_doc_number"), [F.col(first), F.col(second)], number).drop("_doc_number")
+
+
 def evaluate(annotations: DataFrame, candidates: DataFrame) -> Evaluation:
-    """``candidates`` carry ``rank, id, source, start, end, score, action``; sources already resolved."""
+    """``candidates`` carry ``rank, id, source, start, end, score, action``; sources already resolved.
+
+    Rows of several documents, told apart by ``path``, are one evaluation: annotations count on from document to
+    document, candidates by their rank in their own document first.
+    """
+    if "path" in annotations.columns:
+        annotations = over_documents(annotations, "ann_index", "path", "_doc_number")
+    if "path" in candidates.columns:
+        candidates = over_documents(candidates, "rank", "_doc_number", "path")
     return Evaluation(annotations, candidates)
 
 

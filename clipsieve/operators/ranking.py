@@ -46,3 +46,10 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, o
     """First ``n`` rows per group; Spark prunes each map task to ``n`` per group before the shuffle."""
     spec = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn(out, F.row_number().over(spec)).where(F.col(out) <= n)
+
+
+def rank_per_group(df: DataFrame, keys: list[str], order: list[Column], out: str = "rank") -> DataFrame:
+    """1-based rank of every row in its group; a group of any size is sorted by several tasks."""
+    total = global_rank(df, [*map(F.col, keys), *order], "_total")
+    first = total.groupBy(*keys).agg(F.min("_total").alias("_first"))
+    return total.join(first, keys).withColumn(out, F.col("_total") - F.col("_first") + 1).drop("_total", "_first")

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clipsieve.config import DEFAULT_WEIGHTS, ScoringConfig
 from clipsieve.operators import evaluate as E, intervals as I, rating as R
-from clipsieve.operators.ranking import top_per_group
+from clipsieve.operators.ranking import rank_per_group, top_per_group
 from clipsieve.session import cut_lineage
 
 # The grid.  "base" entries come from the run's own configuration.
@@ -32,20 +32,20 @@ CANDIDATE_LIMITS = (50, 75, 100)
 def grid_axes(base: ScoringConfig) -> dict[str, dict]:
     """The five axes, base entries first."""
     weights = {**DEFAULT_WEIGHTS, **base.weights}
-    limits = sorted({base.max_candidates or 50, *CANDIDATE_LIMITS})
+    limits = [*([None] if base.max_candidates is None else []), *sorted({base.max_candidates, *CANDIDATE_LIMITS} - {None})]
     return {
         "weight": {"base": tuple(weights[n] for n in _NAMES), **WEIGHT_PROFILES},
         "threshold": {"base": (base.min_select_score, base.min_review_score, base.min_broll_score), **THRESHOLD_PROFILES},
         "roll": {"base": (base.window_pre_roll, base.window_post_roll, base.merge_gap), **ROLL_PROFILES},
         "audio": {"base": (base.audio_spike_percentile, base.audio_spike_floor_db), **AUDIO_PROFILES},
-        "limit": {str(n): (n,) for n in limits},
+        "limit": {"all" if n is None else str(n): (n,) for n in limits},
     }
 
 
 def _axis(values: dict, names: tuple[str, ...], tag: str) -> Column:
     """An axis as an array of structs, its position and values included."""
     return F.array(*[
-        F.struct(F.lit(i).alias(f"{tag}_no"), F.lit(name).alias(tag), *[F.lit(v).alias(n) for n, v in zip(names, row)])
+        F.struct(F.lit(i).alias(f"{tag}_no"), F.lit(name).alias(tag), *[(F.lit(None).cast("int") if v is None else F.lit(v)).alias(n) for n, v in zip(names, row)])
         for i, (name, row) in enumerate(values.items())
     ])
 
@@ -114,8 +114,8 @@ def _fallbacks(assets: DataFrame, runs: DataFrame, axes: dict) -> DataFrame:
     )
 
 
-def scored_sets(signals: R.Signals, base: ScoringConfig, keep: int) -> DataFrame:
-    """The best ``keep`` windows of every (weight, audio, roll) set, with their rank.
+def scored_sets(signals: R.Signals, base: ScoringConfig, keep: int | None) -> DataFrame:
+    """The best ``keep`` windows of every (weight, audio, roll) set, with their rank; all of them without a limit.
 
     Technical points are the stored ones of the base run, so no profile changes them.
     """
@@ -129,7 +129,8 @@ def scored_sets(signals: R.Signals, base: ScoringConfig, keep: int) -> DataFrame
     weights = {n: F.col(f"w_{n}").cast("double") for n in _NAMES}
     scored = rows.withColumns(R.score_columns(weights)).withColumn("score", R.total_score())
     slim = scored.select("weight", "audio", "roll", "source", "start", "end", "score")
-    return top_per_group(slim, ["weight", "audio", "roll"], R.rank_order(), keep)
+    keys = ["weight", "audio", "roll"]
+    return rank_per_group(slim, keys, R.rank_order()) if keep is None else top_per_group(slim, keys, R.rank_order(), keep)
 
 
 def sweep_scoring(signals: R.Signals, annotations: DataFrame, base: ScoringConfig) -> DataFrame:
@@ -141,10 +142,10 @@ def sweep_scoring(signals: R.Signals, annotations: DataFrame, base: ScoringConfi
     spark = annotations.sparkSession
     grid = config_grid(spark, base)
     limits = [row[0] for row in grid_axes(base)["limit"].values()]
-    sets = cut_lineage(scored_sets(signals, base, max(limits)))
+    sets = cut_lineage(scored_sets(signals, base, None if None in limits else max(limits)))
     set_keys = ["weight", "audio", "roll"]
     chosen = (
-        sets.join(grid, set_keys).where(F.col("rank") <= F.col("max_candidates"))
+        sets.join(grid, set_keys).where(F.col("max_candidates").isNull() | (F.col("rank") <= F.col("max_candidates")))
         .withColumn("action", R.action_for("score", F.col("min_select"), F.col("min_review"), F.col("min_broll")))
     )
     counts = chosen.groupBy("config_no").agg(F.count("*").alias("candidate_count"))

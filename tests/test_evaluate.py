@@ -149,3 +149,41 @@ def test_sweep_grid_and_rank(spark):
     signals = Signals(asset, scenes=spark.createDataFrame([("a", 10.0)], schemas.SCENES), levels=spark.createDataFrame([("a", 9.0, -42.0), ("a", 10.0, -12.0)], schemas.LEVELS))
     rows = W.sweep_scoring(signals, annotations(spark, [("a", 9.0, 14.0, "select", [])]), ScoringConfig()).orderBy("rank").collect()
     assert len(rows) == 648 and rows[0].f1 == 1.0 and rows[0].true_positives == 1
+
+
+def test_several_documents_are_one_evaluation(spark):
+    a = annotations(spark, [("a", 10.0, 20.0, "select", [])]).withColumn("path", F.lit("one.json"))
+    a = a.union(annotations(spark, [("b", 30.0, 40.0, "select", [])]).withColumn("path", F.lit("two.json")))
+    c = candidates(spark, [("a", 10.0, 20.0, 90, "select")]).withColumn("path", F.lit("one.json"))
+    c = c.union(candidates(spark, [("b", 30.0, 40.0, 90, "select")]).withColumn("path", F.lit("two.json")))
+    e = E.evaluate(a, c)
+    m = e.metrics.first()
+    assert (m.true_positives, m.false_positives, m.missed, m.precision) == (2, 0, 0, 1.0)
+    assert {r.source for r in e.matches.collect()} == {"a", "b"}
+    assert all(r.recall == 1.0 for r in e.recall_at.collect())
+
+
+def test_equal_frames_stay_apart_in_any_block_size(spark, monkeypatch):
+    from clipsieve.operators import ai
+
+    frames = spark.createDataFrame([("a", 1.0, [1.0, 0.0]), ("a", 1.0, [1.0, 0.0]), ("a", 2.0, [0.0, 1.0])], "source string, time double, vector array<double>")
+    prompts = spark.createDataFrame([("p", i, f"l{i}", "t", "x", [float(i == "a"), float(i == "b")]) for i in "ab"],
+                                    "profile string, id string, label string, prompt string, intent string, vector array<double>")
+    want = sorted(map(str, ai.score_frames(frames, prompts, profile="p").collect()))
+    monkeypatch.setattr(ai, "PROMPT_BLOCK", 1)
+    assert sorted(map(str, ai.score_frames(frames, prompts, profile="p").collect())) == want and len(want) == 3
+
+
+def test_grid_without_a_limit():
+    assert list(W.grid_axes(ScoringConfig(max_candidates=None))["limit"]) == ["all", "50", "75", "100"]
+    assert list(W.grid_axes(ScoringConfig())["limit"]) == ["50", "75", "100"]
+
+
+def test_rank_per_group_equals_a_window(spark):
+    from pyspark.sql import Window
+
+    from clipsieve.operators.ranking import rank_per_group
+
+    df = spark.range(500).select((F.col("id") % 3).alias("k"), F.col("id"), F.xxhash64("id").alias("v"))
+    want = df.withColumn("rank", F.row_number().over(Window.partitionBy("k").orderBy("v")).cast("long"))
+    assert sorted(rank_per_group(df, ["k"], [F.col("v")]).select(*want.columns).collect()) == sorted(want.collect())
