@@ -109,7 +109,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
 
 
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
-    """Fits on the driver from two bounded samples; held-out labels are not read into any of them."""
+    """Fits from two bounded samples; held-out labels are not read into any of them."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
     order = F.xxhash64("doc_id")
@@ -122,13 +122,23 @@ def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE,
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.binary())], names=["positive", "features"])
 
     wanted = F.broadcast(confirmed.union(anything))  # at most max_positive + max_unlabelled ids
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("positive", "text").mapInArrow(run, "positive boolean, features binary").toArrow()
-    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("features")]
-    is_positive = rows.column("positive").to_pylist()
-    sides = [[s for s, p in zip(sets, is_positive) if p is side] for side in (True, False)]
-    for side in sides:
-        side.sort(key=lambda s: s.tobytes())  # the order of arrival must not matter
-    return fit(*sides, prior)
+    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("positive", "text").mapInArrow(run, "positive boolean, features binary")
+
+    def learn(source):
+        """Fits in one task, which the bounds of the samples keep small."""
+        sides: tuple[list, list] = [], []
+        for batch in source:
+            for positive, found in zip(batch.column("positive").to_pylist(), batch.column("features")):
+                sides[not positive].append(np.frombuffer(found.as_py(), np.uint64))
+        for side in sides:
+            side.sort(key=lambda x: x.tobytes())  # the order of arrival must not matter
+        model = fit(*sides, prior)
+        yield pa.RecordBatch.from_arrays([pa.array([model.keys.tobytes()]), pa.array([model.weights.tobytes()]), pa.array([model.bias])], names=["keys", "weights", "bias"])
+
+    found = rows.repartition(1).mapInArrow(learn, "keys binary, weights binary, bias double").first()
+    if found is None:
+        return Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
+    return Model(np.frombuffer(bytes(found["keys"]), np.uint64), np.frombuffer(bytes(found["weights"])), found["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
