@@ -1,7 +1,8 @@
 """Headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one JSON line.
 
 Each query is planned and run in full into a no-op sink, after one warm-up run, and the
-median of ``$BENCH_RUNS`` runs counts.  Tables a query needs are computed inside its time.
+median of ``$BENCH_RUNS`` runs counts.  Tables a query needs are computed inside its time, but for the
+candidates that evaluate reads, which are made before.
 """
 
 from __future__ import annotations
