@@ -235,13 +235,18 @@ view("grid", "", f"""
           (SELECT unnest({_struct_list(AXES["limit"], "n")}) AS l))""")
 
 
-@query("J15_config_grid", with_views("grid") + """
-  SELECT name, weight, threshold, roll, audio, w_visual, w_transcript, min_select, min_broll, max_candidates FROM grid""")
+@query("J15_config_grid", with_views("grid", "cands") + """
+, per AS (SELECT DISTINCT max_candidates, min_select FROM grid)
+, n AS (SELECT max_candidates, min_select, count(id) AS selected FROM per LEFT JOIN cands ON "rank" <= max_candidates AND score >= min_select GROUP BY ALL)
+  SELECT name, weight, threshold, roll, audio, w_visual, w_transcript, min_select, min_broll, max_candidates, selected FROM grid JOIN n USING (max_candidates, min_select)""")
 def config_grid(spark, sf):
-    """The grid depends on the configuration alone; candidates of the run give the base limit."""
-    base = CFG.with_(max_candidates=50)
-    grid = W.config_grid(spark, base)
-    return grid.select("name", "weight", "threshold", "roll", "audio", "w_visual", "w_transcript", "min_select", "min_broll", "max_candidates")
+    """The grid, with the number of candidates of the run that each configuration's limit and threshold would select."""
+    grid = W.config_grid(spark, CFG.with_(max_candidates=50))
+    limits = F.array(*(F.lit(int(k)) for k in W.grid_axes(CFG.with_(max_candidates=50))["limit"]))
+    within = F.explode(F.filter(limits, lambda k: F.col("rank") <= k)).alias("max_candidates")
+    scores = B.candidates(spark, sf).select("score", within).groupBy("max_candidates", "score").agg(F.count("*").alias("n"))
+    selected = grid.join(scores, "max_candidates", "left").groupBy("name").agg(F.coalesce(F.sum(F.when(F.col("score") >= F.col("min_select"), F.col("n"))), F.lit(0)).alias("selected"))
+    return grid.join(selected, "name").select("name", "weight", "threshold", "roll", "audio", "w_visual", "w_transcript", "min_select", "min_broll", "max_candidates", "selected")
 
 
 view("s_audio", "", f"SELECT a.* FROM (SELECT unnest({_struct_list(AXES['audio'], ('p', 'f'))}) AS a)")

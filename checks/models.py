@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 from functools import lru_cache
 
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from clipsieve.config import ScoringConfig
 from clipsieve.functions import scalars as S, vocab as V
 from clipsieve.operators import ai as A, content as C, learning as L, rating as R, sweep as W
 from clipsieve.plans import bridge as B, presets as P
+from clipsieve.session import shared_dir
 from clipsieve.sinks import tables as K
 from clipsieve.sources import documents as D
 
@@ -105,13 +106,6 @@ def missed_review(spark, sf):
     return A.missed_review(_missed(spark, sf)).select("id", "decision", "order", "source", "score")
 
 
-@query("L5_profiles")
-def profiles(spark, sf):
-    """The prompt banks next to the labels found in the embeddings table's frames."""
-    found = _scored(spark, sf).agg(F.count("*").alias("frames")).withColumn("_one", F.lit(1))
-    return A.profile_list(spark).withColumn("_one", F.lit(1)).join(F.broadcast(found), "_one").select("id", "name", "prompt_count", flat("labels"), "frames")
-
-
 # -- judgments ------------------------------------------------------------------------------------
 
 def _responses(spark, sf):
@@ -270,9 +264,15 @@ def apply_learned(spark, sf):
     return rows.select("rank", "source", r4("start"), "score", "action")
 
 
-@query("S26_review_dataset_files")
+def _fresh(spark):
+    """A new folder that the driver and all executors see."""
+    return f"{shared_dir(spark)}/checks/{uuid.uuid4().hex}"
+
+
+@query("S26_review_dataset_files", with_views("training", "features") + """
+  SELECT t.id, target, count(*) AS features FROM training t JOIN features f USING ("rank") GROUP BY t.id, target""")
 def review_dataset_files(spark, sf):
-    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    path = _fresh(spark)
     D.write_review_dataset(_dataset(spark, sf), path)
     return D.read_review_dataset(spark, path).select("clip.id", "label.target", F.size("features").alias("features"))
 
@@ -440,20 +440,16 @@ def normalize_key(spark, sf):
 
 # -- sinks, documents on disk, presets --------------------------------------------------------------------
 
-def _fresh():
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
 @query("K1_write_inventory")
 def write_inventory(spark, sf):
-    path = _fresh()
+    path = _fresh(spark)
     K.write_inventory(B.assets(spark, sf), path)
     return spark.read.option("header", True).csv(f"{path}/csv")
 
 
-@query("K2_write_ratings")
+@query("K2_write_ratings", with_views("cands") + "SELECT id, source, score, action FROM cands")
 def write_ratings(spark, sf):
-    path = _fresh()
+    path = _fresh(spark)
     K.write_table(B.candidates(spark, sf).select(*R.CANDIDATE_COLUMNS), path)
     return spark.read.parquet(path).select("id", "source", "score", "action")
 
@@ -461,7 +457,7 @@ def write_ratings(spark, sf):
 @query("K6_config_candidates_csv")
 def config_candidates_csv(spark, sf):
     rows = W.sweep_scoring(B.signals(spark, sf), B.annotations(spark, sf), CFG)
-    path = _fresh()
+    path = _fresh(spark)
     K.write_csv(K.config_table(rows), path)
     return spark.read.option("header", True).option("escape", "\\").csv(path).select("rank", "name", "f1", "candidate_count", "weights")
 

@@ -16,6 +16,10 @@ from clipsieve.session import cut_lineage
 
 # Prompts shipped to every frame as one array; a larger bank is scored in blocks of this size.
 PROMPT_BLOCK = 512
+# Blocks, over all profiles, that may be broadcast.
+MAX_SHIPPED_BLOCKS = 64
+# Parts into which the frames of a profile are dealt, where blocks are joined.
+FRAME_PARTS = 64
 
 
 def profile_id(name: str) -> str:
@@ -72,25 +76,30 @@ def score_frames(frames: DataFrame, prompts: DataFrame, min_score: float = 0.22,
 
     ``frames``: ``source, time, vector`` (and ``profile`` unless given).  Prompts come as an
     array, so a frame is scored inside its own row: no pairs, no shuffle of frames.  A bank
-    that fills more than one block is scored block by block and its sums are combined per frame.
+    that fills more than one block, or profiles of more than ``MAX_SHIPPED_BLOCKS`` in all, are joined block
+    by block to frames dealt evenly over ``FRAME_PARTS``, and the logits are combined per frame.  Either way
+    gives the same rows.
     """
     if profile is not None:
         frames = frames.withColumn("profile", F.lit(profile))
     blocks = _prompt_blocks(prompts)
-    many = blocks.where(F.col("_block") > 0).limit(1).count() > 0
+    sizes = prompts.groupBy("profile").count().agg(F.max("count").alias("most"), F.count("*").alias("profiles")).first()
+    many = (sizes["most"] or 0) > PROMPT_BLOCK or sizes["profiles"] > MAX_SHIPPED_BLOCKS
     logits = F.transform("_prompts", lambda p: F.struct(
         p["id"].alias("id"), p["label"].alias("label"), p["prompt"].alias("prompt"), p["intent"].alias("intent"),
         (dot(F.col("_unit"), p["unit"]) * 100.0).alias("logit"),
     ))
     rows = frames.withColumn("_unit", unit(F.col("vector")))
     if not many:
-        # At most PROMPT_BLOCK prompts per profile.
+        # At most MAX_SHIPPED_BLOCKS rows of at most PROMPT_BLOCK prompts.
         scored = rows.join(F.broadcast(blocks.drop("_block")), "profile").withColumn("_logits", logits)
     else:
         # Frames may be alike in all columns, so each has a number of its own, fixed before the join.
         keys = [*(c for c in frames.columns if c != "vector"), "_frame"]
         numbered = cut_lineage(rows.withColumn("_frame", F.monotonically_increasing_id()))
-        parts = numbered.join(blocks, "profile").withColumn("_logits", logits)
+        dealt = numbered.withColumn("_part", F.pmod(F.xxhash64("_frame"), F.lit(FRAME_PARTS)).cast("int"))
+        copies = blocks.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(FRAME_PARTS - 1))))
+        parts = dealt.join(copies, ["profile", "_part"]).withColumn("_logits", logits)
         scored = parts.groupBy(*keys).agg(F.flatten(F.collect_list("_logits")).alias("_logits"))
     # One struct computed in one place: later filters on its fields do not repeat the inner steps.
     return (

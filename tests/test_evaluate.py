@@ -170,8 +170,9 @@ def test_equal_frames_stay_apart_in_any_block_size(spark, monkeypatch):
     prompts = spark.createDataFrame([("p", i, f"l{i}", "t", "x", [float(i == "a"), float(i == "b")]) for i in "ab"],
                                     "profile string, id string, label string, prompt string, intent string, vector array<double>")
     want = sorted(map(str, ai.score_frames(frames, prompts, profile="p").collect()))
-    monkeypatch.setattr(ai, "PROMPT_BLOCK", 1)
-    assert sorted(map(str, ai.score_frames(frames, prompts, profile="p").collect())) == want and len(want) == 3
+    for name, value in (("MAX_SHIPPED_BLOCKS", 0), ("PROMPT_BLOCK", 1), ("FRAME_PARTS", 1)):
+        monkeypatch.setattr(ai, name, value)
+        assert sorted(map(str, ai.score_frames(frames, prompts, profile="p").collect())) == want and len(want) == 3
 
 
 def test_grid_without_a_limit():
