@@ -56,13 +56,15 @@ def recurring(
     tokens = distinct.select("leaf", "id", "lo", "hi", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
     constant = tokens.groupBy("leaf", "at", "token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("leaf", "at", "token")
     kept = tokens.select("leaf", "id", "at", "token").join(constant, ["leaf", "at", "token"])
-    fixed = kept.where(F.col("token") != FIELD).groupBy("leaf", "id").agg(F.array_sort(F.collect_list(F.struct("at", "token"))).alias("fixed"))
+    fixed = kept.where(F.col("token") != FIELD).groupBy("leaf", "id").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("fixed"))
     known = distinct.select("leaf", "masked", "id").join(fixed, ["leaf", "id"])
     size = F.size(F.split("masked", " ", -1))
     known = known.where(F.size("fixed") >= min_constant * size)
-    named = F.map_from_entries("fixed")
-    template = F.array_join(F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.coalesce(F.try_element_at(named, i), F.lit(FIELD))), " ")
-    of_line = written(known.select("leaf", "masked", template.alias("template")), "templates")
+    # Each constant token after the fields since the one before it, so a line of any length is written in one pass.
+    since = lambda x, k: x["at"] - 1 - F.coalesce(F.get("fixed", k - 1)["at"], F.lit(-1))
+    parts = F.transform("fixed", lambda x, k: F.concat(F.repeat(F.lit(FIELD + " "), since(x, k)), x["token"]))
+    rest = F.array_repeat(F.lit(FIELD), size - 1 - F.get("fixed", F.size("fixed") - 1)["at"])
+    of_line = written(known.select("leaf", "masked", F.array_join(F.concat(parts, rest), " ").alias("template")), "templates")
     placed = live.join(of_line, ["leaf", "masked"]).select("doc_id", "text_hash", "line", "template")
     often = placed.select("template", doc.alias("doc")).distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
     return placed.join(often.select("template"), "template").select("doc_id", "text_hash", "line", "template")
