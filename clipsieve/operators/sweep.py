@@ -151,11 +151,12 @@ def sweep_scoring(signals: R.Signals, annotations: DataFrame, base: ScoringConfi
     counts = chosen.groupBy("config_no").agg(F.count("*").alias("candidate_count"))
     predicted = E.predicted_positive(chosen)
     positives = E.positive_annotations(annotations)
-    pairs = E.overlap_pairs(positives, sets, set_keys)
+    heads, members = E.annotation_classes(positives)
+    pairs = E.overlap_pairs(heads, sets, set_keys)
     open_pairs = pairs.join(
         predicted.select(*set_keys, F.col("rank").alias("cand_rank"), "config_no"), [*set_keys, "cand_rank"]
     ).drop(*set_keys)
-    matches = E.greedy_match_pairs(open_pairs, ["config_no"])
+    matches = E.greedy_match_pairs(members, open_pairs, ["config_no"])
     ignored = E._as_hits(annotations.where(F.col("rating").isin(*E.IGNORE_RATINGS)), "i_")
     excused = I.overlapping_hits(sets.select(*set_keys, "rank", "source", "start", "end"), ignored, ["source"]).select(
         *set_keys, "rank"

@@ -38,14 +38,40 @@ def test_greedy_match_equals_the_loop(spark):
     span = lambda: (float(s := rng.randint(0, 200)), float(s + rng.randint(1, 40)))
     c_rows = [(f"s{rng.randint(0, 1)}", *span(), rng.randint(0, 4) * 10, "select") for _ in range(40)]
     a_rows = [(f"s{rng.randint(0, 1)}", *span(), "select", []) for _ in range(80)]
+    got = E.greedy_match(annotations(spark, a_rows), candidates(spark, c_rows))
+    assert {r.ann_index: r.cand_rank for r in got.collect()} == loop(a_rows, c_rows)
+
+
+def loop(a_rows, c_rows):
     used, want = set(), {}
     for i, (s, a, b, *_) in enumerate(a_rows, 1):
         options = [(-(min(b, d) - max(a, x)), -score, j) for j, (t, x, d, score, _) in enumerate(c_rows, 1) if t == s and j not in used and min(b, d) > max(a, x)]
         if options:
             want[i] = min(options)[2]
             used.add(want[i])
+    return want
+
+
+def test_copies_are_matched_like_the_loop(spark):
+    """Few intervals, many copies of each on both sides, in mixed order."""
+    rng = random.Random(5)
+    spans = [(0.0, 10.0), (5.0, 20.0), (8.0, 12.0), (15.0, 30.0)]
+    a_rows = [("s", *rng.choice(spans), "select", []) for _ in range(16)]
+    c_rows = [("s", *rng.choice(spans), rng.randint(0, 2) * 10, "select") for _ in range(12)]
     got = E.greedy_match(annotations(spark, a_rows), candidates(spark, c_rows))
-    assert {r.ann_index: r.cand_rank for r in got.collect()} == want
+    assert {r.ann_index: r.cand_rank for r in got.collect()} == loop(a_rows, c_rows)
+
+
+def test_rounds_do_not_grow_with_copies(spark, monkeypatch):
+    rounds = []
+    cut = E.cut_lineage
+    monkeypatch.setattr(E, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    n = 3000
+    a_rows = [("s", 2.0, 4.0, "select", [])] * 3 + [("s", 0.0, 10.0, "select", [])] * n
+    c_rows = [("s", 0.0, 10.0, 50, "select")] * n
+    got = {r.ann_index: r.cand_rank for r in E.greedy_match(annotations(spark, a_rows), candidates(spark, c_rows)).collect()}
+    assert got == {i: i for i in range(1, n + 1)}
+    assert len(rounds) < 12
 
 
 def test_one_candidate_wanted_by_all(spark):
