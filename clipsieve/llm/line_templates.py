@@ -14,60 +14,85 @@ no row; other columns are kept by ``clean``.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clipsieve.llm.common import written
+from clipsieve.llm.common import batches, written
 
 DEPTH = 3
 MIN_TOKENS = 6
 MIN_DOCUMENTS = 3
 MIN_CONSTANT = 0.75
 FIELD = "<*>"
+#: White space that isn't one space, and a token with a digit once that is gone.
+_SPACES = r"[ \t\x0b\f\r]{2,}|[\t\x0b\f\r]"
+_VARIABLE = r"[^ \n]*[0-9][^ \n]*"
 
 
 def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def _masked(token: Column) -> Column:
-    return F.when(token.rlike("[0-9]"), FIELD).otherwise(token)
-
-
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """doc_id, text_hash, line (number), leaf, tokens of every line with enough tokens."""
-    line = docs.select("doc_id", _text_hash().alias("text_hash"), F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    tokens = F.split(F.regexp_replace("raw", r"^\s+|\s+$", ""), r"\s+", -1)
-    cut = line.select("doc_id", "text_hash", "line", tokens.alias("tokens")).where(F.size("tokens") >= min_tokens)
-    return cut.select("doc_id", "text_hash", "line", "tokens", F.xxhash64(F.size("tokens"), *(_masked(F.get("tokens", F.lit(k))) for k in range(DEPTH))).alias("leaf"))
+    """doc_id, text_hash, line (number), leaf, masked (tokens with one space between, fields for digits) of every line with enough tokens."""
+
+    def run(source):
+        for batch in batches(source, "text"):
+            text = pc.replace_substring_regex(batch.column("text"), _SPACES, " ")
+            lists = pc.split_pattern(pc.replace_substring_regex(text, _VARIABLE, FIELD), "\n")
+            row = np.asarray(pc.list_parent_indices(lists))
+            masked = pc.utf8_trim(pc.list_flatten(lists), " ")
+            n = np.asarray(pc.count_substring(masked, " ")) + 1
+            keep = np.flatnonzero(n >= min_tokens)
+            line = keep - np.searchsorted(row, row[keep])
+            columns = [batch.column(c).take(pa.array(row[keep])) for c in ("doc_id", "text_hash")]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, pa.array(line, pa.int32()), pa.array(n[keep], pa.int32()), masked.take(pa.array(keep))],
+                names=["doc_id", "text_hash", "line", "n", "masked"],
+            )
+
+    cut = docs.select("doc_id", "text", _text_hash().alias("text_hash")).mapInArrow(run, "doc_id long, text_hash long, line int, n int, masked string")
+    return cut.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH))).drop("n")
+
+
+def _filled(lines: DataFrame) -> DataFrame:
+    """id, template of every line: ``masked`` with a field wherever its place isn't in ``constant``."""
+
+    def run(source):
+        for batch in source:
+            out = []
+            for masked, constant in zip(batch.column("masked").to_pylist(), batch.column("constant").to_pylist()):
+                tokens = masked.split(" ")
+                template = [FIELD] * len(tokens)
+                for at in constant:
+                    template[at] = tokens[at]
+                out.append(" ".join(template))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "template"])
+
+    return lines.select("id", "masked", "constant").mapInArrow(run, "id long, template string")
 
 
 def recurring(
     docs: DataFrame, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, min_constant: float = MIN_CONSTANT,
 ) -> DataFrame:
-    """doc_id, text_hash, line, template of every line to drop."""
-    lines = _lines(docs, min_tokens)
+    """doc_id, text_hash, line, template of every line to drop.  Lines, tokens at their places and templates meet by 64-bit hashes."""
+    lines = written(_lines(docs, min_tokens), "cut-lines")
     doc = F.xxhash64("doc_id", "text_hash")
     several = lines.groupBy("leaf").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo < hi").select("leaf")
-    live = written(lines.join(several, "leaf").select(
-        "doc_id", "text_hash", "line", "leaf", F.array_join(F.transform("tokens", _masked), " ").alias("masked"),
-    ), "lines")
-    distinct = live.groupBy("leaf", "masked").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi"))
-    distinct = written(distinct.withColumn("id", F.xxhash64("leaf", "masked")), "distinct-lines")
-    tokens = distinct.select("leaf", "id", "lo", "hi", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
-    constant = tokens.groupBy("leaf", "at", "token").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("leaf", "at", "token")
-    kept = tokens.select("leaf", "id", "at", "token").join(constant, ["leaf", "at", "token"])
-    fixed = kept.where(F.col("token") != FIELD).groupBy("leaf", "id").agg(F.sort_array(F.collect_list(F.struct("at", "token"))).alias("fixed"))
-    known = distinct.select("leaf", "masked", "id").join(fixed, ["leaf", "id"])
-    size = F.size(F.split("masked", " ", -1))
-    known = known.where(F.size("fixed") >= min_constant * size)
-    # Each constant token after the fields since the one before it, so a line of any length is written in one pass.
-    since = lambda x, k: x["at"] - 1 - F.coalesce(F.get("fixed", k - 1)["at"], F.lit(-1))
-    parts = F.transform("fixed", lambda x, k: F.concat(F.repeat(F.lit(FIELD + " "), since(x, k)), x["token"]))
-    rest = F.array_repeat(F.lit(FIELD), size - 1 - F.get("fixed", F.size("fixed") - 1)["at"])
-    of_line = written(known.select("leaf", "masked", F.array_join(F.concat(parts, rest), " ").alias("template")), "templates")
-    placed = live.join(of_line, ["leaf", "masked"]).select("doc_id", "text_hash", "line", "template")
-    often = placed.select("template", doc.alias("doc")).distinct().groupBy("template").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
-    return placed.join(often.select("template"), "template").select("doc_id", "text_hash", "line", "template")
+    live = written(lines.join(several, "leaf").withColumn("id", F.xxhash64("leaf", "masked")), "lines")
+    distinct = written(live.groupBy("id", "leaf", "masked").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "distinct-lines")
+    tokens = distinct.select("id", "leaf", "lo", "hi", F.posexplode(F.split("masked", " ", -1)).alias("at", "token")).where(F.col("token") != FIELD)
+    tokens = tokens.select("id", "at", "lo", "hi", F.xxhash64("leaf", "at", "token").alias("placed"))
+    shared = tokens.groupBy("placed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("placed")
+    constant = tokens.select("id", "at", "placed").join(shared, "placed").groupBy("id").agg(F.collect_list("at").alias("constant"))
+    known = distinct.select("id", "masked").join(constant, "id")
+    known = known.where(F.size("constant") >= min_constant * F.size(F.split("masked", " ", -1)))
+    templates = written(_filled(known).withColumn("kind", F.xxhash64("template")), "templates")
+    placed = live.select("doc_id", "text_hash", "line", "id").join(templates, "id").drop("id")
+    often = placed.select("kind", doc.alias("doc")).distinct().groupBy("kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
+    return placed.join(often.select("kind"), "kind").select("doc_id", "text_hash", "line", "template")
 
 
 def _dropped(docs: DataFrame, **options) -> DataFrame:
