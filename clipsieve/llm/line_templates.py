@@ -78,18 +78,18 @@ def recurring(
     docs: DataFrame, min_tokens: int = MIN_TOKENS, min_documents: int = MIN_DOCUMENTS, min_constant: float = MIN_CONSTANT,
 ) -> DataFrame:
     """doc_id, text_hash, line, template of every line to drop.  Lines, tokens at their places and templates meet by 64-bit hashes."""
-    lines = written(_lines(docs, min_tokens), "cut-lines")
+    lines = written(_lines(docs, min_tokens), "cut-lines", "zstd")
     doc = F.xxhash64("doc_id", "text_hash")
     several = lines.groupBy("leaf").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo < hi").select("leaf")
-    live = written(lines.join(several, "leaf").withColumn("id", F.xxhash64("leaf", "masked")), "lines")
-    distinct = written(live.groupBy("id", "leaf", "masked").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "distinct-lines")
+    live = written(lines.join(several, "leaf").withColumn("id", F.xxhash64("leaf", "masked")), "lines", "zstd")
+    distinct = written(live.groupBy("id", "leaf", "masked").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "distinct-lines", "zstd")
     tokens = distinct.select("id", "leaf", "lo", "hi", F.posexplode(F.split("masked", " ", -1)).alias("at", "token")).where(F.col("token") != FIELD)
     tokens = tokens.select("id", "at", "lo", "hi", F.xxhash64("leaf", "at", "token").alias("placed"))
     shared = tokens.groupBy("placed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("placed")
     constant = tokens.select("id", "at", "placed").join(shared, "placed").groupBy("id").agg(F.collect_list("at").alias("constant"))
     known = distinct.select("id", "masked").join(constant, "id")
     known = known.where(F.size("constant") >= min_constant * F.size(F.split("masked", " ", -1)))
-    templates = written(_filled(known).withColumn("kind", F.xxhash64("template")), "templates")
+    templates = written(_filled(known).withColumn("kind", F.xxhash64("template")), "templates", "zstd")
     placed = live.select("doc_id", "text_hash", "line", "id").join(templates, "id").drop("id")
     often = placed.select("kind", doc.alias("doc")).distinct().groupBy("kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
     return placed.join(often.select("kind"), "kind").select("doc_id", "text_hash", "line", "template")
