@@ -1,10 +1,13 @@
 """Log-template tree over lines; recurring templates are dropped.
 
 A line walks a tree of fixed depth: its number of tokens, then its first ``DEPTH`` tokens, a token with a digit standing
-for any such.  In a leaf a token that only one document has at its place is a variable field.  What remains is
-the line's template; one that ``MIN_DOCUMENTS`` documents share is dropped wherever it occurs, if ``MIN_CONSTANT``
-of its tokens are constant and it has ``MIN_TOKENS`` or more.  Leaves seen in one document are settled by a count, and
-equal lines meet once, so a line that a third of all documents repeat costs one row.
+for any such.  In a leaf a word behind the first ``DEPTH`` counts as often as distinct lines have it at its place (copies
+and repeated lines add nothing).  Each line is held against the upper median of its own counts: a word of a lower count is
+a variable field, however often its value comes back.  So half of these words or more are constant, and lines of one
+template, whose constant words have equal counts, get equal fields.  What remains is the line's template; one that
+``MIN_DOCUMENTS`` documents share is dropped wherever it occurs, if ``min_constant`` of its tokens are constant and it has
+``min_tokens`` or more.  With too few constant tokens the line with its digits masked is the template.  Leaves seen in
+one document are settled by a count, and equal lines meet once, so a line that a third of all documents repeat costs one row.
 
 Tokens are runs without white space.  Defined results: a null text has no line, an empty one has one empty line that is
 never dropped; a line repeated within one document doesn't recur across documents; rows that repeat doc_id and text
@@ -57,21 +60,29 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
     return cut.withColumn("leaf", F.xxhash64("n", F.substring_index("masked", " ", DEPTH))).drop("n")
 
 
-def _filled(lines: DataFrame) -> DataFrame:
-    """id, template of every line: ``masked`` with a field wherever its place isn't in ``constant``."""
+def _filled(lines: DataFrame, min_constant: float) -> DataFrame:
+    """id, template of every line that may recur.  ``counts``: place and count of words that several lines have; others count 1."""
+
+    def template(masked, counts, several):
+        tokens = masked.split(" ")
+        count = [0 if t == FIELD else 1 for t in tokens]
+        for c in counts or ():
+            count[c["at"]] = c["n"]
+        need = max(1, min_constant * len(tokens))
+        behind = sorted(filter(None, count[DEPTH:]), reverse=True)
+        if behind and behind[-1] < (median := behind[(len(behind) - 1) // 2]):
+            kept = [t if k < DEPTH or count[k] >= median else FIELD for k, t in enumerate(tokens)]
+            if len(kept) - kept.count(FIELD) >= need:
+                return " ".join(kept)
+        return masked if several and sum(map(bool, count)) >= need else None
 
     def run(source):
         for batch in source:
-            out = []
-            for masked, constant in zip(batch.column("masked").to_pylist(), batch.column("constant").to_pylist()):
-                tokens = masked.split(" ")
-                template = [FIELD] * len(tokens)
-                for at in constant:
-                    template[at] = tokens[at]
-                out.append(" ".join(template))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "template"])
+            out = list(map(template, *(batch.column(c).to_pylist() for c in ("masked", "counts", "several"))))
+            made = pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out, pa.string())], names=["id", "template"])
+            yield made.filter(pc.is_valid(made.column("template")))
 
-    return lines.select("id", "masked", "constant").mapInArrow(run, "id long, template string")
+    return lines.select("id", "masked", "counts", "several").mapInArrow(run, "id long, template string")
 
 
 def recurring(
@@ -83,13 +94,12 @@ def recurring(
     several = lines.groupBy("leaf").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")).where("lo < hi").select("leaf")
     live = written(lines.join(several, "leaf").withColumn("id", F.xxhash64("leaf", "masked")), "lines", "zstd")
     distinct = written(live.groupBy("id", "leaf", "masked").agg(F.min(doc).alias("lo"), F.max(doc).alias("hi")), "distinct-lines", "zstd")
-    tokens = distinct.select("id", "leaf", "lo", "hi", F.posexplode(F.split("masked", " ", -1)).alias("at", "token")).where(F.col("token") != FIELD)
-    tokens = tokens.select("id", "at", "lo", "hi", F.xxhash64("leaf", "at", "token").alias("placed"))
-    shared = tokens.groupBy("placed").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi").select("placed")
-    constant = tokens.select("id", "at", "placed").join(shared, "placed").groupBy("id").agg(F.collect_list("at").alias("constant"))
-    known = distinct.select("id", "masked").join(constant, "id")
-    known = known.where(F.size("constant") >= min_constant * F.size(F.split("masked", " ", -1)))
-    templates = written(_filled(known).withColumn("kind", F.xxhash64("template")), "templates", "zstd")
+    tokens = distinct.select("id", "leaf", F.posexplode(F.split("masked", " ", -1)).alias("at", "token"))
+    tokens = tokens.where((F.col("at") >= DEPTH) & (F.col("token") != FIELD)).select("id", "at", F.xxhash64("leaf", "at", "token").alias("placed"))
+    shared = tokens.groupBy("placed").agg(F.count("*").alias("n")).where("n > 1")
+    counts = tokens.join(shared, "placed").groupBy("id").agg(F.collect_list(F.struct("at", "n")).alias("counts"))
+    known = distinct.select("id", "masked", (F.col("lo") < F.col("hi")).alias("several")).join(counts, "id", "left").where("several or counts is not null")
+    templates = written(_filled(known, min_constant).withColumn("kind", F.xxhash64("template")), "templates", "zstd")
     placed = live.select("doc_id", "text_hash", "line", "id").join(templates, "id").drop("id")
     often = placed.select("kind", doc.alias("doc")).distinct().groupBy("kind").agg(F.count("*").alias("n")).where(F.col("n") >= min_documents)
     return placed.join(often.select("kind"), "kind").select("doc_id", "text_hash", "line", "template")

@@ -176,3 +176,23 @@ def test_line_templates(spark):
     cleaned = {(r["doc_id"], r["text"]) for r in line_templates.clean(documents(spark, data)).collect()}
     assert cleaned == {(r[0], None if r[1] is None else "\n".join(x for n, x in enumerate(r[1].split("\n")) if n not in drop[r[0], r[1]])) for r in data}
     assert line_templates.report(documents(spark, [])).count() == 0
+
+
+def dropped_lines(spark, texts, **options):
+    data = [(k, t, "en", "a", 1) for k, t in enumerate(texts)]
+    return {r["doc_id"]: r["dropped"] for r in line_templates.report(documents(spark, data), **options).collect()}
+
+
+def test_fields_whose_values_come_back(spark):
+    names, cities = ([f"{c}{a}{b}" for a in "abcde" for b in "vwxyz"] for c in "nc")
+    # Every name and every city occurs in two documents, every pair in one; the last line exists twice, another template of the leaf once.
+    pairs = [(k, (7 * k + j) % 25) for k in range(25) for j in (0, 1)]
+    texts = [f"sign in of user {names[a]} from the city {cities[b]} again" for a, b in pairs]
+    alone = "sign in of nobody else is wanted in town today"
+    found = dropped_lines(spark, [*texts, texts[-1], alone])
+    assert found == {k: [0] for k in range(len(texts) + 1)} | {len(texts) + 1: []}
+
+
+def test_prose_of_one_leaf_stays(spark):
+    texts = ["in this paper we ask how bees find home", "in this paper they show why rivers turn north", "in this paper we learn what old towns eat"]
+    assert not any(dropped_lines(spark, texts, min_constant=0).values())
