@@ -5,8 +5,10 @@ for any such.  In a leaf a word behind the first ``DEPTH`` counts as often as di
 and repeated lines add nothing).  Each line is held against the upper median of its own counts: a word of a lower count is
 a variable field, however often its value comes back.  So half of these words or more are constant, and lines of one
 template, whose constant words have equal counts, get equal fields.  What remains is the line's template; one that
-``MIN_DOCUMENTS`` documents share is dropped wherever it occurs, if ``min_constant`` of its tokens are constant and it has
-``min_tokens`` or more.  With too few constant tokens the line with its digits masked is the template.  Leaves seen in
+``MIN_DOCUMENTS`` documents share is dropped wherever it occurs, if it holds a letter and half of its tokens,
+``MIN_WORDS`` at most, are constant: tokens with digits may be any share of the others.  With too few constant tokens the
+line with its digits masked is the template.  A caller can ask for more: ``min_tokens`` and ``min_constant``, a share of all
+tokens, which default to ``MIN_TOKENS`` and ``MIN_CONSTANT``; ``EVERY_LINE`` asks for nothing more.  Leaves seen in
 one document are settled by a count, and equal lines meet once, so a line that a third of all documents repeat costs one row.
 
 Tokens are runs without white space.  Defined results: a null text has no line, an empty one has one empty line that is
@@ -28,6 +30,8 @@ DEPTH = 3
 MIN_TOKENS = 6
 MIN_DOCUMENTS = 3
 MIN_CONSTANT = 0.75
+MIN_WORDS = 3
+EVERY_LINE = {"min_tokens": 1, "min_constant": 0}
 FIELD = "<*>"
 #: White space that isn't one space, and a token with a digit once that is gone.
 _SPACES = r"[ \t\x0b\f\r]{2,}|[\t\x0b\f\r]"
@@ -39,7 +43,7 @@ def _text_hash() -> Column:
 
 
 def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
-    """doc_id, text_hash, line (number), leaf, masked (tokens with one space between, fields for digits) of every line with enough tokens."""
+    """doc_id, text_hash, line (number), leaf, masked (tokens with one space between, fields for digits) of every line with a letter and enough tokens."""
 
     def run(source):
         for batch in batches(source, "text"):
@@ -48,7 +52,7 @@ def _lines(docs: DataFrame, min_tokens: int) -> DataFrame:
             row = np.asarray(pc.list_parent_indices(lists))
             masked = pc.utf8_trim(pc.list_flatten(lists), " ")
             n = np.asarray(pc.count_substring(masked, " ")) + 1
-            keep = np.flatnonzero(n >= min_tokens)
+            keep = np.flatnonzero((n >= min_tokens) & np.asarray(pc.match_substring_regex(masked, r"\pL")))
             line = keep - np.searchsorted(row, row[keep])
             columns = [batch.column(c).take(pa.array(row[keep])) for c in ("doc_id", "text_hash")]
             yield pa.RecordBatch.from_arrays(
@@ -68,7 +72,7 @@ def _filled(lines: DataFrame, min_constant: float) -> DataFrame:
         count = [0 if t == FIELD else 1 for t in tokens]
         for c in counts or ():
             count[c["at"]] = c["n"]
-        need = max(1, min_constant * len(tokens))
+        need = max(1, min(len(tokens) // 2, MIN_WORDS), min_constant * len(tokens))
         behind = sorted(filter(None, count[DEPTH:]), reverse=True)
         if behind and behind[-1] < (median := behind[(len(behind) - 1) // 2]):
             kept = [t if k < DEPTH or count[k] >= median else FIELD for k, t in enumerate(tokens)]

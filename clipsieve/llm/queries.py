@@ -24,7 +24,7 @@ def op3_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_templates.report(table(spark, sf_dir, "documents"))
+    return line_templates.report(table(spark, sf_dir, "documents"), **line_templates.EVERY_LINE)
 
 
 def op5_large_item_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

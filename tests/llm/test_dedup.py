@@ -196,3 +196,18 @@ def test_fields_whose_values_come_back(spark):
 def test_prose_of_one_leaf_stays(spark):
     texts = ["in this paper we ask how bees find home", "in this paper they show why rivers turn north", "in this paper we learn what old towns eat"]
     assert not any(dropped_lines(spark, texts, min_constant=0).values())
+
+
+def test_log_lines_and_short_lines(spark):
+    log = [f"2024-05-0{k} 12:00:0{k} INFO worker 1{k} finished job 99{k} in 2{k} ms" for k in range(4)]
+    address = [f"10.0.0.{k}:80 GET /item/{k} 200 {k}3 bytes by agent{k}" for k in range(4)]
+    short = ["All rights reserved.", "Released under the MIT License", "Licensed under CC BY-NC 4.0.", "Page 7", "Contents"]
+    texts = ["\n".join([log[k], address[k], *short, f"{k} 1{k} 2{k}", "---", "", f"only {'abcd'[k]}"]) for k in range(4)]
+    assert dropped_lines(spark, texts, **line_templates.EVERY_LINE) == {k: list(range(7)) for k in range(4)}
+
+
+def test_query_takes_every_line(spark, tmp_path):
+    from clipsieve.llm.queries import op4_line_templates
+
+    documents(spark, [(k, "All rights reserved.", "en", "a", 1) for k in range(3)]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["dropped"] for r in op4_line_templates(spark, str(tmp_path)).collect()] == [[0]] * 3
