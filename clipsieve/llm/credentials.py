@@ -2,9 +2,10 @@
 
 Certain kinds stand alone: assigned secrets, access identifiers and long hexadecimal runs.  Weak candidates (a short
 assigned secret, a mixed run of 32 characters or more, a user or client name, an endpoint) mean nothing alone: they are
-reported only when a complementary part starts within ``SCOPE`` characters of them in the same text.  Parts are joined by
-(text, stretch of ``SCOPE`` characters): within a stretch any two parts are near enough, and of the stretches beside it the
-last or first part of a role decides, so each candidate meets three rows for each role, however many parts there are.
+reported only when a complementary part is within ``SCOPE`` characters of them in the same text: with ``gaps``, from the end of
+the one to the start of the other, however long they are; else from start to start.  Parts of a role become one row for each
+stretch of ``SCOPE`` characters.  A candidate reaches up to some place: of the stretches before that place's the largest end
+decides, in its own the first start, so no part is paired with another, however many there are.
 
 Defined results: a null text is empty; rows that repeat doc_id and text give equal rows; a null doc_id is kept and
 linked by its text; an empty table gives no row; other columns are ignored.  Offsets are code points.
@@ -12,7 +13,7 @@ linked by its text; an empty table gives no row; other columns are ignored.  Off
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clipsieve.llm.common import written
 
@@ -79,21 +80,23 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(parts: DataFrame) -> DataFrame:
+def _confirmed(parts: DataFrame, gaps: bool) -> DataFrame:
     """Weak parts with a complementary part near: doc_id, text_hash, kind, start, end.
 
     ``parts``: doc_id, text_hash, kind, start, end, role, weak.
     """
     key = ["doc_id", "text_hash"]
-    placed = parts.withColumn("stretch", F.floor(F.col("start") / SCOPE))
-    edges = placed.groupBy(*key, "role", "stretch").agg(F.min("start").alias("first"), F.max("start").alias("last"))
-    reach = edges.withColumn("to", F.explode(F.array(F.col("stretch") - 1, F.col("stretch"), F.col("stretch") + 1)))
+    until = F.col("end" if gaps else "start")
+    stretch = lambda at: F.floor(at / SCOPE).alias("stretch")
+    known = parts.groupBy(*key, "role", stretch(F.col("start"))).agg(F.min("start").alias("first"), F.max(until).alias("last"))
     needs = F.create_map(*(x for r, c in COMPLEMENTS.items() for x in (F.lit(r), F.array(*map(F.lit, c)))))
-    wanted = placed.where("weak").withColumn("need", F.explode(needs[F.col("role")]))
-    w, r = wanted.alias("w"), reach.alias("r")
-    same = F.col("w.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("w.text_hash") == F.col("r.text_hash"))
-    near = (F.abs(F.col("w.start") - F.col("r.first")) <= SCOPE) | (F.abs(F.col("w.start") - F.col("r.last")) <= SCOPE)
-    met = w.join(r, same & (F.col("w.need") == F.col("r.role")) & (F.col("w.stretch") == F.col("r.to")) & near, "left_semi")
+    wanted = parts.where("weak").select(*key, "kind", "start", "end", (until + SCOPE).alias("to"), F.explode(needs[F.col("role")]).alias("role")).distinct()
+    # A part that starts in the stretch of ``to`` starts behind ``until``, so it can't end too early.
+    by = Window.partitionBy(*key, "role").orderBy("stretch")
+    before = F.max("last").over(by.rangeBetween(Window.unboundedPreceding, -1)) >= F.col("start") - SCOPE
+    beside = F.min("first").over(by.rangeBetween(0, 0)) <= F.col("to")
+    both = known.unionByName(wanted.withColumn("stretch", stretch(F.col("to"))), allowMissingColumns=True)
+    met = both.withColumns({"before": before, "beside": beside}).where("kind is not null and (before or beside)")
     return met.select(*key, "kind", "start", "end").distinct()
 
 
@@ -106,7 +109,7 @@ def _text(spans: Column, kinds: int | None = None) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["b"] + 1), s["a"], s["c"])), ",")
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, gaps: bool = False) -> DataFrame:
     """One row for each row of ``docs``: doc_id, certain (spans), linked (confirmed weak spans)."""
     base = written(candidates(docs), "secrets")
     live = base.where(F.size("weak") > 0)
@@ -117,7 +120,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     tagged = live.select("doc_id", "text_hash", F.explode(F.concat(tagged_as("certain"), tagged_as("weak"))).alias("p")).select("doc_id", "text_hash", "p.*")
     roles = F.array(*(F.lit(ROLES[k]) for k in KINDS))
-    found = _confirmed(tagged.withColumn("role", F.element_at(roles, F.col("kind") + 1)))
+    found = _confirmed(tagged.withColumn("role", F.element_at(roles, F.col("kind") + 1)), gaps)
     spans = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
     spans = spans.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
@@ -126,9 +129,9 @@ def scan(docs: DataFrame) -> DataFrame:
     return joined.select("doc_id", plain(F.col("certain")).alias("certain"), F.coalesce("linked", none).alias("linked"))
 
 
-def report(docs: DataFrame) -> DataFrame:
+def report(docs: DataFrame, gaps: bool = False) -> DataFrame:
     """doc_id, counts of the certain kinds, digest of their spans, and all spans as text."""
-    found = scan(docs)
+    found = scan(docs, gaps)
     count = lambda kind: F.size(F.filter("certain", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias("n_" + kind)
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_text(F.col("certain")), 256).alias("base_sha256"),

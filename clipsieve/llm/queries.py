@@ -20,7 +20,7 @@ def op2_grammar_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return credentials.report(table(spark, sf_dir, "documents"))
+    return credentials.report(table(spark, sf_dir, "documents"), gaps=True)
 
 
 def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:

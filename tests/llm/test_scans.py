@@ -100,3 +100,30 @@ def test_licenses(spark):
     for docs in (documents(spark, data), clashing(documents(spark, data))):
         assert got(license_scan.scan(docs)) == want
     assert license_scan.scan(documents(spark, [])).count() == 0
+
+
+def weak_by_gap(text):
+    """All weak spans with a complement whose span is near, pair by pair."""
+    role = credentials.ROLES
+    found = [(kind, start, end, False) for start, _, kind, end in base(text)]
+    found += [("assign_short", m.start(), m.end(), True) for m in BASE[0][1].finditer(text) if len(m[2]) < 6]
+    for kind, pattern in (("user", credentials.USER), ("blob", credentials.BLOB), ("endpoint", credentials.ENDPOINT)):
+        found += [(kind, m.start(), m.end(), True) for m in re.finditer(pattern, text, re.ASCII)]
+    near = lambda a, b, c, d: max(a, c) - min(b, d) <= credentials.SCOPE
+    return {
+        f"{kind}:{a}:{b}" for kind, a, b, weak in found
+        if weak and any(role[k] in credentials.COMPLEMENTS[role[kind]] and near(a, b, c, d) for k, c, d, _ in found)
+    }
+
+
+def test_long_parts_don_t_hide_their_neighbours(spark, tmp_path):
+    from clipsieve.llm.queries import op3_credential_linking
+
+    long = ["token=" + "aB3." * 90 + " https://api.example.com", "aB3" * 100 + " user=bob", "https://h.test/" + "p" * 700 + " pw " * 49 + "token: abc"]
+    edge = [f"user=bob{' ' * n}token: abc" for n in (199, 200, 201)] + [f"token={'x' * 400} user=ann secret: abc{' ' * n}login: eve" for n in (199, 200, 201, 600)]
+    texts = [*TEXTS, *long, *edge]
+    documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]).write.parquet(f"{tmp_path}/documents.parquet")
+    weak = lambda spans: {s for s in spans.split(",") if s.split(":")[0] in ("assign_short", "user", "blob", "endpoint")}
+    found = {r["doc_id"]: weak(r["spans"]) for r in op3_credential_linking(spark, str(tmp_path)).collect()}
+    assert found == {k: weak_by_gap(t) for k, t in enumerate(texts)}
+    assert all(any(s.split(":")[0] in kinds for s in found[len(TEXTS) + k]) for k, kinds in enumerate((["endpoint"], ["user"], ["endpoint"])))
