@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipsieve.llm.common import ascii_lower, work_path, written
 
-#: A group with this share of all rows or more is hot; there are ``HOT_SHARE`` of them at most, so they may be broadcast.
+#: A group with one of so many parts of the batch's rows or more is hot.  A batch has ``HOT_SHARE`` of them at most, however
+#: large the index, so they may be broadcast.
 HOT_SHARE = 1000
 _COLUMNS = "text_sha256 string, keep_id long, group_size long"
 
@@ -54,10 +55,11 @@ def append_new(groups: DataFrame, index: str) -> None:
 def deduplicate(docs: DataFrame, index: str) -> DataFrame:
     """Adds the documents' digests to the index; doc_id, keep_id, group_size, kept, text_sha256 of every row."""
     rows = written(digests(docs), "digests")
-    groups = rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = written(rows.groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "digest-groups")
     append_new(groups, index)
     held = docs.sparkSession.table(index)
-    hot = held.where(F.col("group_size") * HOT_SHARE >= rows.count())
+    common = groups.where(F.col("group_size") * HOT_SHARE >= rows.count()).select("text_sha256")
+    hot = held.join(F.broadcast(common), "text_sha256")
     found = rows.join(F.broadcast(hot), "text_sha256", "left")
     warm = found.where("group_size is not null")
     cold = found.where("group_size is null").select("doc_id", "text_sha256").join(held.hint("merge"), "text_sha256")

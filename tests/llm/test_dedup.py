@@ -211,3 +211,16 @@ def test_query_takes_every_line(spark, tmp_path):
 
     documents(spark, [(k, "All rights reserved.", "en", "a", 1) for k in range(3)]).write.parquet(f"{tmp_path}/documents.parquet")
     assert [r["dropped"] for r in op4_line_templates(spark, str(tmp_path)).collect()] == [[0]] * 3
+
+
+def test_small_batches_against_a_larger_index(spark, tmp_path, monkeypatch):
+    index = exact_dedup.open_index(spark, f"{tmp_path}/index", 3)
+    exact_dedup.deduplicate(documents(spark, [(k, f"text {k}", None, None, 1) for k in range(50)]), index).count()
+    shipped = []
+    broadcast = exact_dedup.F.broadcast
+    monkeypatch.setattr(exact_dedup.F, "broadcast", lambda df: shipped.append(df.count()) or broadcast(df))
+    assert exact_dedup.deduplicate(documents(spark, []), index).count() == 0
+    assert not any(shipped)
+    found = exact_dedup.deduplicate(documents(spark, [(90, "TEXT 7", None, None, 1), (91, "text 7", None, None, 1), (92, "new", None, None, 1)]), index)
+    assert {r["doc_id"]: (r["keep_id"], r["kept"]) for r in found.collect()} == {90: (7, False), 91: (7, False), 92: (92, True)}
+    assert max(shipped) <= 2 and spark.table(index).count() == 51
