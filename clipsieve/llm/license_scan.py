@@ -4,7 +4,8 @@ DataFrame functions only, inside each row: no shuffle.  A template is looked for
 ``WINDOWS`` that it fills; its own windows start at every word, those of a text at every ``stride``-th, so some window of
 a text lies ``stride / 2`` words at most beside a window of the template and shares three quarters of its shingles or
 more.  A band is one minimum, and six bands miss such a window with a chance of 0.25 ** 6 < 3e-4; the smallest window is one
-shingle, which one band never misses.  A template is reported where a text holds ``CONTAINED`` of its distinct shingles.
+shingle, which one band never misses.  A template is reported where a text holds ``CONTAINED`` of its distinct shingles, one of
+fewer than ``WHOLE`` where it holds all: a notice differs from that of another version in one word.
 
 Words are runs of letters and digits, in lower case.  Defined results: a null or empty text, or one of fewer words
 than a shingle, matches nothing; repeated rows are reported each; a null doc_id is kept; an empty table gives no row;
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 WIDTH = 5
 CONTAINED = 0.75
+WHOLE = 20
 #: (words, stride, bands)
 WINDOWS = ((5, 1, 1), (12, 2, 6), (40, 8, 6))
 _SALTS = (0x6A09E667F3BCC908, 0x3B67AE8584CAA73B, -0x3C6EF372FE94F82B, -0x5A0EB7D2C1F43A1D, 0x510E527FADE682D1, -0x64CA7C98D2E1B5F7)
@@ -120,7 +122,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     held = F.element_at(F.array(*(array(t["shingles"]) for t in table)), F.col("k") + 1)
     checked = found.select("doc_id", "k", _shingles(F.col("words")).alias("own"), held.alias("template"))
     shared = checked.select("doc_id", "k", "own", "template", F.array_intersect("template", "own").alias("shared"))
-    return shared.where(F.size("shared") >= CONTAINED * F.size("template")).select(
+    least = F.when(F.size("template") < WHOLE, 1.0).otherwise(CONTAINED) * F.size("template")
+    return shared.where(F.size("shared") >= least).select(
         "doc_id", F.element_at(array([t["license"] for t in table]), F.col("k") + 1).alias("license"),
         (F.size("shared") / F.size("template")).alias("containment"),
         F.aggregate("shared", F.lit(None).cast("long"), lambda a, s: F.least(a, F.array_position("own", s)), lambda a: a - 1).alias("first_word"),

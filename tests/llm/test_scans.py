@@ -127,3 +127,9 @@ def test_long_parts_don_t_hide_their_neighbours(spark, tmp_path):
     found = {r["doc_id"]: weak(r["spans"]) for r in op3_credential_linking(spark, str(tmp_path)).collect()}
     assert found == {k: weak_by_gap(t) for k, t in enumerate(texts)}
     assert all(any(s.split(":")[0] in kinds for s in found[len(TEXTS) + k]) for k, kinds in enumerate((["endpoint"], ["user"], ["endpoint"])))
+
+
+def test_another_version_is_not_the_licence(spark):
+    texts = ["licensed under the GNU General Public License, version 2", "Licensed under the Apache License, Version 2.1", "licensed under the GNU General Public License, version 3"]
+    found = license_scan.scan(documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]))
+    assert [(r["doc_id"], r["license"]) for r in found.collect()] == [(2, "gpl-3")]
