@@ -151,3 +151,16 @@ class Encoder:
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker; what it remembers serves the worker's next tasks."""
     return Encoder(path)
+
+
+def sampled_rows(docs: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` distinct rows ``doc_id, text`` of ``docs``, with the columns of ``marks`` and the row's hash ``h``.
+
+    Taken in the order of a hash of id and text, so the choice never depends on partitions.  ``marks`` has one row a
+    doc_id.  The bound holds for rows, however often a doc_id or a whole row is repeated; texts aren't shuffled
+    before they are chosen.
+    """
+    row = F.xxhash64("doc_id", "text")
+    wanted = docs.select("doc_id", row.alias("h")).distinct().join(marks, "doc_id").orderBy("h", "doc_id").limit(most)
+    found = docs.select("doc_id", "text", row.alias("h")).join(F.broadcast(wanted), ["doc_id", "h"])  # at most ``most`` rows
+    return found.dropDuplicates(["doc_id", "h"])
