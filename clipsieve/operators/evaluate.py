@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clipsieve.functions import scalars as S
 from clipsieve.operators import intervals as I
-from clipsieve.operators.ranking import global_rank, rank_per_group
+from clipsieve.operators.matching import greedy_pairs
+from clipsieve.operators.ranking import global_rank
 from clipsieve.session import cut_lineage
 
 # Rating vocabularies and report cut-offs.
@@ -19,8 +20,6 @@ SUPPORTED_RATINGS = POSITIVE_RATINGS + NEGATIVE_RATINGS + IGNORE_RATINGS
 POSITIVE_ACTIONS = ("select", "review", "broll")
 RECALL_AT = (5, 10, 25, 50)
 
-COPIES_PER_CHUNK = 4096
-
 
 def _as_hits(df: DataFrame, prefix: str, *keep: str) -> DataFrame:
     """``start, end`` become ``h_start, h_end``; every other kept column gets ``prefix``."""
@@ -38,81 +37,11 @@ def predicted_positive(candidates: DataFrame) -> DataFrame:
     return candidates.where(F.col("action").isin(*POSITIVE_ACTIONS))
 
 
-def overlap_pairs(annotations: DataFrame, candidates: DataFrame, group: list[str] = ()) -> DataFrame:
-    """Annotation/candidate pairs that share time, with the shared seconds."""
-    group = list(group)
-    hits = candidates.select(
-        *group, "source", F.col("start").alias("h_start"), F.col("end").alias("h_end"),
-        F.col("rank").alias("cand_rank"), F.col("score").alias("cand_score"),
-    )
-    slim = annotations.select("source", "ann_index", "start", "end")
-    shared = S.overlap_seconds("start", "end", "h_start", "h_end")
-    pairs = I.interval_join(slim, hits, ["source"], S.strictly_overlaps("start", "end", "h_start", "h_end"))
-    return pairs.select(*group, "ann_index", "cand_rank", "cand_score", shared.alias("overlap"))
-
-
 # -- greedy one-to-one matching ------------------------------------------------------------
 
-def annotation_classes(annotations: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Equal intervals as one: a row for each class, under its first ``ann_index``, and all members.
-
-    A member has the ``head`` of its class, its place among the class's ``copies`` as ``copy``, from 1.
-    """
-    place = ["source", "start", "end"]
-    heads = annotations.groupBy(*place).agg(F.min("ann_index").alias("ann_index"), F.count("*").alias("copies"))
-    copies = rank_per_group(annotations.select(*place, "ann_index"), place, [F.asc("ann_index")], "copy")
-    of = heads.select(*place, F.col("ann_index").alias("head"), "copies")
-    return heads.drop("copies"), copies.join(of, place).select("ann_index", "head", "copy", "copies")
-
-
-def greedy_match_pairs(members: DataFrame, pairs: DataFrame, group: list[str] = ()) -> DataFrame:
-    """One-to-one matching: annotations in order, each taking its best free candidate.
-
-    ``members`` comes from ``annotation_classes``, ``pairs`` from ``overlap_pairs`` of its heads.  Because every
-    candidate prefers the earliest annotation, that sequential loop has the same result as deferred acceptance, which
-    runs in rounds: each annotation asks for a candidate, each candidate keeps the earliest asker, the others ask
-    further down their list.  The k-th of equal annotations never gets one better than k places down, nor one above
-    what its predecessor gets, so it starts there, and a refusal moves all later copies at once.
-    A round is a partial-then-final ``min`` per candidate, so a candidate wanted by a third of all annotations costs
-    no more than any other.  Rounds go on until nobody is turned down; nothing is capped.  Equal annotations
-    need no rounds among themselves; annotations of different intervals that push each other down a shared list do.
-    """
-    group = list(group)
-    klass = [*group, "head"]
-    choice = Window.partitionBy(*klass).orderBy(F.desc("overlap"), F.desc("cand_score"), F.asc("cand_rank"))
-    wishes = cut_lineage(
-        pairs.withColumnRenamed("ann_index", "head").withColumn("wish", F.row_number().over(choice).cast("long"))
-        .select(*klass, "wish", "cand_rank", "overlap")
-    )
-    members = cut_lineage(members)
-    repeated = not members.where("copies > 1").isEmpty()
-    asking = members.withColumn("wish", F.col("copy").cast("long")).join(wishes, ["head", "wish"])
-    columns = [*klass, "ann_index", "copy", "copies", "wish", "cand_rank", "overlap"]
-    while True:
-        asking = asking.select(*columns)
-        kept = asking.groupBy(*group, "cand_rank").agg(F.min("ann_index").alias("best"))
-        later = (F.col("ann_index") > F.col("best")).cast("long")
-        judged = cut_lineage(asking.join(kept, [*group, "cand_rank"]).select(*columns, (F.col("wish") + later).alias("next")))
-        turned_down = judged.where("next > wish")
-        if turned_down.isEmpty():
-            return judged.select(*group, "ann_index", "cand_rank", "overlap")
-        if repeated:
-            moved = turned_down.where("copies > 1").select(*klass).distinct()
-            line = I.running_max(
-                judged.join(moved, klass, "left_semi"), klass, F.col("copy"), [F.col("copy")], F.col("next") - F.col("copy"), "shift",
-                inclusive=True, width=COPIES_PER_CHUNK,
-            )
-            line = line.withColumn("next", F.col("copy") + F.col("shift")).drop("shift")
-            judged = judged.join(moved, klass, "left_anti").unionByName(line)
-        held = judged.where("next = wish").select(*columns)
-        onward = judged.where("next > wish").select(*klass, "ann_index", "copy", "copies", F.col("next").alias("wish"))
-        asking = held.unionByName(onward.join(wishes, [*klass, "wish"]).select(*columns))
-
-
 def greedy_match(annotations: DataFrame, candidates: DataFrame) -> DataFrame:
     """Matches with shared seconds and their share of the annotation."""
-    heads, members = annotation_classes(positive_annotations(annotations))
-    matches = greedy_match_pairs(members, overlap_pairs(heads, predicted_positive(candidates)))
+    matches = greedy_pairs(positive_annotations(annotations), predicted_positive(candidates))
     ann = annotations.select("ann_index", F.col("id").alias("annotation_id"), "source", "start", "end", "rating", "tags")
     cand = candidates.select(F.col("rank").alias("cand_rank"), F.col("id").alias("candidate_id"), "score", "action")
     length = S.interval_duration("start", "end")
@@ -190,11 +119,12 @@ def recall_at_k(annotations: DataFrame, candidates: DataFrame, ks=RECALL_AT) ->
     """Share of positive annotations touched by the positive ones among the first ``k`` candidates.
 
     The limit comes before the action filter.  An annotation's best-ranked touching candidate
-    decides every ``k`` at once.
+    decides every ``k`` at once.  At most ``max(ks)`` candidates are compared with annotations.
     """
     positives = positive_annotations(annotations)
-    top = predicted_positive(candidates.where(F.col("rank") <= max(ks)))
-    first = overlap_pairs(positives, top).groupBy("ann_index").agg(F.min("cand_rank").alias("first"))
+    top = _as_hits(predicted_positive(candidates.where(F.col("rank") <= max(ks))), "c_", "rank")
+    touching = I.overlapping_hits(positives.select("source", "ann_index", "start", "end"), top, ["source"])
+    first = touching.groupBy("ann_index").agg(F.min("c_rank").alias("first"))
     rows = positives.join(first, "ann_index", "left")
     # Counts distinct ids of a document, as two annotations may share one.
     name = F.struct("path", "id") if "path" in annotations.columns else F.col("id")

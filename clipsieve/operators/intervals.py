@@ -58,6 +58,19 @@ def running_max(
     )
 
 
+def running_total(df: DataFrame, keys: list[str], position: str, value: Column, out: str, width: float = CHUNK_SECONDS) -> DataFrame:
+    """``sum(value)`` of whole numbers over all earlier positions of the same keys; a position is unique in its key."""
+    rows = df.withColumn("_chunk", _cell(F.col(position), width)).withColumn("_value", value.cast("long"))
+    inside = Window.partitionBy(*keys, "_chunk").orderBy(position).rowsBetween(*_BEFORE)
+    across = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(*_BEFORE)
+    carry = rows.groupBy(*keys, "_chunk").agg(F.sum("_value").alias("_n")).withColumn("_carry", F.sum("_n").over(across)).drop("_n")
+    zero = F.lit(0).cast("long")
+    return (
+        rows.withColumn("_local", F.sum("_value").over(inside)).join(carry, [*keys, "_chunk"])
+        .withColumn(out, F.coalesce("_local", zero) + F.coalesce("_carry", zero)).drop("_chunk", "_value", "_local", "_carry")
+    )
+
+
 def running_sum(
     df: DataFrame,
     keys: list[str],

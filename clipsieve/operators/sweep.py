@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from clipsieve.config import DEFAULT_WEIGHTS, ScoringConfig
 from clipsieve.operators import evaluate as E, intervals as I, rating as R
+from clipsieve.operators.matching import greedy_pairs
 from clipsieve.operators.ranking import rank_per_group, top_per_group
 from clipsieve.session import cut_lineage
 
@@ -137,7 +138,7 @@ def sweep_scoring(signals: R.Signals, annotations: DataFrame, base: ScoringConfi
     """Evaluate every configuration of the grid; one row per configuration, best first.
 
     The limit of a configuration is a rank bound on its scored set and its thresholds decide
-    which of those are positive, so overlaps with annotations are found once per set.
+    which of those are positive; configurations of a set that come to the same candidates are matched once.
     """
     spark = annotations.sparkSession
     grid = config_grid(spark, base)
@@ -151,12 +152,11 @@ def sweep_scoring(signals: R.Signals, annotations: DataFrame, base: ScoringConfi
     counts = chosen.groupBy("config_no").agg(F.count("*").alias("candidate_count"))
     predicted = E.predicted_positive(chosen)
     positives = E.positive_annotations(annotations)
-    heads, members = E.annotation_classes(positives)
-    pairs = E.overlap_pairs(heads, sets, set_keys)
-    open_pairs = pairs.join(
-        predicted.select(*set_keys, F.col("rank").alias("cand_rank"), "config_no"), [*set_keys, "cand_rank"]
-    ).drop(*set_keys)
-    matches = E.greedy_match_pairs(members, open_pairs, ["config_no"])
+    # Ranks follow scores, so what a configuration predicts is the first of its set: equal cut-offs share a matching.
+    cutoffs = cut_lineage(predicted.groupBy("config_no", *set_keys).agg(F.max("rank").alias("cutoff")))
+    runs = sets.join(cutoffs.select(*set_keys, "cutoff").distinct(), set_keys).where(F.col("rank") <= F.col("cutoff"))
+    found = greedy_pairs(positives, runs, [*set_keys, "cutoff"])
+    matches = found.join(cutoffs, [*set_keys, "cutoff"]).select("config_no", "cand_rank")
     ignored = E._as_hits(annotations.where(F.col("rating").isin(*E.IGNORE_RATINGS)), "i_")
     excused = I.overlapping_hits(sets.select(*set_keys, "rank", "source", "start", "end"), ignored, ["source"]).select(
         *set_keys, "rank"

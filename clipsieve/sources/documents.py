@@ -8,6 +8,7 @@ from clipsieve import schemas
 from clipsieve.functions import scalars as S, vocab as V
 from clipsieve.operators.evaluate import SUPPORTED_RATINGS
 from clipsieve.sources.identity import resolve_sources
+from clipsieve.sources.logs import numbered_lines
 
 # Kinds of signal documents and the schema tags they may carry.
 ARTIFACT_KINDS = ("ai_frame_scores", "face_person", "motorsports_events", "ocr_signage", "topic_clusters", "visual_objects")
@@ -202,9 +203,9 @@ def validate_artifacts(docs: DataFrame) -> DataFrame:
 # -- detector label files ------------------------------------------------------------------
 
 def label_file_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Detector label files as lines: ``label_file, line, text``."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.txt")
-    return whole.select(F.col("_metadata.file_path").alias("label_file"), F.posexplode(F.split("value", r"\r?\n")).alias("line", "text"))
+    """Detector label files, of any size, as lines: ``label_file, line, text``."""
+    lines = numbered_lines(spark, path, "*.txt")
+    return lines.select(F.col("source").alias("label_file"), F.col("line_no").cast("int").alias("line"), F.col("line").alias("text"))
 
 
 def class_name(class_id="class_id") -> Column:

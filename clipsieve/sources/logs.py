@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from clipsieve.functions import scalars as S
 from clipsieve.operators import intervals as I
@@ -16,14 +16,30 @@ SILENCE_END = rf"silence_end:\s*{_NUMBER}"
 RMS = r"lavfi\.astats\.Overall\.RMS_level=([-+a-zA-Z0-9.]+)"
 
 
+def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """Lines of text files of any size: ``source`` (the file), ``line_no`` from 0, ``line``.
+
+    A file is read in as many splits as its size asks for.  A line is numbered inside its split, by the order in which
+    the split's task reads it, and counts per split, one row each, make the number that of the file.
+    """
+    files = spark.read.text(path, lineSep="\n", recursiveFileLookup=True, **({"pathGlobFilter": glob} if glob else {}))
+    rows = files.select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_id"), F.regexp_replace("value", "\r$", "").alias("line"),
+    )
+    ahead = Window.partitionBy("source").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    splits = rows.groupBy("source", "_split").agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
+    splits = splits.withColumn("_ahead", F.coalesce(F.sum("_n").over(ahead), F.lit(0))).drop("_n")
+    return rows.join(splits, ["source", "_split"]).select("source", (F.col("_id") - F.col("_first") + F.col("_ahead")).alias("line_no"), "line")
+
+
 def log_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of log files, numbered per file (a log file is one record)."""
-    whole = spark.read.text(path, wholetext=True, recursiveFileLookup=True)
-    files = whole.select(F.col("_metadata.file_path").alias("source"), F.col("value"))
-    return split_lines(files)
+    """Lines of log files, numbered per file."""
+    return numbered_lines(spark, path)
 
 
 def split_lines(files: DataFrame, text: str = "value") -> DataFrame:
+    """Lines of texts that are rows (``source`` and the text)."""
     return files.select("source", F.posexplode(F.split(text, r"\r?\n")).alias("pos", "line")).select(
         "source", F.col("pos").cast("long").alias("line_no"), "line"
     )

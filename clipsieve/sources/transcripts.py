@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipsieve.functions import scalars as S, vocab as V
+from clipsieve.operators import intervals as I
+from clipsieve.sources.logs import LINES_PER_CHUNK, split_lines
 
-# A cue: two clock times and the text up to a blank line or the end.
+# Fixed value: a clock time of a cue.
 _CLOCK = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})"
-CUE = rf"(?s){_CLOCK}\s*-->\s*{_CLOCK}[^\n]*\n(.*?)(?=\n\s*\n|\z)"
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -31,18 +32,52 @@ def find_transcript(assets: DataFrame, files: DataFrame, transcript_dir: str | N
 
 
 def parse_cues(files: DataFrame) -> DataFrame:
-    """SRT and VTT cue blocks of whole files (``source, content``), tags stripped, one row per cue."""
-    text = F.replace(F.col("content"), F.lit("\r\n"), F.lit("\n"))
-    part = lambda group: F.regexp_extract_all("_text", F.lit(CUE), F.lit(group))
-    cues = F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"))
-    clock = lambda c: S.seconds_of(F.replace(F.col(c), F.lit(","), F.lit(".")))
-    return (
-        files.withColumn("_text", text)
-        .select("source", F.posexplode(cues).alias("cue_index", "cue"))
-        .select(
-            "source", "cue_index", clock("cue.a").alias("start"), clock("cue.b").alias("end"),
-            F.trim(F.replace(F.regexp_replace("cue.c", "<[^>]+>", ""), F.lit("\n"), F.lit(" "))).alias("text"),
-        )
+    """SRT and VTT cues of texts that are rows (``source, content``), tags stripped, one row per cue."""
+    return parse_cue_lines(split_lines(files, "content"))
+
+
+def parse_cue_lines(lines: DataFrame, width: float = LINES_PER_CHUNK) -> DataFrame:
+    """Cues of numbered lines (``source, line_no, line``): source, cue_index, start, end, text.
+
+    A line with two clock times opens a cue, unless it is inside one.  A cue goes on to a blank line, but the line right after
+    its clock times doesn't end it.  Whether a line is inside a cue is state that runs through the whole file.  Between two
+    blank lines at most one cue opens, and it outlives the second of them only if it opened right before; so of each such
+    block two facts are enough, and runs of them tell who is inside by their parity.  All of it works in chunks of
+    ``width`` lines, so the file may be of any size; a cue's own lines make one row.
+    """
+    heads = F.regexp_extract("line", rf"{_CLOCK}\s*-->\s*{_CLOCK}", 0) != ""
+    marked = lines.select("source", "line_no", "line", heads.alias("_head"), F.col("line").rlike(r"^\s*\z").alias("_blank"))
+    blank_at = F.when(F.col("_blank"), F.col("line_no"))
+    rows = I.running_max(marked, ["source"], F.col("line_no"), [F.col("line_no")], blank_at, "_after", width=width)
+    rows = rows.withColumn("_after", F.coalesce("_after", F.lit(-1)))
+    # A block's lines come after the blank line ``_after``; the blank line that ends it is its own last line.
+    blocks = rows.groupBy("source", "_after").agg(
+        F.min(F.when(F.col("_head"), F.col("line_no"))).alias("_opens"), F.max(F.when(~F.col("_blank"), F.col("line_no"))).alias("_last"),
+        F.bool_or("_blank").alias("_ended"),
+    )
+    blocks = blocks.withColumn("_late", F.coalesce((F.col("_opens") == F.col("_last")) & F.col("_ended"), F.lit(False)))
+    counted = I.running_total(blocks, ["source"], "_after", F.col("_late"), "_n", width)
+    settled = F.when(~F.col("_late"), F.col("_n"))
+    known = I.running_max(counted, ["source"], F.col("_after"), [F.col("_after")], settled, "_base", width=width)
+    state = known.select("source", "_after", "_opens", ((F.col("_n") - F.coalesce("_base", F.lit(0))) % 2 == 1).alias("_inside"))
+    # A block that begins inside a cue belongs to the one of the block before, which is the latest opened.
+    opened = F.when(~F.col("_inside"), F.col("_opens"))
+    state = I.running_max(state, ["source"], F.col("_after"), [F.col("_after")], opened, "_earlier", width=width)
+    placed = rows.join(state, ["source", "_after"])
+    cue = F.when(F.col("_inside"), F.col("_earlier")).otherwise(F.col("_opens"))
+    own = placed.withColumn("_cue", cue).where(F.col("line_no") >= F.col("_cue"))
+    # The blank line that ends a cue is not its text; one right after the clock times is.
+    own = own.where(~F.col("_blank") | (F.col("line_no") == F.col("_cue") + 1))
+    body = F.array_sort(F.collect_list(F.when(F.col("line_no") > F.col("_cue"), F.struct("line_no", "line"))))
+    cues = own.groupBy("source", F.col("_cue").alias("line_no")).agg(
+        F.max(F.when(F.col("line_no") == F.col("_cue"), F.col("line"))).alias("_clocks"), F.array_join(F.transform(body, lambda x: x["line"]), "\n").alias("_body"),
+    )
+    ends = lines.groupBy("source").agg(F.max("line_no").alias("_end"))
+    cues = cues.join(ends, "source").where(F.col("line_no") < F.col("_end"))
+    clock = lambda k: S.seconds_of(F.replace(F.regexp_extract("_clocks", rf"{_CLOCK}\s*-->\s*{_CLOCK}", k), F.lit(","), F.lit(".")))
+    return I.running_total(cues, ["source"], "line_no", F.lit(1), "cue_index", width).select(
+        "source", F.col("cue_index").cast("int").alias("cue_index"), clock(1).alias("start"), clock(2).alias("end"),
+        F.trim(F.replace(F.regexp_replace("_body", "<[^>]+>", ""), F.lit("\n"), F.lit(" "))).alias("text"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from clipsieve import schemas
 from clipsieve.config import ScoringConfig
-from clipsieve.operators import evaluate as E, learning as L, review as V, sweep as W, timeline as T
+from clipsieve.operators import evaluate as E, learning as L, matching as M, review as V, sweep as W, timeline as T
 from clipsieve.operators.rating import Signals
 
 CANDIDATES = "rank long, id string, source string, start double, end double, score int, action string, labels array<string>, reasons array<string>, signals map<string,double>"
@@ -62,16 +62,48 @@ def test_copies_are_matched_like_the_loop(spark):
     assert {r.ann_index: r.cand_rank for r in got.collect()} == loop(a_rows, c_rows)
 
 
-def test_rounds_do_not_grow_with_copies(spark, monkeypatch):
+def test_copies_in_one_round(spark, monkeypatch):
     rounds = []
-    cut = E.cut_lineage
-    monkeypatch.setattr(E, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    cut = M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: rounds.append(1) or cut(df))
     n = 3000
     a_rows = [("s", 2.0, 4.0, "select", [])] * 3 + [("s", 0.0, 10.0, "select", [])] * n
     c_rows = [("s", 0.0, 10.0, 50, "select")] * n
     got = {r.ann_index: r.cand_rank for r in E.greedy_match(annotations(spark, a_rows), candidates(spark, c_rows)).collect()}
     assert got == {i: i for i in range(1, n + 1)}
-    assert len(rounds) < 12
+    assert len(rounds) == 2  # the candidates, and the matches of the only round
+
+
+def test_a_hot_source_in_blocks_and_parts(spark, monkeypatch):
+    """Half of the source under every annotation: any block and part size gives the loop's matches."""
+    rng = random.Random(3)
+    spans = [(float(s := rng.randint(0, 400)), float(s + rng.randint(200, 400))) for _ in range(90)]
+    a_rows = [("hot", *s, "select", []) for s in spans] + [(f"s{k % 5}", 0.0, float(k), "select", []) for k in range(20)]
+    c_rows = [("hot", float(s := rng.randint(0, 790)), float(s + rng.randint(1, 9)), rng.randint(0, 5) * 10, "select") for _ in range(160)]
+    c_rows += [(f"s{k % 5}", float(k), float(k + 2), 50, "select") for k in range(15)]
+    want = loop(a_rows, c_rows)
+    rounds = []
+    cut = M.cut_lineage
+    monkeypatch.setattr(M, "cut_lineage", lambda df: rounds.append(1) or cut(df))
+    for block, part in ((4096, 20), (40, 4096), (30, 11)):
+        monkeypatch.setattr(M, "BLOCK", block), monkeypatch.setattr(M, "PART", part)
+        rounds.clear()
+        got = E.greedy_match(annotations(spark, a_rows), candidates(spark, c_rows))
+        assert {r.ann_index: r.cand_rank for r in got.collect()} == want
+        blocks, parts = -(-90 // block), -(-160 // part)
+        merges = 0
+        while parts > 1:
+            parts, merges = -(-parts // M.FAN), merges + 1
+        # the candidates; the numbering of blocks; per block its merges, its matches, and what they leave
+        assert len(rounds) == 1 + (blocks > 1) + blocks * (merges + 1) + (blocks - 1)
+
+
+def test_matching_defined_results(spark):
+    schema = "source string, rank long, start double, end double, score int"
+    a = annotations(spark, [("s", 0.0, 10.0, "select", []), ("s", 5.0, 5.0, "select", []), ("s", None, 4.0, "select", []), (None, 0.0, 9.0, "select", [])])
+    c = spark.createDataFrame([("s", 1, 1.0, 3.0, None), ("s", 2, 4.0, 6.0, 7), ("s", 3, 8.0, 8.0, 9), (None, 4, 0.0, 9.0, 9), ("s", 5, None, 9.0, 9)], schema)
+    assert [(r.ann_index, r.cand_rank, r.overlap) for r in M.greedy_pairs(a, c).collect()] == [(1, 2, 2.0)]
+    assert M.greedy_pairs(a, c.limit(0)).count() == 0 and M.greedy_pairs(a.limit(0), c).count() == 0
 
 
 def test_one_candidate_wanted_by_all(spark):

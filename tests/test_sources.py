@@ -1,5 +1,8 @@
 """Parsers, documents and scalar functions on literal inputs."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import Row, functions as F
 
@@ -26,6 +29,67 @@ def test_logs(spark):
     assert sorted((r.time, r.rms_db) for r in levels.collect()) == [(0.0, -40.5), (1.0, -120.0), (1.0, -12.25)]
 
 
+@pytest.fixture
+def small_splits(spark):
+    """Files are read in splits of some dozens of bytes."""
+    names = {"spark.sql.files.maxPartitionBytes": "90b", "spark.sql.files.openCostInBytes": "1b"}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name in names:
+        spark.conf.unset(name)
+
+
+def test_logs_in_splits(spark, tmp_path, small_splits):
+    """A log read in many splits gives the rows that it gives as one text."""
+    rng = random.Random(1)
+    texts = {}
+    for name in ("a.log", "b.log", "deep/c.log", "empty.log"):
+        out = []
+        for k in range(0 if name == "empty.log" else 60):
+            out.append(rng.choice([f"silence_start: {k}.5", f"silence_end: {k}.25", f"n:1 pts_time:{k}.125 x", "lavfi.astats.Overall.RMS_level=-%d" % k, "", "é" * k]))
+        texts[name] = rng.choice(["\n", "\r\n"]).join(out)
+        file = tmp_path / name
+        file.parent.mkdir(exist_ok=True)
+        file.write_bytes(texts[name].encode())
+    read = L.log_lines(spark, str(tmp_path))
+    assert spark.read.text(f"{tmp_path}/a.log", lineSep="\n").select("_metadata.file_block_start").distinct().count() >= 8
+    got = sorted((r.source.split(f"{tmp_path}/")[1], r.line_no, r.line) for r in read.collect())
+    assert got == sorted((n, k, x) for n, t in texts.items() if t for k, x in enumerate(re.split("\r?\n", t)) if x or k < 59)
+    whole = L.split_lines(spark.createDataFrame([(f"file:{tmp_path}/{n}", t) for n, t in texts.items()], "source string, value string"))
+    for parse in (L.parse_scene_log, L.parse_silence_log, L.parse_level_log):
+        rows = lambda df: sorted(map(tuple, parse(df).collect()))
+        assert rows(read) == rows(whole) != []
+    (tmp_path / "l_7.txt").write_text("\n".join(f"{k} 0.5 0.5 0.2 0.4 0.9" for k in range(40)))
+    labels = D.label_file_lines(spark, str(tmp_path)).collect()
+    assert sorted((r.line, r.text.split(" ")[0]) for r in labels) == [(k, str(k)) for k in range(40)]
+
+
+CUE = re.compile(r"(?s)(\d{2}:\d{2}:\d{2}[,.]\d{3})\s*-->\s*(\d{2}:\d{2}:\d{2}[,.]\d{3})[^\n]*\n(.*?)(?=\n\s*\n|\Z)", re.ASCII)
+
+
+def cues_brute(text):
+    found = CUE.findall(text.replace("\r\n", "\n"))
+    return [(k, a, re.sub("<[^>]+>", "", body).replace("\n", " ").strip(" ")) for k, (a, _, body) in enumerate(found)]
+
+
+def test_cues_are_those_of_one_pattern_over_the_text(spark, tmp_path, small_splits):
+    """Clock lines, blank lines and words in any order, in chunks of any width and files of any number of splits."""
+    rng = random.Random(8)
+    parts = ["00:00:%02d,000 --> 00:00:59.500 align:start", "x 00:00:%02d.250-->00:00:59,000", "", "", " ", "\t", "words %d", "<i>tag %d", "end</i>", "1"]
+    texts = ["\n".join(p % k if "%" in p else p for k, p in enumerate(rng.choices(parts, k=rng.randrange(0, 40)))) for _ in range(60)]
+    texts += ["", "00:00:01,000 --> 00:00:02,000", "00:00:01,000 --> 00:00:02,000\n", "00:00:01,000 --> 00:00:02,000\n\nlate\r\n\r\nout"]
+    files = spark.createDataFrame([(f"f{k}", t) for k, t in enumerate(texts)], "source string, content string")
+    for width in (3.0, 4096.0):
+        cues = X.parse_cue_lines(L.split_lines(files, "content"), width).collect()
+        got = sorted((r.source, r.cue_index, int(r.start), r.text) for r in cues)
+        assert got == sorted((f"f{k}", i, int(a[6:8]), body) for k, t in enumerate(texts) for i, a, body in cues_brute(t))
+    long = "\n".join(t for t in texts[:40]) + "\nlast words"
+    (tmp_path / "long.srt").write_text(long)
+    cues = X.parse_cue_lines(L.numbered_lines(spark, str(tmp_path))).collect()
+    assert sorted((r.cue_index, int(r.start), r.text) for r in cues) == [(i, int(a[6:8]), body) for i, a, body in cues_brute(long)]
+
+
 def test_silence_from_levels(spark):
     rows = [("a", float(t), db) for t, db in enumerate([-10, -50, -50, -50, -10, -50, -10, -60, -60])]
     got = L.silence_from_levels(spark.createDataFrame([(s, t, float(d)) for s, t, d in rows], schemas.LEVELS), -30.0, 2.0)
