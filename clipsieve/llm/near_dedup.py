@@ -13,9 +13,9 @@ is still apart against the partner with the most links so far: whoever is linked
 component.  At last all remaining pairs of different components that share a band are tried inside their blocks, each in the
 first band it shares, and only links leave a block.
 
-Defined results: a text without words has no shingle and is linked with nothing; rows that repeat a doc_id
-are one node of the graph; a row without doc_id joins its class but never names one; an empty table gives no row;
-other columns are ignored.
+Defined results: a text without words has no shingle and is linked with nothing, and its row is its own component; other
+rows that repeat a doc_id are one node of the graph, whatever their texts; a row without doc_id joins its class but never
+names one; an empty table gives no row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -248,6 +248,13 @@ def _linked(sets: DataFrame, pairs: DataFrame, similarity: int) -> DataFrame:
     return written(both.select("x", "y", "sx", "sy").mapInArrow(close, "a long, b long"), "links")
 
 
+def _shared_ids(base: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links between the classes of a doc_id that stands for several texts."""
+    named = base.where("n_shingles > 0 and doc_id is not null").select("doc_id", "digest").join(classes.select("digest", "node"), "digest").select("doc_id", "node")
+    several = named.groupBy("doc_id").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("doc_id", "least")
+    return named.join(several, "doc_id").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, width: int = WIDTH, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK, least_agreed: float = LEAST_AGREED,
 ) -> DataFrame:
@@ -262,7 +269,8 @@ def near_duplicates(
     first = written(_compare(_members(band_rows, marks, None, None, block), "earlier", least_agreed), "pairs")
     sets = _sets(docs, first.select(F.col("x").alias("node")), width)
     links = _linked(sets, first.where("y is not null"), similarity)
-    labels = components(links)
+    labels = components(links.union(_shared_ids(base, classes)))
+
     def join_up(more: DataFrame) -> DataFrame:
         return components(labels.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
 
@@ -279,6 +287,16 @@ def near_duplicates(
 
 
 def kept_rows(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with one document of each group.  Documents that go are found by doc_id, so a repeated doc_id shares one fate."""
-    gone = near_duplicates(docs, **options).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one document of each group, the one with the smallest doc_id (null last), all columns.
+
+    Rows are told apart by a 64-bit hash of doc_id and text, so rows that share a doc_id don't share a fate, and
+    rows without doc_id are in groups as any other; rows equal in both stay or go together.
+    """
+    row = F.xxhash64("doc_id", "text").alias("h")
+    found = near_duplicates(docs.select(row.alias("doc_id"), "text"), **options)
+    groups = written(found.select(F.col("doc_id").alias("h"), F.col("component_id").alias("group")).distinct(), "groups")
+    several = groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1").select("group")
+    members = groups.join(several, "group").join(docs.select(row, "doc_id").distinct(), "h")
+    stays = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h"))["h"].alias("stays"))
+    gone = members.join(stays, "group").where("h <> stays").select("h").distinct()
+    return docs.withColumn("_row", row).join(gone.withColumnRenamed("h", "_row"), "_row", "left_anti").select(*docs.columns)

@@ -33,7 +33,7 @@ def near_brute(data):
     names = {s: root(d) for d, s in sets if d is not None and s}
     out = []
     for d, s in sets:
-        c = root(d) if d is not None else names.get(s)
+        c = (root(d) if s else d) if d is not None else names.get(s)
         out.append((d, len(s), c, d == c))
     return sorted(out, key=repr)
 
@@ -81,11 +81,47 @@ def test_sketch_fills_and_estimates():
     assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.05
 
 
+def kept_brute(data):
+    """Of each group of rows, linked by their texts alone, those with the smallest (doc_id, hash)."""
+    sets = [sets_of(r[1]) for r in data]
+    parent = list(range(len(data)))
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, s in enumerate(sets):
+        for j, t in enumerate(sets[:i]):
+            if s and t and 100 * len(s & t) >= 75 * len(s | t):
+                parent[root(i)] = root(j)
+    groups = defaultdict(list)
+    for i, r in enumerate(data):
+        groups[root(i)].append(r)
+    return groups
+
+
 def test_kept_rows_of_near_groups(spark):
-    left = near_dedup.kept_rows(clashing(documents(spark)))
-    want = sorted((r[0], r[1]) for r, v in zip(rows(), [dict((x[0], x[3]) for x in near_brute(rows()))[r[0]] for r in rows()]) if v and r[0] is not None)
-    assert sorted((r["doc_id"], r["text"]) for r in left.where("doc_id is not null").collect() if r["text"] is not None) == [w for w in want if w[1] is not None]
-    assert left.columns == clashing(documents(spark)).columns
+    data = rows() + [(900, None, "en", "a", 1), (None, "lonely words of a row without any number", "en", "a", 1)]
+    left = near_dedup.kept_rows(clashing(documents(spark, data)))
+    assert left.columns == clashing(documents(spark, data)).columns
+    found = [(r["doc_id"], r["text"]) for r in left.collect()]
+    for members in kept_brute(data).values():
+        stays = [m for m in members if (m[0], m[1]) in found]
+        least = min(members, key=lambda m: (m[0] is None, m[0] or 0))
+        assert {m[0] for m in stays} == {least[0]} and len({m[1] for m in stays}) == 1
+    assert len(found) == sum(len([m for m in g if (m[0], m[1]) in found]) for g in kept_brute(data).values())
+
+
+def test_one_number_for_several_texts(spark):
+    """An id that stands for several texts links their groups; none of its texts is lost by the others."""
+    rng = random.Random(2)
+    a, c, d, e = (sentence(rng, 60, 5000) for _ in range(4))
+    data = [(3, c, "en", "a", 1), (5, a, "en", "a", 1), (5, c, "en", "a", 1), (8, d, "en", "a", 1), (8, e, "en", "a", 1), (9, d, "en", "a", 1), (2, e + " x", "en", "a", 1), (None, a, "en", "a", 1), (None, a + " y", "en", "a", 1), (5, "", "en", "a", 1)]
+    docs = documents(spark, data)
+    assert got(near_dedup.near_duplicates(docs.where("doc_id is not null"))) == near_brute([r for r in data if r[0] is not None])
+    left = sorted((r["doc_id"], r["text"]) for r in near_dedup.kept_rows(docs).collect())
+    assert left == sorted([(3, c), (5, a), (8, d), (2, e + " x"), (5, "")])
 
 
 def test_components_of_a_path_and_a_star(spark):
