@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -86,8 +87,8 @@ class Encoder:
     A byte-level BPE vocabulary never joins characters over certain places: before a single space,
     around a single line feed, between a letter and a comma or full stop.  Texts are cut there, and
     each distinct piece is encoded once and remembered.  Texts in which such places can't be told
-    (white space in a row, tabs) are encoded as they are.  Strings of special tokens inside a text
-    are ordinary text.  ``memory`` bounds the remembered pieces.
+    (white space in a row, tabs) are encoded as they are, and so are all where the file names another way to
+    split text first.  Strings of special tokens inside a text are ordinary text.  ``memory`` bounds the remembered pieces.
     """
 
     def __init__(self, path: str, memory: int = 800_000):
@@ -97,21 +98,30 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memory = memory
-        self._forget()
-
-    def _forget(self) -> None:
+        before = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
+        self.cuts = self.tokenizer.normalizer is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
 
+    def _forget(self) -> None:
+        """Keeps a quarter: the pieces learnt first, which are the common ones."""
+        self.known = dict(islice(self.known.items(), self.memory // 4))
+
     def _learn(self, pieces: list[str]) -> None:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
         flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
-        first = len(self.known)
+        first, used = len(self.known), int(self.starts[len(self.known)])
         self.known.update(zip(pieces, range(first, first + len(pieces))))
-        self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
-        self.flat = np.concatenate([self.flat, flat])
+        self.starts = self._longer(self.starts, len(self.known) + 1)
+        self.starts[first + 1 : len(self.known) + 1] = used + np.cumsum(lengths)
+        self.flat = self._longer(self.flat, used + flat.size)
+        self.flat[used : used + flat.size] = flat
+
+    @staticmethod
+    def _longer(x: np.ndarray, least: int) -> np.ndarray:
+        return x if x.size >= least else np.concatenate([x, np.zeros(max(least, 2 * x.size) - x.size, x.dtype)])
 
     @staticmethod
     def _cut(text: str, odd_space: bool, odd_point: bool) -> list[str]:
@@ -127,7 +137,7 @@ class Encoder:
         if len(self.known) > self.memory:
             self._forget()
         odd = (pc.match_substring_regex(texts, p).to_pylist() for p in (_ODD_SPACE, _ODD_POINT))
-        cut = [self._cut(t, *x) if t else [] for t, *x in zip(texts.to_pylist(), *odd)]
+        cut = [self._cut(t, *x) if t else [] for t, *x in zip(texts.to_pylist(), *odd)] if self.cuts else [[t] if t else [] for t in texts.to_pylist()]
         counts = np.fromiter(map(len, cut), np.int64, len(cut))
         pieces = list(chain.from_iterable(cut))
         at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))

@@ -5,8 +5,9 @@ pairs of symbols, the length of every rule's expansion, and per document its id,
 number of ids.  Symbols never span two documents, and a symbol's length is known without expanding it,
 so any document or span is decoded alone.
 
-Rules are made in rounds: the pairs of a round that are more frequent than both neighbours they overlap with
-are replaced at once wherever they occur ``min_use`` times or more; the next round pairs the new symbols.
+Rules are made in rounds, until no pair of neighbours occurs ``min_use`` times any more: the pairs of a round that are
+more frequent than both neighbours they overlap with are replaced at once; the next round pairs the new symbols.
+Below ``MIN_USE`` uses a rule takes more bytes than it saves.
 
 Defined results: a null or empty text is the end id alone; documents with equal doc_id follow each other by
 text; a null doc_id comes first; an empty table gives no file row and no document; other columns are ignored.
@@ -31,50 +32,162 @@ _SHARDS = (
     "part int, shard int, n_docs int, n_tokens long, part_start long, doc_ids array<long>, sizes array<int>, symbols array<int>, "
     "sequence binary, rules binary, lengths binary"
 )
-_TABLE_BITS = 20
+MIN_USE = 4
+_TABLE_BITS = 18
 
 
-def compress(ids: np.ndarray, sizes: np.ndarray, rounds: int = 6, min_use: int = 4) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Sequence, rules (pairs of symbols), expansion lengths of the rules, and symbols of each document."""
-    seq = ids.astype(np.uint64)
-    last = np.zeros(seq.size, bool)
+class _Rules:
+    """Rules in the order they are made."""
+
+    def __init__(self, min_use: int):
+        self.min_use, self.n = min_use, 0
+        self.pairs: list[np.ndarray] = []
+        self.lengths: list[np.ndarray] = []
+
+    def name(self, a: np.ndarray, b: np.ndarray, slot: np.ndarray, length: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which of the picked pairs are replaced, and by what, and which are too rare; of pairs that share a slot one goes first."""
+        first = np.zeros(1 << bits, np.int32)
+        first[slot] = np.arange(slot.size, dtype=np.int32)
+        of = first[slot]
+        alike = np.flatnonzero((a[of] == a) & (b[of] == b))
+        uses = np.bincount(slot[alike], minlength=1 << bits)
+        enough = uses[slot[alike]] >= self.min_use
+        good = alike[enough]
+        fresh = np.flatnonzero(uses >= self.min_use)
+        number = np.zeros(1 << bits, np.uint32)
+        number[fresh] = np.arange(FIRST_RULE + self.n, FIRST_RULE + self.n + fresh.size, dtype=np.uint32)
+        if fresh.size:
+            of = first[fresh]
+            self.pairs.append(np.stack([a[of], b[of]], 1))
+            self.lengths.append(length[of])
+            self.n += fresh.size
+        return good, number[slot[good]], alike[~enough]
+
+
+def _slots(a: np.ndarray, b: np.ndarray, bits: int) -> np.ndarray:
+    mixed = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)
+    mixed ^= mixed >> np.uint32(15)
+    mixed *= np.uint32(0x2C1B3C6D)
+    mixed >>= np.uint32(32 - bits)
+    return mixed.view(np.int32)
+
+
+def _weights(slot: np.ndarray, bits: int, min_use: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """For every slot below ``size`` its rank among frequent pairs, the more frequent the higher, 0 if it is rare, and its count."""
+    often = np.bincount(slot, minlength=size)[:size]
+    ranked = (np.minimum(often, (1 << (31 - bits)) - 1).astype(np.int32) << bits) | np.arange(size, dtype=np.int32)
+    ranked[often < min_use] = 0
+    return ranked, often
+
+
+def _settled(slot: np.ndarray, tried: np.ndarray, often: np.ndarray, failed: np.ndarray) -> np.ndarray:
+    """Those of the failed places whose pair was tried wherever it occurs: it is rare for good."""
+    seen = np.bincount(slot[tried], minlength=often.size)[: often.size]
+    return failed[seen[slot[failed]] >= often[slot[failed]]]
+
+
+def _even_places(again: np.ndarray) -> np.ndarray:
+    """Of places (ascending) that go on a run from the place before them, the second, fourth, sixth of each run."""
+    place = np.arange(again.size)
+    opens = np.append(True, again[1:] != again[:-1] + 1)[: again.size]
+    return again[(place - np.maximum.accumulate(np.where(opens, place, 0))) % 2 == 0]
+
+
+def compress(ids: np.ndarray, sizes: np.ndarray, min_use: int = MIN_USE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sequence, rules (pairs of symbols), expansion lengths of the rules, and symbols of each document.
+
+    A round counts the pairs at the active places only: where a pair was frequent before, and next to what the last round
+    replaced; everywhere else no pair can have become frequent.  Where one pair overlaps itself, as in a run
+    of one id, every second place counts.  While most places are active, the symbols are a plain array, later a linked list.
+    """
+    rules = _Rules(min_use)
+    symbol, length = ids.astype(np.uint32), np.ones(ids.size, np.uint32)
+    last = np.zeros(ids.size, bool)
     last[np.cumsum(sizes) - 1] = True
-    rules: list[np.ndarray] = []
-    n_rules = 0
-    for _ in range(rounds):
-        if seq.size < 2:
-            break
-        code = (seq[:-1] << np.uint64(32)) | seq[1:]
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _TABLE_BITS)).astype(np.int64)
-        often = np.bincount(slot[~last[:-1]], minlength=1 << _TABLE_BITS)
-        weight = (often[slot] << _TABLE_BITS) | slot
-        weight[last[:-1]] = 0
-        pick = weight >= (min_use << _TABLE_BITS)
-        pick[1:] &= weight[1:] > weight[:-1]
-        pick[:-1] &= weight[:-1] >= weight[1:]
+    active = ~last
+    while symbol.size > 1 and np.count_nonzero(active) > symbol.size >> 3:
+        bits = max(8, min(_TABLE_BITS, int(symbol.size).bit_length()))
+        slot = _slots(symbol[:-1], symbol[1:], bits)
+        slot[~active[:-1]] = 1 << bits
+        ranked, often = _weights(slot, bits, min_use, 1 << bits)
+        own = np.append(ranked, np.int32(0))[slot]
+        pick = own > 0
+        active[:-1] = pick
+        pick[1:] &= own[1:] >= own[:-1]
+        pick[:-1] &= own[:-1] >= own[1:]
+        even = _even_places(np.flatnonzero((own[1:] == own[:-1]) & (own[1:] > 0)) + 1)
+        pick[even] = False
         at = np.flatnonzero(pick)
-        pairs, which, uses = np.unique(code[at], return_inverse=True, return_counts=True)
-        good = uses >= min_use
-        if not good.any():
-            break
-        at, which = at[good[which]], (np.cumsum(good) - 1)[which[good[which]]]
-        pairs = pairs[good]
-        seq[at] = (which + (FIRST_RULE + n_rules)).astype(np.uint64)
+        good, new, rare = rules.name(symbol[at], symbol[at + 1], slot[at], length[at] + length[at + 1], bits)
+        active[_settled(slot, np.concatenate([at, even]), often, at[rare])] = False
+        if not good.size:
+            continue
+        at = at[good]
+        symbol[at] = new
+        length[at] += length[at + 1]
         last[at] = last[at + 1]
-        stay = np.ones(seq.size, bool)
+        active[at] = active[at[at > 0] - 1] = True
+        stay = np.ones(symbol.size, bool)
         stay[at + 1] = False
-        seq, last = seq[stay], last[stay]
-        rules.append(np.stack([pairs >> np.uint64(32), pairs & np.uint64(0xFFFFFFFF)], 1).astype(np.int64))
-        n_rules += len(pairs)
-    table = np.concatenate(rules) if rules else np.zeros((0, 2), np.int64)
-    lengths = np.ones(len(table), np.int64)
-    first = 0
-    for block in rules:
-        rows = slice(first, first + len(block))
-        lengths[rows] = sum(np.where(block[:, k] >= FIRST_RULE, lengths[np.maximum(block[:, k] - FIRST_RULE, 0)], 1) for k in (0, 1))
-        first += len(block)
-    ends = np.flatnonzero(last) + 1
-    return seq.astype("<u4"), table.astype("<u4"), lengths.astype("<u4"), np.diff(ends, prepend=0)
+        stay = np.flatnonzero(stay)
+        symbol, length, last, active = symbol.take(stay), length.take(stay), last.take(stay), active.take(stay)
+        active &= ~last
+    symbol, last = _linked_rounds(rules, symbol, length, last, active)
+    table = np.concatenate(rules.pairs) if rules.n else np.zeros((0, 2))
+    flat = np.concatenate(rules.lengths) if rules.n else np.zeros(0)
+    return symbol.astype("<u4"), table.astype("<u4"), flat.astype("<u4"), np.diff(np.flatnonzero(last) + 1, prepend=0)
+
+
+def _linked_rounds(rules: _Rules, symbol: np.ndarray, length: np.ndarray, last: np.ndarray, active: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    n = symbol.size
+    symbol, length, last = np.append(symbol, np.uint32(0)), np.append(length, np.uint32(0)), np.append(last, True)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)  # place n stands for none
+    before[0] = n
+    weight, alive = np.zeros(n + 1, np.int32), np.ones(n, bool)
+    at = np.flatnonzero(active)
+    while at.size:
+        bits = max(8, min(_TABLE_BITS, int(at.size).bit_length()))
+        right = after[at]
+        a, b = symbol[at], symbol[right]
+        slot = _slots(a, b, bits)
+        ranked, often = _weights(slot, bits, rules.min_use, 1 << bits)
+        own = ranked[slot]
+        rare = own == 0
+        if rare.any():
+            active[at[rare]] = False
+            keep = np.flatnonzero(~rare)
+            at, right, a, b, slot, own = at[keep], right[keep], a[keep], b[keep], slot[keep], own[keep]
+        weight[at] = own
+        left = before[at]
+        left_weight = weight[left]
+        pick = (left_weight <= own) & (weight[right] <= own)
+        even = _even_places(np.flatnonzero((left_weight[1:] == own[1:]) & (left[1:] == at[:-1])) + 1)
+        pick[even] = False
+        weight[at] = 0
+        pick = np.flatnonzero(pick)
+        taken, gone = at[pick], right[pick]
+        good, new, rare = rules.name(a[pick], b[pick], slot[pick], length[taken] + length[gone], bits)
+        active[at[_settled(slot, np.concatenate([pick, even]), often, pick[rare])]] = False
+        if not good.size:
+            at = at[active[at]]
+            continue
+        taken, gone = taken[good], gone[good]
+        beyond = after[gone]
+        symbol[taken] = new
+        length[taken] += length[gone]
+        last[taken] = last[gone]
+        after[taken], before[beyond] = beyond, taken
+        before[n] = n
+        alive[gone] = active[gone] = active[taken] = False
+        near = np.concatenate([taken, before[taken]])
+        active[near[~last[near]]] = True  # place n is last
+        at = np.flatnonzero(active)
+    return symbol[:n][alive], last[:n][alive]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... for every start, as many as its size."""
+    return np.arange(sizes.sum()) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
 
 
 class Grammar:
@@ -82,11 +195,27 @@ class Grammar:
 
     def __init__(self, rules: np.ndarray, lengths: np.ndarray):
         self.lengths = lengths.astype(np.int64)
-        flat: list[np.ndarray] = []
-        for a, b in rules.astype(np.int64).tolist():
-            flat.append(np.concatenate([flat[x - FIRST_RULE] if x >= FIRST_RULE else np.array([x], "<u4") for x in (a, b)]))
-        self.flat = np.concatenate(flat) if flat else np.zeros(0, "<u4")
         self.starts = np.cumsum(self.lengths) - self.lengths
+        self.flat = np.zeros(int(self.lengths.sum()), "<u4")
+        sides = [(rules[:, k], rules[:, k].astype(np.int64) - FIRST_RULE) for k in (0, 1)] if len(rules) else []
+        depth = np.ones(len(rules), np.int64)
+        while sides:  # a rule is one deeper than its deeper side
+            deeper = 1 + np.maximum(*(np.where(c >= 0, depth[np.maximum(c, 0)], 0) for _, c in sides))
+            if (deeper == depth).all():
+                break
+            depth = deeper
+        for level in range(1, int(depth.max(initial=0)) + 1):
+            own = np.flatnonzero(depth == level)
+            to = self.starts[own]
+            for symbol, child in sides:
+                symbol, child = symbol[own], child[own]
+                plain = child < 0
+                self.flat[to[plain]] = symbol[plain]
+                n = np.where(plain, 1, self.lengths[np.maximum(child, 0)])
+                if not plain.all():
+                    into, out = _ranges(to[~plain], n[~plain]), _ranges(self.starts[child[~plain]], n[~plain])
+                    self.flat[into] = self.flat[out]
+                to = to + n
 
     def sizes(self, seq: np.ndarray) -> np.ndarray:
         if not self.lengths.size:
@@ -115,7 +244,7 @@ class Grammar:
         return self.decode(seq[a : b + 1])[skip : skip + stop - start]
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, end: int = END_ID, rounds: int = 6, min_use: int = 4) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS, end: int = END_ID, min_use: int = MIN_USE) -> None:
     """Encodes the documents, in ascending order of doc_id, into shards of about ``shard_tokens`` ids."""
     vocabulary = tokenizer or default_tokenizer()
 
@@ -128,7 +257,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str | None = None, shard
             doc_ids = [d for x in held for d in x[0]]
             sizes = np.concatenate([x[2] for x in held])
             ids = np.concatenate([x[1] for x in held])
-            seq, rules, lengths, symbols = compress(ids, sizes, rounds, min_use)
+            seq, rules, lengths, symbols = compress(ids, sizes, min_use)
             row = [part, shard, len(doc_ids), int(sizes.sum()), start, doc_ids, sizes.tolist(), symbols.tolist(), seq.tobytes(), rules.tobytes(), lengths.tobytes()]
             kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), *[pa.binary()] * 3]
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=[c.split()[0] for c in _SHARDS.split(", ")])

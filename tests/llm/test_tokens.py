@@ -67,6 +67,51 @@ def test_rules_shrink_and_spans_decode_alone():
     assert [grammar.decode(s).size for s in np.split(seq, cut[:-1])] == sizes.tolist()
 
 
+def pairs_left(seq, symbols, min_use=4):
+    """Pairs that still occur ``min_use`` times without overlapping themselves or a document's end."""
+    uses = defaultdict(int)
+    ends, taken = set((np.cumsum(symbols) - 1).tolist()), {}
+    for k in range(len(seq) - 1):
+        pair = (int(seq[k]), int(seq[k + 1]))
+        if k not in ends and taken.get(pair) != k:
+            uses[pair] += 1
+            taken[pair] = k + 1
+    return [p for p, n in uses.items() if n >= min_use]
+
+
+def test_no_frequent_pair_is_left():
+    """Runs of one id, long passages and random texts alike."""
+    rng = np.random.default_rng(7)
+    passage = rng.integers(0, 50_000, 600)
+    cases = [
+        (np.full(10_000, 7), [10_000], 100), (np.concatenate([np.concatenate([passage, rng.integers(0, 50_000, 2)]) for _ in range(200)]), [602] * 200, 1300),
+        (np.tile([5, 5, 9], 3000), [900] * 10, 100), (rng.integers(0, 40, 30_000), [10] * 3000, None), (rng.zipf(1.5, 20_000) % 50_000, [1, 19_999], None), (np.array([3]), [1], None),
+    ]
+    for ids, sizes, most in cases:
+        ids, sizes = ids.astype("<u4"), np.array(sizes)
+        seq, rules, lengths, symbols = grammar_output.compress(ids, sizes)
+        grammar = grammar_output.Grammar(rules, lengths)
+        assert grammar.decode(seq).tolist() == ids.tolist() and pairs_left(seq, symbols) == []
+        assert np.add.reduceat(grammar.sizes(seq), np.cumsum(symbols) - symbols).tolist() == sizes.tolist()
+        assert most is None or seq.size + len(rules) < most
+    assert grammar_output.compress(np.zeros(0, "<u4"), np.zeros(0, np.int64))[0].size == 0
+
+
+def test_another_pre_tokeniser_encodes_whole_texts(tmp_path):
+    import json
+
+    spec = json.loads(open(default_tokenizer()).read())
+    spec["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(spec))
+    other = Tokenizer.from_file(str(path))
+    other.encode_special_tokens = True
+    coder = Encoder(str(path))
+    texts = ["some words, and more.\nNext", "", "a b"]
+    ids, sizes = coder.encode(pa.array(texts))
+    assert not coder.cuts and ids.tolist() == [x for t in texts for x in other.encode(t, add_special_tokens=False).ids] and len(sizes) == 3
+
+
 def test_packing(spark, plain):
     docs = documents(spark)
     for table in (docs, clashing(docs)):
