@@ -13,13 +13,13 @@ import statistics
 import sys
 import time
 
-from clipsieve.config import ScoringConfig
+from clipsieve.config import SHORT_REPORT, ScoringConfig
 from clipsieve.operators import ai, evaluate as E, rating as R, signals as G, sweep as W
 from clipsieve.plans import bridge as B, flows
 from clipsieve.session import local_session
 from clipsieve.sources import transcripts as X
 
-CFG = ScoringConfig()
+CFG = ScoringConfig(**SHORT_REPORT)
 WORDS = ("the", "that", "with", "zebra")
 
 

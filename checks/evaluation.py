@@ -6,14 +6,14 @@ from functools import lru_cache
 
 from pyspark.sql import functions as F
 
-from checks.registry import flat, query, r4
+from checks.registry import ORACLE, flat, query, r4
 from checks.views import MERGE, TOTAL, view, with_views
 from clipsieve.config import ScoringConfig
 from clipsieve.operators import evaluate as E, intervals as I, sweep as W
 from clipsieve.plans import bridge as B
 from clipsieve.sources.identity import resolve_sources
 
-CFG = ScoringConfig()
+CFG = ScoringConfig(max_candidates=50)
 
 GAP = """CASE WHEN least(a."end", c."end") > greatest(a."start", c."start") THEN 0
   WHEN a."end" <= c."start" THEN c."start" - a."end" ELSE a."start" - c."end" END"""
@@ -182,14 +182,19 @@ SIGNALS = ("technical_score visual_activity_score audio_interest_score transcrip
 
 @query("P12_signal_breakdown", with_views("cands") + f"""
 , score_rows AS (SELECT "rank", reasons, unnest([{", ".join(f"{{name: '{s}', value: {s}::DOUBLE}}" for s in SIGNALS)}]) AS s FROM cands)
-  SELECT format('clip_{{:04d}}', "rank") AS id, list(s.name ORDER BY s.value DESC, s.name)[1:6] AS names,
-    array_to_string(any_value(reasons)[1:6], '|') AS first_reasons
+  SELECT format('clip_{{:04d}}', "rank") AS id, list(s.name ORDER BY s.value DESC, s.name) AS names,
+    array_to_string(any_value(reasons), '|') AS first_reasons
   FROM score_rows WHERE s.value <> 0 GROUP BY "rank" """)
-def signal_breakdown(spark, sf):
-    rows = E.signal_breakdown(B.candidates(spark, sf))
+def signal_breakdown(spark, sf, shown=None):
+    rows = E.signal_breakdown(B.candidates(spark, sf), shown)
     return rows.select("id", F.transform("top_scores", lambda s: s["name"]).alias("names"), flat("first_reasons"))
 
 
+@query("P12_first_signals", ORACLE["P12_signal_breakdown"].replace("s.name) AS names", "s.name)[1:6] AS names").replace("any_value(reasons)", "any_value(reasons)[1:6]"))
+def first_signals(spark, sf):
+    return signal_breakdown(spark, sf, 6)
+
+
 @query("P13_scoring_modes", with_views("cands") + "SELECT 'deterministic|ai-assisted' AS modes FROM cands LIMIT 1")
 def scoring_modes(spark, sf):
     return E.scoring_modes(B.candidates(spark, sf)).select(flat("modes"))

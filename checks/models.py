@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 import checks.evaluation  # noqa: F401  (its views are used here)
 from checks.registry import flat, query, r4
+from checks.evaluation import SWEEP
 from checks.review import hms
 from checks.views import view, with_views
 from clipsieve.config import ScoringConfig
@@ -19,7 +20,7 @@ from clipsieve.session import shared_dir
 from clipsieve.sinks import tables as K
 from clipsieve.sources import documents as D
 
-CFG = ScoringConfig()
+CFG = ScoringConfig(max_candidates=50)
 
 # -- frame scores -------------------------------------------------------------------------------
 
@@ -303,14 +304,20 @@ def _pillar_sql():
 
 
 @query("C2_content_map", _pillar_sql() + """
-  SELECT pillar, id, row_number() OVER (PARTITION BY pillar ORDER BY score DESC, id DESC) AS "rank" FROM m QUALIFY "rank" <= 10""")
+  SELECT pillar, id, row_number() OVER (PARTITION BY pillar ORDER BY score DESC, id DESC) AS "rank" FROM m""")
 def content_map(spark, sf):
     return C.content_map(B.candidates(spark, sf)).select("pillar", "id", "rank")
 
 
+@query("C2_best_of_pillars", _pillar_sql() + """
+  SELECT pillar, id, row_number() OVER (PARTITION BY pillar ORDER BY score DESC, id DESC) AS "rank" FROM m QUALIFY "rank" <= 10""")
+def best_of_pillars(spark, sf):
+    return C.content_map(B.candidates(spark, sf), 10).select("pillar", "id", "rank")
+
+
 @query("C2_top_candidates", with_views("cands") + f"SELECT place AS \"rank\", id FROM ({_ranked_sql([], 20)})")
 def top_candidates(spark, sf):
-    return C.top_candidates(B.candidates(spark, sf)).select("rank", "id")
+    return C.top_candidates(B.candidates(spark, sf), 20).select("rank", "id")
 
 
 @query("F7_text_matches", _pillar_sql() + """
@@ -329,7 +336,17 @@ HOOKS = V.SERIES_TEMPLATES["engine_build_montage"]
     trim(array_to_string(labels, ', ') || '. ' || array_to_string(reasons[1:2], '; ')) AS edit_note
   FROM ({_ranked_sql(HOOKS["labels"], 5)})""")
 def series_plan(spark, sf):
-    return C.series_plan(B.candidates(spark, sf), "engine_build_montage").select("rank", "id", "hook", "caption", "edit_note")
+    return C.series_plan(B.candidates(spark, sf), "engine_build_montage", 5).select("rank", "id", "hook", "caption", "edit_note")
+
+
+_SERIES = ", ".join(f"('{k}', $${t['name']}$$, {t['labels']})" for k, t in V.SERIES_TEMPLATES.items())
+
+
+@query("C3_series_supply", with_views("cands") + f"""
+  SELECT template, name, count("rank") AS candidates, max(score) AS best_score
+  FROM (VALUES {_SERIES}) t(template, name, wanted) LEFT JOIN cands ON list_has_any(labels, wanted) GROUP BY template, name""")
+def series_supply(spark, sf):
+    return C.series_supply(B.candidates(spark, sf)).select("template", "name", "candidates", "best_score")
 
 
 @query("W11_series_hooks", with_views("cands") + """SELECT id, ['a', 'b', 'c', 'd'][CAST(("rank" - 1) % 4 AS INT) + 1] AS hook FROM cands""")
@@ -340,13 +357,21 @@ def series_hooks(spark, sf):
 @query("C4_quote_candidates", with_views("cands") + f""", q AS (SELECT * FROM cands) SELECT place AS "rank", id FROM ({_ranked_sql([], 25, "q")})""")
 def quote_candidates(spark, sf):
     """Every candidate stores a transcript score, and the search text includes key names."""
-    return C.quote_candidates(B.candidates(spark, sf)).select("rank", "id")
+    return C.quote_candidates(B.candidates(spark, sf), 25).select("rank", "id")
+
+
+QUOTES = with_views("cues") + f"""
+  SELECT source, {hms('"start"')} AS start_tc, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM cues"""
 
 
-@query("C4_quote_hits", with_views("cues") + f"""
-  SELECT source, {hms('"start"')} AS start_tc, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS text FROM cues ORDER BY source, cue_index LIMIT 50""")
-def quote_hits(spark, sf):
-    return C.quote_hits(B.cues(spark, sf), [F.asc("source"), F.asc("cue_index")]).select("source", "start_tc", "text")
+@query("C4_quote_hits", QUOTES)
+def quote_hits(spark, sf, n=None):
+    return C.quote_hits(B.cues(spark, sf), [F.asc("source"), F.asc("cue_index")], n).select("source", "start_tc", "text")
+
+
+@query("C4_first_quotes", QUOTES + " ORDER BY source, cue_index LIMIT 50")
+def first_quotes(spark, sf):
+    return quote_hits(spark, sf, 50)
 
 
 # -- scalar functions ----------------------------------------------------------------------------------
@@ -440,11 +465,25 @@ def normalize_key(spark, sf):
 
 # -- sinks, documents on disk, presets --------------------------------------------------------------------
 
-@query("K1_write_inventory")
-def write_inventory(spark, sf):
+INVENTORY = with_views("assets") + f"""
+  SELECT source AS filename, {hms('duration')} AS duration, width || 'x' || height AS resolution, codec, fps, size_mb, has_audio, status, source AS filepath FROM assets"""
+
+
+def _inventory(spark, sf, part, summary=None):
     path = _fresh(spark)
-    K.write_inventory(B.assets(spark, sf), path)
-    return spark.read.option("header", True).csv(f"{path}/csv")
+    K.write_inventory(B.assets(spark, sf), path, summary)
+    rows = spark.read.option("header", True).csv(f"{path}/{part}")
+    return rows.withColumns({"fps": F.col("fps").cast("double"), "size_mb": F.col("size_mb").cast("double"), "has_audio": F.col("has_audio").cast("boolean")})
+
+
+@query("K1_write_inventory", INVENTORY)
+def write_inventory(spark, sf):
+    return _inventory(spark, sf, "csv")
+
+
+@query("K1_inventory_summary", INVENTORY + " ORDER BY source LIMIT 200")
+def inventory_summary(spark, sf):
+    return _inventory(spark, sf, "summary", 200)
 
 
 @query("K2_write_ratings", with_views("cands") + "SELECT id, source, score, action FROM cands")
@@ -454,12 +493,16 @@ def write_ratings(spark, sf):
     return spark.read.parquet(path).select("id", "source", "score", "action")
 
 
-@query("K6_config_candidates_csv")
+@query("K6_config_candidates_csv", with_views("grid") + f"""
+  SELECT s."rank", s.name, f1, candidate_count, w_visual::DOUBLE AS visual_weight FROM ({SWEEP}) s JOIN grid g ON g.name = s.name""")
 def config_candidates_csv(spark, sf):
     rows = W.sweep_scoring(B.signals(spark, sf), B.annotations(spark, sf), CFG)
     path = _fresh(spark)
     K.write_csv(K.config_table(rows), path)
-    return spark.read.option("header", True).option("escape", "\\").csv(path).select("rank", "name", "f1", "candidate_count", "weights")
+    back = spark.read.option("header", True).option("escape", "\\").csv(path)
+    return back.select(
+        F.col("rank").cast("long"), "name", F.col("f1").cast("double"), F.col("candidate_count").cast("long"),
+        F.get_json_object("weights", "$.visual").cast("double").alias("visual_weight"))
 
 
 @query("S12_read_ratings", with_views("levels", "scenes", "silences", "object_hits", "cands") + """

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import flat, query, r4
+from checks.registry import ORACLE, flat, query, r4
 from checks.views import ADVANCED, ADVANCED_SCORES, with_views
-from clipsieve.config import ScoringConfig
+from clipsieve.config import SHORT_REPORT, ScoringConfig
 from clipsieve.functions import scalars as S
 from clipsieve.operators import intervals as I, rating as R
 from clipsieve.plans import bridge as B, flows
 
 CFG = ScoringConfig()
+SHORT = CFG.with_(**SHORT_REPORT)
 
 
 @query("P1_technical_score", with_views("technical") + "SELECT source, technical_score FROM technical")
@@ -107,12 +108,17 @@ def score_sources(spark, sf):
   FROM (SELECT source, list_filter([
     CASE WHEN scenes > 0 THEN scenes || ' scene changes detected' END, CASE WHEN silences > 0 THEN silences || ' silence intervals detected' END,
     CASE WHEN spikes > 0 THEN spikes || ' audio spikes detected' END, CASE WHEN transcripts > 0 THEN transcripts || ' transcript highlight hits' END,
-    CASE WHEN len(names) > 0 THEN 'object detections: ' || array_to_string(names[1:6], ', ') END,
-    CASE WHEN len(main_labels) > 0 THEN 'advanced signal artifacts: ' || array_to_string(main_labels[1:6], ', ') END], lambda x: x IS NOT NULL) AS r FROM f_all)""")
+    CASE WHEN len(names) > 0 THEN 'object detections: ' || array_to_string(names, ', ') END,
+    CASE WHEN len(main_labels) > 0 THEN 'advanced signal artifacts: ' || array_to_string(main_labels, ', ') END], lambda x: x IS NOT NULL) AS r FROM f_all)""")
 def file_reasons(spark, sf):
     return R.score_sources(B.signals(spark, sf), CFG).select("source", flat("reasons"))
 
 
+@query("P9_file_reasons_short_report", ORACLE["P9_file_reasons"].replace("(names, ", "(names[1:6], ").replace("(main_labels, ", "(main_labels[1:6], "))
+def file_reasons_short(spark, sf):
+    return R.score_sources(B.signals(spark, sf), SHORT).select("source", flat("reasons"))
+
+
 @query("A2_audio_spikes", with_views("spikes") + "SELECT source, round(time, 4) AS time, round(rms_db, 4) AS rms_db FROM spikes")
 def audio_spikes(spark, sf):
     spikes = R.audio_spikes(B.levels(B.events(spark, sf)), CFG.audio_spike_percentile, CFG.audio_spike_floor_db)
@@ -253,7 +259,7 @@ def score_windows(spark, sf):
 @query("W4_rank_candidates", with_views("cands") + 'SELECT "rank", id, source, round("start", 4) AS "start", score, action FROM cands WHERE "rank" <= 50')
 def rank_candidates(spark, sf):
     scored = B.candidates(spark, sf).drop("rank", "id")
-    return R.rank_candidates(scored, CFG.max_candidates).select("rank", "id", "source", r4("start"), "score", "action")
+    return R.rank_candidates(scored, SHORT.max_candidates).select("rank", "id", "source", r4("start"), "score", "action")
 
 
 @query("W4_rank_all", with_views("cands") + 'SELECT "rank", id, source, round("start", 4) AS "start", score, action FROM cands')
@@ -261,19 +267,29 @@ def rank_all(spark, sf):
     return B.candidates(spark, sf).select("rank", "id", "source", r4("start"), "score", "action")
 
 
-@query("C6_rate", with_views("cands") + SCORED.replace("SELECT", 'SELECT "rank", id,') + ' FROM cands WHERE "rank" <= 50')
+@query("C6_rate", with_views("cands") + SCORED.replace("SELECT", 'SELECT "rank", id,') + " FROM cands")
 def rate(spark, sf):
     rows = flows.rate(B.signals(spark, sf), CFG)
     return _scored(rows, "rank", "id")
 
 
+@query("C6_rate_short_report", with_views("cands_short") + SCORED.replace("SELECT", 'SELECT "rank", id,') + " FROM cands_short")
+def rate_short(spark, sf):
+    rows = flows.rate(B.signals(spark, sf), SHORT)
+    return _scored(rows, "rank", "id")
+
+
+@query("A3_score_windows_short_report", with_views("scored_short") + SCORED + " FROM scored_short")
+def score_windows_short(spark, sf):
+    return _scored(R.generate_candidates(B.signals(spark, sf), SHORT))
+
 
 
 @query("A5_rating_summary", with_views("cands", "assets") + """
   SELECT (SELECT count(*) FROM assets) AS files, (SELECT sum(duration) FROM assets) AS total_duration, count(*) AS candidates,
     count(*) FILTER (action = 'select') AS "select", count(*) FILTER (action = 'review') AS review,
     count(*) FILTER (action = 'broll') AS broll, count(*) FILTER (action = 'cut') AS cut
-  FROM cands WHERE "rank" <= 50""")
+  FROM cands""")
 def rating_summary(spark, sf):
     s = B.signals(spark, sf)
     return R.rating_summary(flows.rate(s, CFG), s.assets)

@@ -107,18 +107,21 @@ view("status", "matches fps", """
 
 @query("J14_review_rows", with_views("cands", "assets", "technical", "clip_objects", "clip_advanced", "status", recursive=True) + """
   SELECT c.id, width || 'x' || height AS resolution, fps, technical.technical_score AS file_technical,
-    (SELECT count(*) FROM clip_objects o WHERE o."rank" = c."rank" AND n <= 20) AS object_count,
-    (SELECT count(*) FROM clip_advanced o WHERE o."rank" = c."rank" AND n <= 20) AS advanced_count, coalesce(status.status, 'unreviewed') AS calibration_status
+    (SELECT count(*) FROM clip_objects o WHERE o."rank" = c."rank" AND n <= 20) AS listed_objects,
+    (SELECT count(*) FROM clip_advanced o WHERE o."rank" = c."rank" AND n <= 20) AS listed_advanced,
+    (SELECT count(*) FROM clip_objects o WHERE o."rank" = c."rank") AS object_count,
+    (SELECT count(*) FROM clip_advanced o WHERE o."rank" = c."rank") AS advanced_count, coalesce(status.status, 'unreviewed') AS calibration_status
   FROM cands c JOIN assets USING (source) JOIN technical USING (source) LEFT JOIN status USING ("rank")""")
 def review_rows(spark, sf):
     rows = _review(spark, sf, _judged(spark, sf))
     n = lambda c: F.coalesce(F.size(c), F.lit(0))
     return rows.select(
-        "id", "resolution", "fps", "file_technical", F.greatest(F.lit(0), n("object_hit_rows")).alias("object_count"),
-        F.greatest(F.lit(0), n("advanced_hit_rows")).alias("advanced_count"), "calibration_status")
+        "id", "resolution", "fps", "file_technical", F.greatest(F.lit(0), n("object_hit_rows")).alias("listed_objects"),
+        F.greatest(F.lit(0), n("advanced_hit_rows")).alias("listed_advanced"), F.coalesce("object_hit_count", F.lit(0)).alias("object_count"),
+        F.coalesce("advanced_hit_count", F.lit(0)).alias("advanced_count"), "calibration_status")
 
 
-@query("A16_hit_summaries", with_views("cands", "clip_objects", "clip_advanced") + """
+LISTED_SUMMARIES = with_views("cands", "clip_objects", "clip_advanced") + """
 , o AS (SELECT "rank", string_agg(class_name || ' x' || total, ', ' ORDER BY class_name) AS text FROM (
     SELECT *, row_number() OVER (PARTITION BY "rank" ORDER BY class_name) AS k FROM (
       SELECT "rank", class_name, sum(greatest(1, cnt)) AS total FROM clip_objects WHERE n <= 20 GROUP BY "rank", class_name)) WHERE k <= 6 GROUP BY "rank")
@@ -127,11 +130,19 @@ def review_rows(spark, sf):
 , l AS (SELECT "rank", array_to_string(list_sort(list_distinct(list(model_label)))[1:6], ', ') AS text FROM clip_advanced WHERE n <= 20 AND kind = 'ai_frame_score' GROUP BY "rank")
   SELECT id, coalesce('Objects: ' || o.text, '') AS object_summary, coalesce('Advanced: ' || a.text || coalesce('; AI labels: ' || l.text, ''), '') AS advanced_summary,
     'Calibration: unreviewed' AS calibration_line
-  FROM cands LEFT JOIN o USING ("rank") LEFT JOIN a USING ("rank") LEFT JOIN l USING ("rank")""")
+  FROM cands LEFT JOIN o USING ("rank") LEFT JOIN a USING ("rank") LEFT JOIN l USING ("rank")"""
+
+
+@query("A16_hit_summaries", LISTED_SUMMARIES.replace("WHERE n <= 20 AND", "WHERE").replace("WHERE n <= 20 GROUP", "GROUP").replace("WHERE k <= 6 ", "").replace("[1:6]", ""))
 def hit_summaries(spark, sf):
     return V.hit_summaries(_review(spark, sf)).select("id", "object_summary", "advanced_summary", "calibration_line")
 
 
+@query("A16_listed_hit_summaries", LISTED_SUMMARIES)
+def listed_hit_summaries(spark, sf):
+    return V.hit_summaries(_review(spark, sf), of_listed=True, shown=6).select("id", "object_summary", "advanced_summary", "calibration_line")
+
+
 @query("P7_filter_review", with_views("cands", "decisions") + """
   SELECT id, source AS source_name, "order", score FROM (
     SELECT c.id, source, score, coalesce(d."order", "rank") AS "order",
@@ -290,7 +301,15 @@ def false_positive_csv(spark, sf):
     return K.false_positive_table(e.false_positives).select("id", "source", "start", "score", "action", "labels", "reasons")
 
 
-@query("K8_review_report", with_views("cands") + f"""
-  SELECT "rank", id, score, action, source AS file, {hms('"start"')} || ' - ' || {hms('"end"')} AS time, array_to_string(reasons, '; ') AS why FROM cands WHERE "rank" <= 50""")
+REPORT = with_views("cands") + f"""
+  SELECT "rank", id, score, action, source AS file, {hms('"start"')} || ' - ' || {hms('"end"')} AS time, array_to_string(reasons, '; ') AS why FROM cands"""
+
+
+@query("K8_review_report", REPORT)
 def review_report(spark, sf):
+    return K.top_candidate_table(B.candidates(spark, sf))
+
+
+@query("K8_top_of_report", REPORT + ' WHERE "rank" <= 50')
+def top_of_report(spark, sf):
     return K.top_candidate_table(B.candidates(spark, sf), 50)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import flat, query, r4
+from checks.registry import ORACLE, flat, query, r4
 from checks.views import view, with_views
 from clipsieve.operators import signals as G
+from clipsieve.operators.keywords import find_keywords
+from clipsieve.operators.ranking import global_rank
 from clipsieve.plans import bridge as B
 from clipsieve.sources import documents as D, logs as L, media as M, transcripts as X
 from clipsieve.streaming import incremental as N
@@ -161,13 +163,47 @@ def transcript_hits(spark, sf):
     return X.transcript_hits(B.cues(spark, sf), WORDS).select("source", "cue_index", flat("keywords"))
 
 
-@query("S11_text_transcript_hits", f"""
-  SELECT 'doc_' || doc_id AS source, least(doc_id % 40, 20.0) AS "end", substring(text, 1, 500) AS text, array_to_string({MATCHED}, '|') AS keywords
-  FROM documents WHERE len({MATCHED}) > 0""")
-def text_transcript_hits(spark, sf):
+_DICTIONARY = r"""
+, dictionary AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '[^a-z]+')) AS keyword FROM benchmark)
+, words AS (SELECT keyword FROM dictionary WHERE length(keyword) BETWEEN 4 AND 9)
+, found AS (SELECT source, cue_index, string_agg(keyword, '|' ORDER BY keyword) AS keywords FROM cues JOIN words ON {test} GROUP BY source, cue_index)
+  SELECT * FROM found"""
+
+
+def _dictionary(spark, sf):
+    """Every word of four to nine letters of the benchmark passages, in alphabetical order."""
+    words = B.table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), "[^a-z]+")).alias("keyword")).distinct()
+    kept = words.where(F.length("keyword").between(4, 9))
+    return global_rank(kept, [F.asc("keyword")], "place")
+
+
+@query("S10_dictionary_hits", with_views("cues") + _DICTIONARY.format(test="contains(lower(text), keyword)"))
+def dictionary_hits(spark, sf):
+    return X.transcript_hits(B.cues(spark, sf), _dictionary(spark, sf)).select("source", "cue_index", flat("keywords"))
+
+
+@query("F6_dictionary_words", with_views("cues") + _DICTIONARY.format(test="regexp_matches(lower(text), '(^|[^A-Za-z0-9])' || keyword || '($|[^A-Za-z0-9])')"))
+def dictionary_words(spark, sf):
+    """Joined, as a dictionary too large to ship would be."""
+    rows = find_keywords(B.cues(spark, sf), "text", _dictionary(spark, sf), whole_words=True, most=0)
+    return rows.where(F.size("keywords") > 0).select("source", "cue_index", flat("keywords"))
+
+
+TEXT_HITS = f"""
+  SELECT 'doc_' || doc_id AS source, least(doc_id % 40, 20.0) AS "end", {{text}} AS text, array_to_string({MATCHED}, '|') AS keywords
+  FROM documents WHERE len({MATCHED}) > 0"""
+
+
+@query("S11_text_transcript_hits", TEXT_HITS.format(text="text"))
+def text_transcript_hits(spark, sf, shown=None):
     docs = B.table(spark, sf, "documents").select(
         F.concat(F.lit("doc_"), F.col("doc_id").cast("string")).alias("source"), "text", F.pmod("doc_id", F.lit(40)).cast("double").alias("duration"))
-    return X.text_transcript_hits(docs, WORDS).select("source", "end", "text", flat("keywords"))
+    return X.text_transcript_hits(docs, WORDS, shown=shown).select("source", "end", "text", flat("keywords"))
+
+
+@query("S11_opening_characters", TEXT_HITS.format(text="substring(text, 1, 500)"))
+def opening_characters(spark, sf):
+    return text_transcript_hits(spark, sf, 500)
 
 
 # -- signal documents ----------------------------------------------------------------------------
@@ -176,8 +212,8 @@ def _doc(df, content):
     return df.select(F.concat(F.lit("/signals/"), F.col("event_id").cast("string"), F.lit(".json")).alias("path"), F.to_json(content).alias("content"))
 
 
-def _visual_docs(spark, sf):
-    h = B.object_hits(B.events(spark, sf))
+def _visual_docs(spark, sf, every=False):
+    h = B.object_hits(B.events(spark, sf), every)
     good = F.struct("class_name", "class_id", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), F.col("count").alias("detection_count"),
                     F.col("confidence").alias("average_confidence"))
     none = lambda n, t: F.lit(None).cast(t).alias(n)
@@ -185,72 +221,74 @@ def _visual_docs(spark, sf):
     return _doc(h, F.struct(F.array(F.struct("source", F.array(good, bad).alias("segments"))).alias("sources")))
 
 
-@query("S13_read_visual_objects", with_views("object_hits") + 'SELECT source, round(h_start, 4) AS "start", round(h_end, 4) AS "end", class_name, class_id, cnt AS count, confidence FROM object_hits')
+@query("S13_read_visual_objects", with_views("every_object") + 'SELECT source, round(h_start, 4) AS "start", round(h_end, 4) AS "end", class_name, class_id, cnt AS count, confidence FROM every_object')
 def read_visual_objects(spark, sf):
-    return D.read_visual_objects(_visual_docs(spark, sf)).select("source", r4("start"), r4("end"), "class_name", "class_id", "count", "confidence")
+    return D.read_visual_objects(_visual_docs(spark, sf, True)).select("source", r4("start"), r4("end"), "class_name", "class_id", "count", "confidence")
 
 
-def _advanced(spark, sf, kind):
-    return B.advanced_hits(B.events(spark, sf)).where(F.col("kind") == kind)
+def _advanced(spark, sf, kind, every):
+    """Every event as a hit of a kind, or the hits that the signals have of it."""
+    hits = B.advanced_hits(B.events(spark, sf), kind if every else None)
+    return hits.where(F.col("kind") == kind)
 
 
-def _ocr_docs(spark, sf):
-    rows = _advanced(spark, sf, "ocr_signage")
+def _ocr_docs(spark, sf, every=False):
+    rows = _advanced(spark, sf, "ocr_signage", every)
     hit = lambda source, text: F.struct(source.alias("source"), text.alias("text"))
     return _doc(rows, F.struct(F.array(hit(F.col("source"), F.concat(F.lit("  SALE "), F.col("event_id").cast("string"), F.lit(" "))), hit(F.col("source"), F.lit("   ")),
                                        hit(F.lit(""), F.lit("lost"))).alias("hits")))
 
 
-@query("S14_read_ocr_hits", with_views("advanced_hits") + "SELECT source, 'SALE ' || event_id AS text, true AS source_wide FROM advanced_hits WHERE kind = 'ocr_signage'")
+@query("S14_read_ocr_hits", with_views("every_ocr_signage") + "SELECT source, 'SALE ' || event_id AS text, true AS source_wide FROM every_ocr_signage")
 def read_ocr_hits(spark, sf):
-    return D.read_ocr_hits(_ocr_docs(spark, sf)).select("source", "text", "source_wide")
+    return D.read_ocr_hits(_ocr_docs(spark, sf, True)).select("source", "text", "source_wide")
 
 
-def _face_docs(spark, sf):
-    rows = _advanced(spark, sf, "face_person")
+def _face_docs(spark, sf, every=False):
+    rows = _advanced(spark, sf, "face_person", every)
     return _doc(rows, F.struct(F.array(F.struct("source", "face_count", F.when(F.col("person_count") > 0, F.col("person_count")).alias("person_count"))).alias("hits")))
 
 
-@query("S15_read_face_person_hits", with_views("advanced_hits") + "SELECT source, face_count, person_count, count(*) AS n FROM advanced_hits WHERE kind = 'face_person' GROUP BY ALL")
+@query("S15_read_face_person_hits", with_views("every_face_person") + "SELECT source, face_count, person_count, count(*) AS n FROM every_face_person GROUP BY ALL")
 def read_face_person_hits(spark, sf):
-    return D.read_face_person_hits(_face_docs(spark, sf)).groupBy("source", "face_count", "person_count").agg(F.count("*").alias("n"))
+    return D.read_face_person_hits(_face_docs(spark, sf, True)).groupBy("source", "face_count", "person_count").agg(F.count("*").alias("n"))
 
 
-def _event_docs(spark, sf):
-    rows = _advanced(spark, sf, "motorsports_event")
+def _event_docs(spark, sf, every=False):
+    rows = _advanced(spark, sf, "motorsports_event", every)
     return _doc(rows, F.struct(F.array(F.struct("source", F.col("start").alias("start_seconds"), F.lit("00:11:40").alias("end"), "event_type", "confidence",
                                                 F.array(F.lit("pass")).alias("evidence"))).alias("events")))
 
 
-@query("S16_read_event_hits", with_views("advanced_hits") + """
-  SELECT source, round(h_start, 4) AS "start", 700.0 AS "end", event_type, conf AS confidence, 'pass' AS evidence FROM advanced_hits WHERE kind = 'motorsports_event'""")
+@query("S16_read_event_hits", with_views("every_motorsports_event") + """
+  SELECT source, round(h_start, 4) AS "start", 700.0 AS "end", event_type, conf AS confidence, 'pass' AS evidence FROM every_motorsports_event""")
 def read_event_hits(spark, sf):
-    return D.read_event_hits(_event_docs(spark, sf)).select("source", r4("start"), "end", "event_type", "confidence", flat("evidence"))
+    return D.read_event_hits(_event_docs(spark, sf, True)).select("source", r4("start"), "end", "event_type", "confidence", flat("evidence"))
 
 
-def _topic_docs(spark, sf):
-    rows = _advanced(spark, sf, "topic_cluster")
+def _topic_docs(spark, sf, every=False):
+    rows = _advanced(spark, sf, "topic_cluster", every)
     hit = F.struct("source", F.col("start").alias("start_seconds"), F.col("end").alias("end_seconds"), F.array(F.lit("win"), F.lit("lap")).alias("keywords"), F.lit("text").alias("text"))
     return _doc(rows, F.struct(F.array(F.struct("topic", F.array(hit, hit).alias("hits"))).alias("topics")))
 
 
-@query("S17_read_topic_hits", with_views("advanced_hits") + """
-  SELECT source, topic, round(h_start, 4) AS "start", 'win|lap' AS keywords, 2 AS n FROM advanced_hits WHERE kind = 'topic_cluster'""")
+@query("S17_read_topic_hits", with_views("every_topic_cluster") + """
+  SELECT source, topic, round(h_start, 4) AS "start", 'win|lap' AS keywords, 2 AS n FROM every_topic_cluster""")
 def read_topic_hits(spark, sf):
-    rows = D.read_topic_hits(_topic_docs(spark, sf)).select("source", "topic", r4("start"), flat("keywords"))
+    rows = D.read_topic_hits(_topic_docs(spark, sf, True)).select("source", "topic", r4("start"), flat("keywords"))
     return rows.groupBy("source", "topic", "start", "keywords").agg(F.count("*").alias("n"))
 
 
-def _frame_docs(spark, sf):
-    rows = _advanced(spark, sf, "ai_frame_score")
+def _frame_docs(spark, sf, every=False):
+    rows = _advanced(spark, sf, "ai_frame_score", every)
     frame = F.struct("time_seconds", "top_score", "top_label", "labels")
     return _doc(rows, F.struct(F.array(F.struct("source", F.array(frame).alias("frames"))).alias("sources")))
 
 
-@query("S18_read_ai_frame_hits", with_views("advanced_hits") + """
-  SELECT source, round(greatest(0, h_start - 0.5), 4) AS "start", round(h_start + 0.5, 4) AS "end", conf AS top_score, model_label AS labels FROM advanced_hits WHERE kind = 'ai_frame_score'""")
+@query("S18_read_ai_frame_hits", with_views("every_ai_frame_score") + """
+  SELECT source, round(greatest(0, h_start - 0.5), 4) AS "start", round(h_start + 0.5, 4) AS "end", conf AS top_score, model_label AS labels FROM every_ai_frame_score""")
 def read_ai_frame_hits(spark, sf):
-    return D.read_ai_frame_hits(_frame_docs(spark, sf)).select("source", r4("start"), r4("end"), "top_score", flat("labels"))
+    return D.read_ai_frame_hits(_frame_docs(spark, sf, True)).select("source", r4("start"), r4("end"), "top_score", flat("labels"))
 
 
 @query("S19_load_signals", with_views("object_hits", "advanced_hits") + """
@@ -289,8 +327,8 @@ def validate_artifacts(spark, sf):
 # -- detections ------------------------------------------------------------------------------------
 
 def _label_lines(spark, sf):
-    """Three lines per purchase: a good one, one without confidence, a broken one."""
-    ev = B.events(spark, sf).where(F.col("event_type") == "purchase")
+    """Four lines per event: a good one, one without confidence, two broken ones."""
+    ev = B.events(spark, sf)
     frame = F.floor(F.col("t_ms") * 30 / 1000) + 1
     cls = F.pmod("event_id", F.lit(83)).cast("string")
     conf = F.concat(F.lit("0."), F.lpad((F.pmod("event_id", F.lit(100))).cast("string"), 2, "0"))
@@ -310,7 +348,7 @@ view("detections", "ev", """
   SELECT e.source, e.event_id, CAST(floor(t_ms * 30 / 1000) AS BIGINT) + 1 AS frame, event_id % 83 AS class_id, u.k, CASE u.k WHEN 0 THEN (event_id % 100) / 100.0::DOUBLE END AS confidence,
     round_even(floor(t_ms * 30 / 1000) / 30.0::DOUBLE, 3) AS time_seconds,
     CASE WHEN event_id % 83 = 0 THEN 'person' WHEN event_id % 83 = 79 THEN 'toothbrush' WHEN event_id % 83 >= 80 THEN 'class_' || event_id % 83 ELSE 'named' END AS class_name
-  FROM ev e, (VALUES (0), (1)) u(k) WHERE event_type = 'purchase'""")
+  FROM ev e, (VALUES (0), (1)) u(k)""")
 
 
 def _edge():
@@ -340,17 +378,31 @@ def _coarse(spark, sf):
     WINDOW w AS (PARTITION BY source, class_id ORDER BY time_seconds, event_id, k))
 , numbered AS (SELECT *, sum(opens) OVER (PARTITION BY source, class_id ORDER BY time_seconds, event_id, k ROWS UNBOUNDED PRECEDING) AS seg FROM flagged)
   SELECT source, class_id, min(time_seconds) AS "start", round_even(least(720.0::DOUBLE, max(time_seconds) + 1 / 30.0::DOUBLE), 3) AS "end", count(*) AS detection_count,
-    count(DISTINCT frame) AS frame_count, round_even(avg(confidence), 4) AS average_confidence
+    count(DISTINCT frame) AS frame_count, round(sum(confidence), 2) AS confidence
   FROM numbered GROUP BY source, class_id, seg""")
 def detection_segments(spark, sf):
-    return G.detection_segments(_coarse(spark, sf), _media(spark, sf), gap=20.0).drop("class_name", "segment_rank")
+    """Sums of confidence, which every second detection has: SQL rounds a mean on its binary value."""
+    return G.detection_segments(_coarse(spark, sf), _media(spark, sf), gap=20.0).withColumn("confidence", F.round(F.col("average_confidence") * F.col("detection_count") / 2, 2)).drop("class_name", "segment_rank", "average_confidence")
+
+
+@query("W2_busiest_segments", f"""
+SELECT source, class_id, "start", "end", detection_count FROM ({ORACLE["W2_detection_segments"]})
+  QUALIFY row_number() OVER (PARTITION BY source ORDER BY detection_count DESC, "start", class_id) <= 3""")
+def busiest_segments(spark, sf):
+    return G.detection_segments(_coarse(spark, sf), _media(spark, sf), gap=20.0, keep=3).select("source", "class_id", "start", "end", "detection_count")
+
+
+@query("A13_listed_detections", with_views("detections") + """
+  SELECT source, frame, row_number() OVER (PARTITION BY source ORDER BY frame) AS n FROM detections""")
+def listed_detections(spark, sf):
+    return G.listed_detections(detections(spark, sf)).select("source", "frame", "n")
 
 
-@query("A13_source_summaries", with_views("object_hits") + """
+@query("A13_source_summaries", with_views("every_object") + """
   SELECT source, sum(CASE WHEN cnt = 0 THEN 1 ELSE cnt END) AS count, 0 AS detection_count, 0 AS segment_count, 0 AS class_count, round_even(avg(confidence), 4) AS average_confidence
-  FROM object_hits GROUP BY source""")
+  FROM every_object GROUP BY source""")
 def source_summaries(spark, sf):
-    return G.source_summaries(B.object_hits(B.events(spark, sf)))
+    return G.source_summaries(B.object_hits(B.events(spark, sf), True))
 
 
 # -- documents of review -----------------------------------------------------------------------------

@@ -80,6 +80,11 @@ view("advanced_hits", "ev", f"""
   FROM (SELECT *, kind IN ('ocr_signage', 'face_person') AS wide
         FROM (SELECT *, {pick(("ocr_signage", "face_person", "motorsports_event", "topic_cluster", "ai_frame_score"))} AS kind
               FROM ev WHERE event_type = 'error'))""")
+# Every event as a detection, and as a hit of one kind.
+view("every_object", "ev", VIEWS["object_hits"][1].replace("WHERE event_type = 'purchase'", ""))
+KINDS = ("ocr_signage", "face_person", "motorsports_event", "topic_cluster", "ai_frame_score")
+for _kind in KINDS:
+    view(f"every_{_kind}", "ev", VIEWS["advanced_hits"][1].replace(pick(KINDS), f"'{_kind}'").replace("WHERE event_type = 'error'", ""))
 view("technical", "assets", """
   SELECT source, least(20.0::DOUBLE, 5.0 + CASE WHEN width * height >= 3840 * 2160 THEN 6 WHEN width * height >= 1920 * 1080 THEN 5
            WHEN width * height >= 1280 * 720 THEN 3 ELSE 1 END
@@ -181,9 +186,11 @@ view("components", "facts", f"""
         FROM facts)""")
 TOTAL = """CAST(round_even(least(100.0::DOUBLE, technical_score + visual_activity_score + audio_interest_score + transcript_score
          + object_presence_score + ocr_signage_score + face_person_score + motorsports_event_score + topic_cluster_score + ai_frame_score), 0) AS INT)"""
-view("scored", "components", f"""
+def scored_sql(classes="", names=""):
+    """``classes`` and ``names`` cut the lists of a short report."""
+    return f"""
   SELECT *, CASE WHEN score >= 85 THEN 'select' WHEN score >= 70 THEN 'review' WHEN score >= 55 THEN 'broll' ELSE 'cut' END AS action,
-    list_sort(list_distinct(list_filter(seed_labels || advanced_labels || list_transform(classes[1:4], lambda c: 'object_' || c) || [
+    list_sort(list_distinct(list_filter(seed_labels || advanced_labels || list_transform(classes{classes}, lambda c: 'object_' || c) || [
       CASE WHEN scene_changes > 1 THEN 'scene_cluster' WHEN scene_changes = 1 THEN 'scene_change' END,
       CASE WHEN peak >= -35 THEN 'audio_spike' WHEN peak IS NOT NULL THEN 'audio_present' END,
       CASE WHEN silence_ratio > 0.6 THEN 'mostly_silent' END,
@@ -193,19 +200,26 @@ view("scored", "components", f"""
       CASE WHEN scene_changes > 0 THEN scene_changes || ' scene change' || CASE WHEN scene_changes = 1 THEN '' ELSE 's' END || ' in window' END,
       CASE WHEN peak IS NOT NULL THEN 'audio peak ' || CAST(round_even(peak, 1) AS DECIMAL(20, 1)) || ' dB RMS' END,
       CASE WHEN silence_ratio > 0.6 THEN 'mostly silent window' END,
-      CASE WHEN transcript_hits > 0 THEN 'transcript keywords: ' || array_to_string(words[1:6], ', ') END,
-      CASE WHEN object_hits > 0 THEN 'objects detected: ' || array_to_string(classes[1:6], ', ') END,
+      CASE WHEN transcript_hits > 0 THEN 'transcript keywords: ' || array_to_string(words{names}, ', ') END,
+      CASE WHEN object_hits > 0 THEN 'objects detected: ' || array_to_string(classes{names}, ', ') END,
       CASE WHEN ocr_hits > 0 THEN 'OCR/signage text detected' END,
       CASE WHEN face_total <> 0 OR person_total <> 0 THEN 'face/person presence detected (' || face_total || ' faces, ' || person_total || ' people)' END,
-      CASE WHEN len(event_types) > 0 THEN 'motorsports events: ' || array_to_string(event_types[1:6], ', ') END,
-      CASE WHEN len(topics) > 0 THEN 'transcript topics: ' || array_to_string(topics[1:6], ', ') END,
-      CASE WHEN ai_frame_scores > 0 THEN 'AI frame matches: ' || array_to_string(ai_labels[1:6], ', ') END,
+      CASE WHEN len(event_types) > 0 THEN 'motorsports events: ' || array_to_string(event_types{names}, ', ') END,
+      CASE WHEN len(topics) > 0 THEN 'transcript topics: ' || array_to_string(topics{names}, ', ') END,
+      CASE WHEN ai_frame_scores > 0 THEN 'AI frame matches: ' || array_to_string(ai_labels{names}, ', ') END,
       CASE WHEN list_contains(seed_labels, 'low_signal') THEN 'fallback candidate; no strong highlight signal found' END],
       lambda x: x IS NOT NULL) AS reasons
-  FROM (SELECT *, {TOTAL} AS score FROM components)""")
+  FROM (SELECT *, {TOTAL} AS score FROM components)"""
+
+
+view("scored", "components", scored_sql())
+view("scored_short", "components", scored_sql("[1:4]", "[1:6]"))
 view("cands", "scored", """
   SELECT *, format('clip_{:04d}', "rank") AS id
   FROM (SELECT *, row_number() OVER (ORDER BY score DESC, source, "start") AS "rank" FROM scored)""")
+view("cands_short", "scored_short", """
+  SELECT * FROM (SELECT *, format('clip_{:04d}', "rank") AS id
+  FROM (SELECT *, row_number() OVER (ORDER BY score DESC, source, "start") AS "rank" FROM scored_short)) WHERE "rank" <= 50""")
 view("annotations", "ev", f"""
   SELECT event_id AS ann_index, format('annotation_{{:04d}}', event_id) AS id, source, greatest(0, t - 2) AS "start",
          least(720.0::DOUBLE, t + 6) AS "end", {pick(("select", "review", "broll", "reject", "ignore"))} AS rating, event_type AS tag

@@ -26,9 +26,17 @@ DEFAULT_KEYWORDS = (
 )
 
 
+# The limits of a short report.
+SHORT_REPORT = {"max_candidates": 50, "label_classes": 4, "shown_names": 6}
+
+
 @dataclass(frozen=True)
 class ScoringConfig:
-    """``max_candidates=None`` ranks every window and cuts nothing."""
+    """Takes everything by default.
+
+    ``max_candidates`` keeps the best windows, ``label_classes`` the first object classes as labels of a window, ``shown_names``
+    the first names in each reason.
+    """
 
     audio_spike_percentile: float = 85.0
     audio_spike_floor_db: float = -35.0
@@ -40,7 +48,9 @@ class ScoringConfig:
     object_window_pre_roll: float = 1.0
     object_window_post_roll: float = 2.0
     merge_gap: float = 4.0
-    max_candidates: int | None = 50
+    max_candidates: int | None = None
+    label_classes: int | None = None
+    shown_names: int | None = None
     min_select_score: int = 85
     min_review_score: int = 70
     min_broll_score: int = 55

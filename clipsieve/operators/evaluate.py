@@ -151,18 +151,19 @@ def action_confusion(candidates: DataFrame, annotations: DataFrame) -> DataFrame
     return best_overlap(candidates, annotations).groupBy("action", "actual").agg(F.count("*").alias("n"))
 
 
-def signal_breakdown(candidates: DataFrame) -> DataFrame:
-    """Top six non-zero ``*_score`` signals, the other non-zero signals, and the first six reasons."""
+def signal_breakdown(candidates: DataFrame, shown: int | None = None) -> DataFrame:
+    """Non-zero ``*_score`` signals, best first, the other non-zero signals, and the reasons; of scores and reasons the first ``shown``."""
     live = F.map_filter("signals", lambda k, v: v.isNotNull() & (v != 0))
     is_score = lambda k: F.endswith(k, F.lit("_score"))
     entries = F.map_entries(F.map_filter(live, lambda k, v: is_score(k)))
     # Descending by value, then by name: sort on the negated value.
     keyed = F.array_sort(F.transform(entries, lambda e: F.struct((-e.value).alias("down"), e.key.alias("name"), e.value.alias("value"))))
-    top = F.transform(F.slice(keyed, 1, 6), lambda e: F.struct(e["name"].alias("name"), e.value.alias("value")))
+    first = lambda array: array if shown is None else F.slice(array, 1, shown)
+    top = F.transform(first(keyed), lambda e: F.struct(e["name"].alias("name"), e.value.alias("value")))
     return candidates.withColumns({
         "top_scores": top,
         "counts": F.map_filter(live, lambda k, v: ~is_score(k)),
-        "first_reasons": F.slice("reasons", 1, 6),
+        "first_reasons": first(F.col("reasons")),
     })
 
 

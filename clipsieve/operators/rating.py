@@ -315,7 +315,7 @@ def score_sources(signals: Signals, cfg: ScoringConfig) -> DataFrame:
         **advanced_score_columns(cfg),
     })
     total = sum((F.col(n) for n in SCORE_NAMES[1:]), F.col(SCORE_NAMES[0]))
-    return rows.withColumn("total_score", F.least(F.lit(100.0), total)).withColumn("reasons", file_reasons())
+    return rows.withColumn("total_score", F.least(F.lit(100.0), total)).withColumn("reasons", file_reasons(cfg.shown_names))
 
 
 SCORE_NAMES = (
@@ -331,16 +331,17 @@ def _fill(df: DataFrame, names) -> DataFrame:
     return df.fillna(0, subset=list(names))
 
 
-def _first_six(array: str) -> Column:
-    return F.array_join(F.slice(S.label_array(array), 1, 6), ", ")
+def _names(array: str, shown: int | None) -> Column:
+    names = S.label_array(array)
+    return F.array_join(names if shown is None else F.slice(names, 1, shown), ", ")
 
 
 def _some(array: str) -> Column:
     return F.size(S.label_array(array)) > 0
 
 
-def file_reasons() -> Column:
-    """Ordered reasons of a file; a quiet file says so."""
+def file_reasons(shown: int | None = None) -> Column:
+    """Ordered reasons of a file, with the first ``shown`` names; a quiet file says so."""
     c = F.col
     count = lambda name, text: F.when(c(name) > 0, F.concat(c(name).cast("string"), F.lit(text)))
     reasons = F.array_compact(F.array(
@@ -348,8 +349,8 @@ def file_reasons() -> Column:
         count("silence_count", " silence intervals detected"),
         count("audio_spikes", " audio spikes detected"),
         count("transcript_count", " transcript highlight hits"),
-        F.when(_some("object_classes"), F.concat(F.lit("object detections: "), _first_six("object_classes"))),
-        F.when(_some("main_labels"), F.concat(F.lit("advanced signal artifacts: "), _first_six("main_labels"))),
+        F.when(_some("object_classes"), F.concat(F.lit("object detections: "), _names("object_classes", shown))),
+        F.when(_some("main_labels"), F.concat(F.lit("advanced signal artifacts: "), _names("main_labels", shown))),
     ))
     return F.when(F.size(reasons) == 0, F.array(F.lit("no strong highlight signals detected"))).otherwise(reasons)
 
@@ -528,32 +529,33 @@ def total_score() -> Column:
     return S.round_score(F.least(F.lit(100.0), total))
 
 
-def window_labels(floor_db: float) -> Column:
-    """Seed labels, labels of what the window holds, and those of its advanced hits, sorted."""
+def window_labels(floor_db: float, classes: int | None = None) -> Column:
+    """Seed labels, labels of what the window holds (its first object ``classes``), and those of its advanced hits, sorted."""
     own = F.expr(f"""array(
         CASE WHEN scene_changes > 1 THEN 'scene_cluster' WHEN scene_changes = 1 THEN 'scene_change' END,
         CASE WHEN peak >= {float(floor_db)}D THEN 'audio_spike' WHEN peak IS NOT NULL THEN 'audio_present' END,
         IF(silence_ratio > 0.6D, 'mostly_silent', NULL),
         IF(transcript_hits > 0, 'transcript_hit', NULL),
         IF(object_hits > 0, 'object_presence', NULL))""")
-    objects = F.transform(F.slice("object_classes", 1, 4), lambda x: F.concat(F.lit("object_"), S.slug(x)))
+    objects = F.transform("object_classes" if classes is None else F.slice("object_classes", 1, classes), lambda x: F.concat(F.lit("object_"), S.slug(x)))
     return S.sorted_union("labels", own, objects, "advanced_labels")
 
 
-def window_reasons() -> Column:
-    """Human-readable reasons in fixed order; name lists show their first six."""
-    return F.expr("""array_compact(array(
+def window_reasons(shown: int | None = None) -> Column:
+    """Human-readable reasons in fixed order; name lists show their first ``shown``."""
+    names = lambda c: f"array_join({c if shown is None else f'slice({c}, 1, {shown})'}, ', ')"
+    return F.expr(f"""array_compact(array(
         IF(scene_changes > 0, concat(scene_changes, ' scene change', IF(scene_changes = 1, '', 's'), ' in window'), NULL),
         IF(peak IS NOT NULL, concat('audio peak ', CAST(bround(peak, 1) AS DECIMAL(20, 1)), ' dB RMS'), NULL),
         IF(silence_ratio > 0.6D, 'mostly silent window', NULL),
-        IF(transcript_hits > 0, concat('transcript keywords: ', array_join(slice(words, 1, 6), ', ')), NULL),
-        IF(object_hits > 0, concat('objects detected: ', array_join(slice(object_classes, 1, 6), ', ')), NULL),
+        IF(transcript_hits > 0, concat('transcript keywords: ', {names('words')}), NULL),
+        IF(object_hits > 0, concat('objects detected: ', {names('object_classes')}), NULL),
         IF(ocr_hits > 0, 'OCR/signage text detected', NULL),
         IF(face_total <> 0 OR person_total <> 0,
            concat('face/person presence detected (', face_total, ' faces, ', person_total, ' people)'), NULL),
-        IF(size(event_types) > 0, concat('motorsports events: ', array_join(slice(event_types, 1, 6), ', ')), NULL),
-        IF(size(topics) > 0, concat('transcript topics: ', array_join(slice(topics, 1, 6), ', ')), NULL),
-        IF(ai_frame_scores > 0, concat('AI frame matches: ', array_join(slice(ai_labels, 1, 6), ', ')), NULL),
+        IF(size(event_types) > 0, concat('motorsports events: ', {names('event_types')}), NULL),
+        IF(size(topics) > 0, concat('transcript topics: ', {names('topics')}), NULL),
+        IF(ai_frame_scores > 0, concat('AI frame matches: ', {names('ai_labels')}), NULL),
         IF(array_contains(labels, 'low_signal'), 'fallback candidate; no strong highlight signal found', NULL)))""")
 
 
@@ -589,9 +591,9 @@ def describe(scored: DataFrame, cfg: ScoringConfig) -> DataFrame:
     """Action, reasons, signals map and labels of scored windows."""
     return scored.withColumns({
         "action": action_for_score("score", cfg),
-        "reasons": window_reasons(),
+        "reasons": window_reasons(cfg.shown_names),
         "signals": signals_map(),
-        "labels": window_labels(cfg.audio_spike_floor_db),
+        "labels": window_labels(cfg.audio_spike_floor_db, cfg.label_classes),
     })
 
 

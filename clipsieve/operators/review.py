@@ -9,6 +9,10 @@ from clipsieve.operators import intervals as I
 from clipsieve.operators.ranking import global_rank
 
 
+#: Hits of a clip that its review row lists; all of them are counted.
+LISTED_HITS = 20
+
+
 def filter_by_label(candidates: DataFrame, label: str = "audio_spike") -> DataFrame:
     return candidates.where(F.array_contains("labels", label))
 
@@ -189,6 +193,49 @@ def _window_hits(clips: DataFrame, hits: DataFrame, order: str, keep: int, name:
     )
 
 
+def _class_of(name: Column) -> Column:
+    return F.coalesce(name, F.lit("object"))
+
+
+def _detections_of(count: Column) -> Column:
+    return F.greatest(F.lit(1), F.coalesce(count, F.lit(1))).cast("long")
+
+
+def _totals(found: DataFrame, name: str) -> DataFrame:
+    """``rank, name, n, hits`` rows summed to one array of (name, n) for each clip, with the number of its hits."""
+    sums = found.groupBy("rank", "name").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits"))
+    return sums.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("name", "n"))).alias(f"{name}_totals"), F.sum("hits").alias(f"{name}_hit_count"))
+
+
+def object_totals(clips: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per clip the detections of each object class, over all its hits, as sorted (name, n)."""
+    slim = hits.select("source", "h_start", "h_end", _class_of(F.col("class_name")).alias("name"), _detections_of(F.col("count")).alias("n"))
+    slim = slim.groupBy("source", "h_start", "h_end", "name").agg(F.sum("n").alias("n"), F.count("*").alias("hits"))
+    return _totals(I.overlapping_hits(clips.select("rank", "source", "start", "end"), slim, ["source"]), "object")
+
+
+def advanced_totals(clips: DataFrame, hits: DataFrame) -> DataFrame:
+    """Per clip the number of advanced hits of each kind, over all of them, and the labels that a model gave.
+
+    Source-wide hits are counted once per source, and only the counts meet the clips.
+    """
+    wide = F.coalesce("source_wide", F.lit(False))
+    labels = F.when(F.col("kind") == "ai_frame_score", F.filter(S.label_array("labels"), lambda x: F.length(x) > 0))
+    marks = F.explode(F.concat(
+        F.array(F.struct(F.coalesce("kind", F.lit("advanced")).alias("name"), F.lit(False).alias("label"))),
+        F.coalesce(F.transform(labels, lambda x: F.struct(x.alias("name"), F.lit(True).alias("label"))), F.array()),
+    ))
+    rows = hits.select("source", "h_start", "h_end", wide.alias("wide"), marks.alias("m")).select("source", "h_start", "h_end", "wide", "m.*")
+    c = clips.select("rank", "source", "start", "end")
+    place = ["source", "h_start", "h_end", "name", "label"]
+    near = I.overlapping_hits(c, rows.where("not wide").groupBy(*place).agg(F.count("*").alias("n")), ["source"])
+    always = c.join(rows.where("wide").groupBy("source", "name", "label").agg(F.count("*").alias("n")), "source")
+    found = near.select("rank", "name", "label", "n").unionByName(always.select("rank", "name", "label", "n"))
+    kinds = _totals(found.where("not label").withColumn("hits", F.col("n")), "advanced")
+    named = found.where("label").groupBy("rank").agg(F.array_sort(F.collect_set("name")).alias("model_labels"))
+    return kinds.join(named, "rank", "left")
+
+
 def calibration_status(matches: DataFrame, false_positives: DataFrame) -> DataFrame:
     """Candidate id to status; a false positive overrides a match."""
     none = lambda t: F.lit(None).cast(t)
@@ -214,9 +261,13 @@ def review_rows(
     advanced_hits: DataFrame | None = None,
     calibration: DataFrame | None = None,
     judgments: DataFrame | None = None,
-    max_items: int | None = 100,
+    max_items: int | None = None,
+    listed: int = LISTED_HITS,
 ) -> DataFrame:
-    """Candidates with file metadata and scores, their first twenty hits, calibration and judgments."""
+    """Candidates with file metadata and scores, their hits, calibration and judgments.
+
+    All hits of a clip are counted (``hit_totals``); its first ``listed`` ones are there to be shown.
+    """
     rows = candidates if max_items is None else candidates.where(F.col("rank") <= max(0, max_items))
     rows = rows.withColumns({
         "source_name": S.basename("source"), "start_tc": S.hhmmss("start"), "end_tc": S.hhmmss("end"),
@@ -224,10 +275,12 @@ def review_rows(
     })
     out = rows.join(file_scores, "source", "left")
     if object_hits is not None:
-        out = out.join(_window_hits(rows, object_hits, "hit_order", 20, "object_hit_rows"), "rank", "left")
+        out = out.join(_window_hits(rows, object_hits, "hit_order", listed, "object_hit_rows"), "rank", "left")
+        out = out.join(object_totals(rows, object_hits), "rank", "left")
     if advanced_hits is not None:
         wide = F.coalesce("source_wide", F.lit(False))
-        out = out.join(_window_hits(rows, advanced_hits, "hit_order", 20, "advanced_hit_rows", wide), "rank", "left")
+        out = out.join(_window_hits(rows, advanced_hits, "hit_order", listed, "advanced_hit_rows", wide), "rank", "left")
+        out = out.join(advanced_totals(rows, advanced_hits), "rank", "left")
     if calibration is not None:
         out = out.join(calibration, "id", "left")
         out = out.withColumn("calibration_status", F.coalesce("calibration.status", F.lit("unreviewed")))
@@ -241,30 +294,38 @@ def review_rows(
 
 # -- display summaries ---------------------------------------------------------------------
 
-def _counted(pairs: Column) -> Column:
-    """``name xN`` for the first six entries of a sorted (name, n) array."""
-    return F.array_join(F.transform(F.slice(pairs, 1, 6), lambda p: F.concat(p["name"], F.lit(" x"), p["n"].cast("string"))), ", ")
+def _first(array: Column, shown: int | None) -> Column:
+    return array if shown is None else F.slice(array, 1, shown)
+
+
+def _counted(pairs: Column, shown: int | None) -> Column:
+    """``name xN`` for the first entries of a sorted (name, n) array."""
+    return F.array_join(F.transform(_first(pairs, shown), lambda p: F.concat(p["name"], F.lit(" x"), p["n"].cast("string"))), ", ")
 
 
 def _tally(array: Column, name, amount) -> Column:
-    """Sorted (name, n) pairs of an array of hits; at most twenty hits per clip reach it."""
+    """Sorted (name, n) pairs of a clip's listed hits."""
     names = F.array_sort(F.array_distinct(F.transform(array, name)))
     count = lambda n: F.aggregate(F.filter(array, lambda h: name(h) == n), F.lit(0).cast("long"), lambda a, h: a + amount(h))
     return F.transform(names, lambda n: F.struct(n.alias("name"), count(n).alias("n")))
 
 
-def hit_summaries(rows: DataFrame) -> DataFrame:
-    """Object, advanced and signal summary texts per review row."""
+def hit_summaries(rows: DataFrame, of_listed: bool = False, shown: int | None = None) -> DataFrame:
+    """Object, advanced and signal summary texts per review row: over all its hits, or over the listed ones.
+
+    Of object names and labels the first ``shown`` appear.
+    """
     objects, advanced = F.col("object_hit_rows"), F.col("advanced_hit_rows")
-    object_pairs = _tally(objects, lambda h: F.coalesce(h["class_name"], F.lit("object")),
-                          lambda h: F.greatest(F.lit(1), F.coalesce(h["count"], F.lit(1))).cast("long"))
+    object_pairs = _tally(objects, lambda h: _class_of(h["class_name"]), lambda h: _detections_of(h["count"]))
     kind_pairs = _tally(advanced, lambda h: F.coalesce(h["kind"], F.lit("advanced")), lambda h: F.lit(1).cast("long"))
     model = F.filter(advanced, lambda h: h["kind"] == "ai_frame_score")
     labels = F.array_sort(F.array_distinct(F.filter(F.flatten(F.transform(model, lambda h: S.label_array(h["labels"]))), lambda x: F.length(x) > 0)))
-    suffix = F.when(F.size(labels) > 0, F.concat(F.lit("; AI labels: "), F.array_join(F.slice(labels, 1, 6), ", "))).otherwise("")
+    if not of_listed:
+        object_pairs, kind_pairs, labels = F.col("object_totals"), F.col("advanced_totals"), F.coalesce("model_labels", S.empty_strings())
+    suffix = F.when(F.size(labels) > 0, F.concat(F.lit("; AI labels: "), F.array_join(_first(labels, shown), ", "))).otherwise("")
     return rows.withColumns({
-        "object_summary": F.when(F.size(objects) > 0, F.concat(F.lit("Objects: "), _counted(object_pairs))).otherwise(""),
-        "advanced_summary": F.when(F.size(advanced) > 0, F.concat(F.lit("Advanced: "), _counted(kind_pairs), suffix)).otherwise(""),
+        "object_summary": F.when(F.size(object_pairs) > 0, F.concat(F.lit("Objects: "), _counted(object_pairs, shown))).otherwise(""),
+        "advanced_summary": F.when(F.size(kind_pairs) > 0, F.concat(F.lit("Advanced: "), _counted(kind_pairs, shown), suffix)).otherwise(""),
         "source_line": F.concat_ws(" | ", "resolution", F.when(F.col("fps") != 0, F.concat(F.col("fps").cast("string"), F.lit(" fps"))), "codec", "duration_formatted"),
         "calibration_line": calibration_line(),
     })
@@ -290,13 +351,13 @@ def calibration_line() -> Column:
     )
 
 
-def explanation_summary(column: str = "ai_explanations") -> Column:
-    """The first three judgments that give a reason, each with score, action and labels."""
+def explanation_summary(column: str = "ai_explanations", shown: int | None = None, labels: int | None = None) -> Column:
+    """The first ``shown`` judgments that give a reason, each with score, action and its first ``labels``."""
     def line(e: Column) -> Column:
         extras = F.concat_ws("; ", F.when(e["score"].isNotNull(), F.concat(F.lit("score "), e["score"].cast("string"))),
                              F.when(F.length(e["suggested_action"]) > 0, F.concat(F.lit("suggested "), e["suggested_action"])),
-                             F.nullif(F.array_join(F.slice(S.label_array(e["labels"]), 1, 4), ", "), F.lit("")))
+                             F.nullif(F.array_join(_first(S.label_array(e["labels"]), labels), ", "), F.lit("")))
         return F.concat(F.trim(e["reason"]), F.when(F.length(extras) > 0, F.concat(F.lit(" ("), extras, F.lit(")"))).otherwise(""))
 
     said = F.filter(column, lambda e: F.length(F.trim(e["reason"])) > 0)
-    return F.coalesce(F.array_join(F.slice(F.transform(said, line), 1, 3), " | "), F.lit(""))
+    return F.coalesce(F.array_join(_first(F.transform(said, line), shown), " | "), F.lit(""))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clipsieve.functions import scalars as S, vocab as V
 from clipsieve.operators import intervals as I
+from clipsieve.operators.ranking import rank_per_group, top_per_group
 
 
 def class_summary(detections: DataFrame, keys: list[str] = ("source",)) -> DataFrame:
@@ -18,17 +19,19 @@ def class_summary(detections: DataFrame, keys: list[str] = ("source",)) -> DataF
 
 
 def detection_segments(
-    detections: DataFrame, media: DataFrame, gap: float = 1.0, keep: int = 500, width: float = I.CHUNK_SECONDS
+    detections: DataFrame, media: DataFrame, gap: float = 1.0, keep: int | None = None, width: float = I.CHUNK_SECONDS
 ) -> DataFrame:
     """Runs of one class: a new segment starts when the time since the previous detection exceeds ``gap``.
 
-    ``media`` gives ``source, fps, duration``.  The busiest ``keep`` segments of a source stay.
+    Confidences are summed as decimals of six places, so their mean doesn't depend on the order of rows.
+
+    ``media`` gives ``source, fps, duration``.  Segments of a source are ranked, the busiest first; with ``keep``, so many stay.
     """
     timed = detections.where(F.col("time_seconds").isNotNull())
     keys = ["source", "class_id"]
     # Detections of one instant count together before anything is ordered.
     instants = timed.groupBy(*keys, "time_seconds").agg(
-        F.min("class_name").alias("class_name"), F.count("*").alias("n"), F.sum("confidence").alias("conf"), F.count("confidence").alias("conf_n"),
+        F.min("class_name").alias("class_name"), F.count("*").alias("n"), F.sum(F.col("confidence").cast("decimal(20,6)")).alias("conf"), F.count("confidence").alias("conf_n"),
         F.array_distinct(F.collect_set("frame")).alias("frames"),
     )
     islands = I.with_islands(instants, keys, F.lit(float(gap)), "time_seconds", "time_seconds", width)
@@ -44,16 +47,16 @@ def detection_segments(
     end = F.greatest(F.col("island"), F.when(F.col("duration") != 0, F.least("duration", raw_end)).otherwise(raw_end))
     rows = rows.select(
         "source", "class_id", "class_name", F.bround("island", 3).alias("start"), F.bround(end, 3).alias("end"), "detection_count", "frame_count",
-        F.when(F.col("conf_n") > 0, F.bround(F.try_divide("conf", "conf_n"), 4)).alias("average_confidence"),
+        F.when(F.col("conf_n") > 0, F.bround(F.try_divide(F.col("conf").cast("double"), "conf_n"), 4)).alias("average_confidence"),
     )
-    order = Window.partitionBy("source").orderBy(F.desc("detection_count"), F.asc("start"), F.asc("class_id"))
-    return rows.withColumn("segment_rank", F.row_number().over(order)).where(F.col("segment_rank") <= keep)
+    order = [F.desc("detection_count"), F.asc("start"), F.asc("class_id")]
+    return rank_per_group(rows, ["source"], order, "segment_rank") if keep is None else top_per_group(rows, ["source"], order, keep, "segment_rank")
 
 
-def first_detections(detections: DataFrame, keep: int = 5000) -> DataFrame:
-    """The detections listed per source, in frame order; summaries use all of them."""
-    order = Window.partitionBy("source").orderBy(F.coalesce("frame", F.lit(0)), "label_file", "line")
-    return detections.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= keep).drop("_n")
+def listed_detections(detections: DataFrame, keep: int | None = None) -> DataFrame:
+    """The detections of each source in frame order, with their place ``n``; with ``keep``, the first so many."""
+    order = [F.coalesce("frame", F.lit(0)), F.asc("label_file"), F.asc("line")]
+    return rank_per_group(detections, ["source"], order, "n") if keep is None else top_per_group(detections, ["source"], order, keep, "n")
 
 
 def source_summaries(records: DataFrame) -> DataFrame:

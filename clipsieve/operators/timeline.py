@@ -1,15 +1,15 @@
 """Sequencing of approved clips and the edit timeline.
 
-A selection is one document, so its clips fit one record; selections are independent and
-spread over the cluster by name.
+Selections are independent; the places of a selection's clips come from a sort over several tasks.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from clipsieve.functions import scalars as S, vocab as V
 from clipsieve.operators import intervals as I
+from clipsieve.operators.ranking import rank_per_group
 
 
 def planned_clips(clips: DataFrame, handles: float = 0.0) -> DataFrame:
@@ -43,8 +43,9 @@ def sequence_clips(clips: DataFrame, mode: str) -> DataFrame:
     }[mode]
     rows = clips
     if mode == "diversified":
-        rows = rows.withColumn("_round", F.row_number().over(Window.partitionBy("selection", "source").orderBy(*by_score)))
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("selection").orderBy(*order))).drop("_round")
+        rows = rank_per_group(rows, ["selection", "source"], by_score, "_round")
+    placed = rank_per_group(rows, ["selection"], order, "pos").drop("_round")
+    return placed.withColumn("pos", F.col("pos").cast("int"))
 
 
 def fit_target_duration(clips: DataFrame, target: float | None) -> DataFrame:

@@ -77,8 +77,9 @@ def silences(ev: DataFrame) -> DataFrame:
     )
 
 
-def object_hits(ev: DataFrame) -> DataFrame:
-    return _of(ev, "purchase").select(
+def object_hits(ev: DataFrame, every: bool = False) -> DataFrame:
+    """Detections: the purchases, or all events."""
+    return (ev if every else _of(ev, "purchase")).select(
         "event_id", "source", F.col("t").alias("start"), (F.col("t") + F.col("value") / 50.0).alias("end"),
         pick(CLASSES).alias("class_name"), F.pmod("event_id", F.lit(5)).cast("int").alias("class_id"),
         (F.pmod("event_id", F.lit(20)) + 1).cast("int").alias("count"),
@@ -94,14 +95,15 @@ def transcript_hits(ev: DataFrame) -> DataFrame:
     )
 
 
-def advanced_hits(ev: DataFrame) -> DataFrame:
-    kind = pick(KINDS)
+def advanced_hits(ev: DataFrame, every: str | None = None) -> DataFrame:
+    """Hits of all kinds from the errors, or every event as a hit of one kind."""
+    kind = pick(KINDS) if every is None else F.lit(every)
     wide = kind.isin("ocr_signage", "face_person")
     when = lambda k, value: F.when(kind == k, value)
     none = lambda t: F.lit(None).cast(t)
     label = pick(MODEL_LABELS, 5)
     score = F.pmod("event_id", F.lit(97)) / 100.0
-    return _of(ev, "error").select(
+    return (_of(ev, "error") if every is None else ev).select(
         "event_id", "source", kind.alias("kind"), F.when(wide, 0.0).otherwise(F.col("t")).alias("start"),
         F.when(wide, 0.0).otherwise(F.col("t") + 1.0).alias("end"), wide.alias("source_wide"),
         when("ocr_signage", F.lit("sign")).alias("text"),

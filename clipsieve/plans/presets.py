@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from clipsieve.config import ScoringConfig
 from clipsieve.functions import scalars as S
 from clipsieve.operators import ai, content, rating as R, review, signals as G, timeline as T
+from clipsieve.operators.ranking import global_rank
 from clipsieve.plans.flows import rate
 
 
@@ -59,10 +60,9 @@ PRESETS = {
 
 def selection_clips(approved: DataFrame, selection: str = "approved") -> DataFrame:
     """Approved clips, or candidates, as the clips of one selection, in review order."""
-    nth = F.row_number().over(R.Window.partitionBy("selection").orderBy("sort_order", "rank"))
     none = F.lit(None).cast("double")
-    return approved.withColumn("selection", F.lit(selection)).select(
-        "selection", "source", nth.cast("int").alias("clip_index"), "label", "start", "end", none.alias("start_seconds"), none.alias("end_seconds"),
+    return global_rank(approved, [F.asc("sort_order"), F.asc("rank")], "_nth").withColumn("selection", F.lit(selection)).select(
+        "selection", "source", F.col("_nth").cast("int").alias("clip_index"), "label", "start", "end", none.alias("start_seconds"), none.alias("end_seconds"),
         "score", "review_order", "labels", "reasons",
     )
 

@@ -36,11 +36,13 @@ def inventory_table(assets: DataFrame) -> DataFrame:
     )
 
 
-def write_inventory(assets: DataFrame, base: str) -> None:
+def write_inventory(assets: DataFrame, base: str, summary: int | None = None) -> None:
+    """The inventory as JSON, CSV and a sorted summary, of which ``summary`` keeps the first rows."""
     write_json(assets, f"{base}/json")
     table = inventory_table(assets)
     write_csv(table, f"{base}/csv")
-    write_csv(table.orderBy("filepath").limit(200), f"{base}/summary")
+    rows = table.orderBy("filepath")
+    write_csv(rows if summary is None else rows.limit(summary), f"{base}/summary")
 
 
 # -- candidates ----------------------------------------------------------------------------
@@ -74,8 +76,9 @@ def write_selection_sets(candidates: DataFrame, path: str) -> None:
     rows.repartition("source").sortWithinPartitions("source", "start").write.mode("overwrite").partitionBy("source").json(path)
 
 
-def top_candidate_table(candidates: DataFrame, n: int = 50) -> DataFrame:
-    return candidates.where(F.col("rank") <= n).select(
+def top_candidate_table(candidates: DataFrame, n: int | None = None) -> DataFrame:
+    """Ranked candidates as report rows; with ``n``, the first so many."""
+    return (candidates if n is None else candidates.where(F.col("rank") <= n)).select(
         "rank", "id", "score", "action", S.basename("source").alias("file"),
         F.concat(S.hhmmss("start"), F.lit(" - "), S.hhmmss("end")).alias("time"), F.array_join("reasons", "; ").alias("why"),
     )

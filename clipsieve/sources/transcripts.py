@@ -6,8 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from clipsieve.functions import scalars as S, vocab as V
 from clipsieve.operators import intervals as I
+from clipsieve.operators.keywords import find_keywords
 from clipsieve.sources.logs import LINES_PER_CHUNK, split_lines
 
+MOST_LITERALS = 100
+
 # Fixed value: a clock time of a cue.
 _CLOCK = r"(\d{2}:\d{2}:\d{2}[,.]\d{3})"
 
@@ -82,14 +85,22 @@ def parse_cue_lines(lines: DataFrame, width: float = LINES_PER_CHUNK) -> DataFra
 
 
 def transcript_hits(cues: DataFrame, keywords) -> DataFrame:
-    """Cues that contain a keyword anywhere, with the keywords in configured order."""
-    return cues.withColumn("keywords", S.substring_keywords("text", keywords)).where(F.size("keywords") > 0)
+    """Cues that contain a keyword anywhere, with the keywords in configured order: a list, or a table of ``place, keyword``."""
+    return _with_keywords(cues, keywords).where(F.size("keywords") > 0)
+
+
+def _with_keywords(rows: DataFrame, keywords) -> DataFrame:
+    """A short list is part of the plan, a longer one and a table are not."""
+    if isinstance(keywords, DataFrame) or len(keywords) > MOST_LITERALS:
+        return find_keywords(rows, "text", keywords)
+    return rows.withColumn("keywords", S.substring_keywords("text", keywords))
 
 
-def text_transcript_hits(docs: DataFrame, keywords, durations: DataFrame | None = None) -> DataFrame:
-    """Plain text: the whole text is searched; one hit at the opening seconds, showing its first 500 characters."""
+def text_transcript_hits(docs: DataFrame, keywords, durations: DataFrame | None = None, shown: int | None = None) -> DataFrame:
+    """Plain text: the whole text is searched; one hit at the opening seconds, with the text or its first ``shown`` characters."""
+    text = F.col("text") if shown is None else F.substring("text", 1, shown)
     rows = docs if durations is None else docs.join(durations, "source")
-    return rows.withColumn("keywords", S.substring_keywords("text", keywords)).where(F.size("keywords") > 0).select(
-        "source", F.lit(0.0).alias("start"), F.least("duration", F.lit(20.0)).alias("end"), F.substring("text", 1, 500).alias("text"), "keywords"
+    return _with_keywords(rows, keywords).where(F.size("keywords") > 0).select(
+        "source", F.lit(0.0).alias("start"), F.least("duration", F.lit(20.0)).alias("end"), text.alias("text"), "keywords"
     )
 

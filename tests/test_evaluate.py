@@ -201,11 +201,11 @@ def test_single_class_training_fails(spark):
 
 
 def test_sweep_grid_and_rank(spark):
-    grid = W.config_grid(spark, ScoringConfig())
+    grid = W.config_grid(spark, ScoringConfig(max_candidates=50))
     assert grid.count() == 648 and W.config_grid(spark, ScoringConfig(max_candidates=60)).count() == 864
     asset = spark.createDataFrame([("a", "a", 1.0, 60.0, 1920, 1080, "h264", 30.0, True, "ok", None)], schemas.ASSETS)
     signals = Signals(asset, scenes=spark.createDataFrame([("a", 10.0)], schemas.SCENES), levels=spark.createDataFrame([("a", 9.0, -42.0), ("a", 10.0, -12.0)], schemas.LEVELS))
-    rows = W.sweep_scoring(signals, annotations(spark, [("a", 9.0, 14.0, "select", [])]), ScoringConfig()).orderBy("rank").collect()
+    rows = W.sweep_scoring(signals, annotations(spark, [("a", 9.0, 14.0, "select", [])]), ScoringConfig(max_candidates=50)).orderBy("rank").collect()
     assert len(rows) == 648 and rows[0].f1 == 1.0 and rows[0].true_positives == 1
 
 
@@ -235,7 +235,7 @@ def test_equal_frames_stay_apart_in_any_block_size(spark, monkeypatch):
 
 def test_grid_without_a_limit():
     assert list(W.grid_axes(ScoringConfig(max_candidates=None))["limit"]) == ["all", "50", "75", "100"]
-    assert list(W.grid_axes(ScoringConfig())["limit"]) == ["50", "75", "100"]
+    assert list(W.grid_axes(ScoringConfig(max_candidates=50))["limit"]) == ["50", "75", "100"]
 
 
 def test_rank_per_group_equals_a_window(spark):

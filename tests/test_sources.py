@@ -104,7 +104,7 @@ def test_cues_and_hits(spark):
     assert len(hits) == 1 and hits[0].keywords == ["pass"]
     doc = spark.createDataFrame([("a", "x" * 600 + " win", 60.0)], "source string, text string, duration double")
     hit = X.text_transcript_hits(doc, ["win"]).first()
-    assert hit.end == 20.0 and len(hit.text) == 500
+    assert hit.end == 20.0 and hit.text == "x" * 600 + " win" and len(X.text_transcript_hits(doc, ["win"], shown=500).first().text) == 500
 
 
 def test_probe(spark):
@@ -199,12 +199,44 @@ def test_incremental(spark, tmp_path):
     key = N.analysis_key(__import__("clipsieve.config", fromlist=["x"]).ScoringConfig())
     todo = N.incremental_sources(files, N.read_state(spark, state), key)
     assert todo.count() == 2
-    N.record_processed(todo.where("path = 'a'"), state)
+    N.record_processed(todo.where("path = 'a'"), state, 1)
     assert [r.path for r in N.incremental_sources(files, N.read_state(spark, state), key).collect()] == ["b"]
     changed = files.withColumn("length", F.col("length") + 1)
     assert N.incremental_sources(changed, N.read_state(spark, state), key).count() == 2
 
 
+def test_state_survives_repeated_and_killed_batches(spark, tmp_path):
+    """A batch run twice, one killed halfway and compaction leave the state of a plain run."""
+    def files(*rows):
+        return spark.createDataFrame(rows, "path string, signature string")
+
+    def seen(path):
+        return sorted(tuple(r) for r in N.read_state(spark, path).collect())
+
+    plain, rough = str(tmp_path / "plain"), str(tmp_path / "rough")
+    batches = [files(("a", "1"), ("b", "1")), files(("a", "2"), ("c", "1")), files(("d", "1"), ("b", "2"))]
+    assert seen(plain) == [] and N.last_batch(spark, plain) == 0
+    for n, rows in enumerate(batches, 1):
+        N.record_processed(rows, plain, n)
+    want = [("a", "2"), ("b", "2"), ("c", "1"), ("d", "1")]
+    assert seen(plain) == want
+    for n, rows in enumerate(batches, 1):
+        # What a killed run of the batch left: some of its rows, and none of its commit.
+        files(("a", "killed"), ("z", "killed")).withColumn("batch", F.lit(n).cast("long")).write.parquet(f"{rough}/rows/batch-{n}")
+        before = seen(rough)
+        assert "killed" not in str(before)
+        N.record_processed(rows, rough, n)
+        N.record_processed(rows, rough, n)
+        if n == 2:
+            N.compact(spark, rough)
+            N.compact(spark, rough)
+            N.record_processed(batches[0], rough, 1)
+            assert seen(rough) == [("a", "2"), ("b", "1"), ("c", "1")]
+    assert seen(rough) == want and N.last_batch(spark, rough) == 3
+    N.compact(spark, rough)
+    assert seen(rough) == want and spark.read.parquet(f"{rough}/rows/base-3").count() == 4
+
+
 def test_media_scan(spark, tmp_path):
     (tmp_path / "d").mkdir()
     for name in ("a.MP4", "d/b.mov", "c.txt"):
