@@ -1,8 +1,8 @@
 """Exact duplicates against a persistent digest index.
 
 The index is a Parquet table, bucketed and sorted by digest, in storage that all executors share.  A batch is
-reduced to one row for each digest, matched against the index by a sort-merge anti-join (the index side is
-neither shuffled nor sorted), and what is new is appended with the doc_id that stays.
+reduced to one row for each digest, matched against the index by a sort-merge anti-join (the index side isn't
+shuffled; its buckets, of several files each after several batches, are sorted for the merge), and what is new is appended with the doc_id that stays.
 
 Texts are equal when identical after lower-casing A-Z.  Of equal texts in a batch the row with the largest
 doc_id stays; a text the index already holds stays with the document named there.

@@ -7,9 +7,8 @@ a variable field, however often its value comes back.  So half of these words or
 template, whose constant words have equal counts, get equal fields.  What remains is the line's template; one that
 ``MIN_DOCUMENTS`` documents share is dropped wherever it occurs, if it holds a letter and half of its tokens,
 ``MIN_WORDS`` at most, are constant: tokens with digits may be any share of the others.  With too few constant tokens the
-line with its digits masked is the template.  A caller can ask for more: ``min_tokens`` and ``min_constant``, a share of all
-tokens, which default to ``MIN_TOKENS`` and ``MIN_CONSTANT``; ``EVERY_LINE`` asks for nothing more.  Leaves seen in
-one document are settled by a count, and equal lines meet once, so a line that a third of all documents repeat costs one row.
+line with its digits masked is the template.  A caller can ask for more: ``min_tokens``, and ``min_constant``, a share of all
+tokens.  Leaves seen in one document are settled by a count, and equal lines meet once, so a line that a third of all documents repeat costs one row.
 
 Tokens are runs without white space.  Defined results: a null text has no line, an empty one has one empty line that is
 never dropped; a line repeated within one document doesn't recur across documents; rows that repeat doc_id and text
@@ -27,11 +26,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from clipsieve.llm.common import batches, written
 
 DEPTH = 3
-MIN_TOKENS = 6
+MIN_TOKENS = 1
 MIN_DOCUMENTS = 3
-MIN_CONSTANT = 0.75
+MIN_CONSTANT = 0.0
 MIN_WORDS = 3
-EVERY_LINE = {"min_tokens": 1, "min_constant": 0}
 FIELD = "<*>"
 #: White space that isn't one space, and a token with a digit once that is gone.
 _SPACES = r"[ \t\x0b\f\r]{2,}|[\t\x0b\f\r]"

@@ -203,13 +203,13 @@ def test_line_templates(spark):
         note = "please read all the terms before you go on"
         text = "\n".join([sentence(rng, 12), log, note if k < 4 else sentence(rng, 9), "the end", "the end"])
         data.append((1000 + k, text.replace("x", "y") if k % 2 else text, "en", "a", 1))
-    drop = templates_brute(data)
+    drop, older = templates_brute(data), {"min_tokens": 6, "min_constant": 0.75}
     assert any(drop.values())
     for docs in (documents(spark, data), clashing(documents(spark, data))):
-        found = line_templates.report(docs).collect()
+        found = line_templates.report(docs, **older).collect()
         want = sorted(((r[0], 0 if r[1] is None else len(r[1].split("\n")), len(drop[r[0], r[1]]), sorted(drop[r[0], r[1]])) for r in data), key=repr)
         assert sorted((tuple(r) for r in found), key=repr) == want
-    cleaned = {(r["doc_id"], r["text"]) for r in line_templates.clean(documents(spark, data)).collect()}
+    cleaned = {(r["doc_id"], r["text"]) for r in line_templates.clean(documents(spark, data), **older).collect()}
     assert cleaned == {(r[0], None if r[1] is None else "\n".join(x for n, x in enumerate(r[1].split("\n")) if n not in drop[r[0], r[1]])) for r in data}
     assert line_templates.report(documents(spark, [])).count() == 0
 
@@ -225,7 +225,7 @@ def test_fields_whose_values_come_back(spark):
     pairs = [(k, (7 * k + j) % 25) for k in range(25) for j in (0, 1)]
     texts = [f"sign in of user {names[a]} from the city {cities[b]} again" for a, b in pairs]
     alone = "sign in of nobody else is wanted in town today"
-    found = dropped_lines(spark, [*texts, texts[-1], alone])
+    found = dropped_lines(spark, [*texts, texts[-1], alone], min_constant=0.75)
     assert found == {k: [0] for k in range(len(texts) + 1)} | {len(texts) + 1: []}
 
 
@@ -239,7 +239,7 @@ def test_log_lines_and_short_lines(spark):
     address = [f"10.0.0.{k}:80 GET /item/{k} 200 {k}3 bytes by agent{k}" for k in range(4)]
     short = ["All rights reserved.", "Released under the MIT License", "Licensed under CC BY-NC 4.0.", "Page 7", "Contents"]
     texts = ["\n".join([log[k], address[k], *short, f"{k} 1{k} 2{k}", "---", "", f"only {'abcd'[k]}"]) for k in range(4)]
-    assert dropped_lines(spark, texts, **line_templates.EVERY_LINE) == {k: list(range(7)) for k in range(4)}
+    assert dropped_lines(spark, texts) == {k: list(range(7)) for k in range(4)}
 
 
 def test_query_takes_every_line(spark, tmp_path):
