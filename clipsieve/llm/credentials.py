@@ -2,8 +2,8 @@
 
 Certain kinds stand alone: assigned secrets, access identifiers and long hexadecimal runs.  Weak candidates (a short
 assigned secret, a mixed run of 32 characters or more, a user or client name, an endpoint) mean nothing alone: they are
-reported only when a complementary part is within ``SCOPE`` characters of them in the same text: with ``gaps``, from the end of
-the one to the start of the other, however long they are; else from start to start.  Parts of a role become one row for each
+reported only when a complementary part is within ``SCOPE`` characters of them in the same text, from the end of the one
+to the start of the other, however long they are.  Parts of a role become one row for each
 stretch of ``SCOPE`` characters.  A candidate reaches up to some place: of the stretches before that place's the largest end
 decides, in its own the first start, so no part is paired with another, however many there are.
 
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from clipsieve.llm.common import written
 
 SCOPE = 200
+RUN = 256
 
 # Patterns of the three certain kinds, and the lengths from which a match counts.
 ASSIGN = (
@@ -39,11 +40,14 @@ COMPLEMENTS = {"identifier": ("secret",), "secret": ("identifier", "endpoint"),
 
 
 def _spans(text: Column, pattern: str, kind: str) -> Column:
-    """Leftmost non-overlapping matches of a pattern as (kind number, start, end, match); the pieces between them give the places."""
+    """Leftmost non-overlapping matches of a pattern as (kind number, start, end, match); the pieces between them give the places.
+
+    Places are running sums: first over runs of ``RUN`` matches, then inside each run, so the work grows with the matches.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.arrays_zip(found.alias("m"), F.transform(F.slice(between, 1, F.size(found)), lambda b: F.length(b)).alias("gap"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<kind:int,start:int,end:int,match:string>>").alias("out"))
+    zero, none = F.lit(0), F.array().cast("array<struct<kind:int,start:int,end:int,match:string>>")
 
     def step(acc: Column, p: Column) -> Column:
         begin = acc["at"] + p["gap"]
@@ -51,8 +55,22 @@ def _spans(text: Column, pattern: str, kind: str) -> Column:
         one = F.struct(F.lit(KINDS.index(kind)).alias("kind"), begin.alias("start"), end.alias("end"), p["m"].alias("match"))
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    made = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), made).otherwise(start["out"])
+    def runs(all_pairs: Column) -> Column:
+        """Every run with its width and its matches."""
+        numbers = F.sequence(zero, F.floor((F.size(all_pairs) - 1) / RUN).cast("int"))
+        cut = F.transform(numbers, lambda k: F.slice(all_pairs, k * RUN + 1, RUN))
+        return F.transform(cut, lambda r: F.struct(r.alias("run"), F.aggregate(r, zero, lambda n, p: n + p["gap"] + F.length(p["m"])).alias("width")))
+
+    def placed(acc: Column, r: Column) -> Column:
+        one = F.struct(acc["at"].alias("at"), r["run"].alias("run"))
+        return F.struct((acc["at"] + r["width"]).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
+
+    empty = F.array().cast("array<struct<at:int,run:array<struct<m:string,gap:int>>>>")
+    # As the element of an array the pairs are a variable, not an expression that every run would evaluate anew.
+    cut = F.transform(F.array(pairs), runs)[0]
+    starts = F.aggregate(cut, F.struct(zero.alias("at"), empty.alias("out")), placed, lambda acc: acc["out"])
+    made = F.flatten(F.transform(starts, lambda r: F.aggregate(r["run"], F.struct(r["at"].alias("at"), none.alias("out")), step, lambda acc: acc["out"])))
+    return F.when(text.rlike(pattern), made).otherwise(none)
 
 
 def _value(match: Column) -> Column:
@@ -80,18 +98,17 @@ def candidates(docs: DataFrame) -> DataFrame:
     )
 
 
-def _confirmed(parts: DataFrame, gaps: bool) -> DataFrame:
+def _confirmed(parts: DataFrame) -> DataFrame:
     """Weak parts with a complementary part near: doc_id, text_hash, kind, start, end.
 
     ``parts``: doc_id, text_hash, kind, start, end, role, weak.
     """
     key = ["doc_id", "text_hash"]
-    until = F.col("end" if gaps else "start")
     stretch = lambda at: F.floor(at / SCOPE).alias("stretch")
-    known = parts.groupBy(*key, "role", stretch(F.col("start"))).agg(F.min("start").alias("first"), F.max(until).alias("last"))
+    known = parts.groupBy(*key, "role", stretch(F.col("start"))).agg(F.min("start").alias("first"), F.max("end").alias("last"))
     needs = F.create_map(*(x for r, c in COMPLEMENTS.items() for x in (F.lit(r), F.array(*map(F.lit, c)))))
-    wanted = parts.where("weak").select(*key, "kind", "start", "end", (until + SCOPE).alias("to"), F.explode(needs[F.col("role")]).alias("role")).distinct()
-    # A part that starts in the stretch of ``to`` starts behind ``until``, so it can't end too early.
+    wanted = parts.where("weak").select(*key, "kind", "start", "end", (F.col("end") + SCOPE).alias("to"), F.explode(needs[F.col("role")]).alias("role")).distinct()
+    # A part that starts in the stretch of ``to`` or behind it can't end too early.
     by = Window.partitionBy(*key, "role").orderBy("stretch")
     before = F.max("last").over(by.rangeBetween(Window.unboundedPreceding, -1)) >= F.col("start") - SCOPE
     beside = F.min("first").over(by.rangeBetween(0, 0)) <= F.col("to")
@@ -109,7 +126,7 @@ def _text(spans: Column, kinds: int | None = None) -> Column:
     return F.array_join(F.transform(ordered, lambda s: F.concat_ws(":", F.element_at(names, s["b"] + 1), s["a"], s["c"])), ",")
 
 
-def scan(docs: DataFrame, gaps: bool = False) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """One row for each row of ``docs``: doc_id, certain (spans), linked (confirmed weak spans)."""
     base = written(candidates(docs), "secrets")
     live = base.where(F.size("weak") > 0)
@@ -120,7 +137,7 @@ def scan(docs: DataFrame, gaps: bool = False) -> DataFrame:
 
     tagged = live.select("doc_id", "text_hash", F.explode(F.concat(tagged_as("certain"), tagged_as("weak"))).alias("p")).select("doc_id", "text_hash", "p.*")
     roles = F.array(*(F.lit(ROLES[k]) for k in KINDS))
-    found = _confirmed(tagged.withColumn("role", F.element_at(roles, F.col("kind") + 1)), gaps)
+    found = _confirmed(tagged.withColumn("role", F.element_at(roles, F.col("kind") + 1)))
     spans = found.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("kind", "start", "end")).alias("linked"))
     spans = spans.withColumnsRenamed({"doc_id": "d", "text_hash": "h"})
     joined = base.join(spans, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("h")), "left")
@@ -129,9 +146,9 @@ def scan(docs: DataFrame, gaps: bool = False) -> DataFrame:
     return joined.select("doc_id", plain(F.col("certain")).alias("certain"), F.coalesce("linked", none).alias("linked"))
 
 
-def report(docs: DataFrame, gaps: bool = False) -> DataFrame:
+def report(docs: DataFrame) -> DataFrame:
     """doc_id, counts of the certain kinds, digest of their spans, and all spans as text."""
-    found = scan(docs, gaps)
+    found = scan(docs)
     count = lambda kind: F.size(F.filter("certain", lambda s: s["kind"] == KINDS.index(kind))).cast("long").alias("n_" + kind)
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_text(F.col("certain")), 256).alias("base_sha256"),

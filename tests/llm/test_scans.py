@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from clipsieve.llm import credentials, license_scan
 
@@ -29,7 +30,7 @@ def base(text):
 
 
 def weak_brute(text):
-    """All weak spans with a complement that starts near, pair by pair."""
+    """All weak spans with a complement near, by the characters between the two, pair by pair."""
     found = []
     for start, _, kind, end in base(text):
         found.append((kind, start, end, False))
@@ -42,7 +43,7 @@ def weak_brute(text):
     role = credentials.ROLES
     return sorted(
         (start, credentials.KINDS.index(kind), end) for kind, start, end, weak in found
-        if weak and any(role[k] in credentials.COMPLEMENTS[role[kind]] and abs(s - start) <= credentials.SCOPE for k, s, _, _ in found)
+        if weak and any(role[k] in credentials.COMPLEMENTS[role[kind]] and max(s - end, start - e) <= credentials.SCOPE for k, s, e, _ in found)
     )
 
 
@@ -65,6 +66,22 @@ def test_credentials(spark):
     assert credentials.report(documents(spark, [])).count() == 0
 
 
+def test_many_matches_in_one_text(spark):
+    n = 100_000
+    docs = spark.createDataFrame([(1, "é user=bob " * n + "token: abc")], "doc_id long, text string")
+    began = time.time()
+    spans = credentials.report(docs).first()["spans"].split(",")
+    assert spans == [*(f"user:{11 * k + 2}:{11 * k + 10}" for k in range(n - 19, n)), f"assign_short:{11 * n}:{11 * n + 10}"]
+    assert time.time() - began < 60
+
+
+def test_places_over_several_runs(spark, monkeypatch):
+    monkeypatch.setattr(credentials, "RUN", 3)
+    text = " ".join(f"token=abcdef{k}" for k in range(11))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    assert credentials.report(docs).first()["spans"] == ",".join(f"assign:{a}:{b}" for a, _, _, b in base(text))
+
+
 def test_credentials_run_without_python(spark):
     plan = credentials.report(documents(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
