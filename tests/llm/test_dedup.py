@@ -1,4 +1,5 @@
 import hashlib
+import re
 from collections import defaultdict
 
 import pytest
@@ -169,7 +170,6 @@ def test_index_persists_and_names_earlier_documents(spark, tmp_path):
 
 def templates_brute(data):
     """Line numbers to drop by (doc_id, text), from the definition."""
-    import re
 
     entries = []
     for doc, text in {(r[0], r[1]) for r in data if r[1] is not None}:
@@ -219,6 +219,58 @@ def dropped_lines(spark, texts, **options):
     return {r["doc_id"]: r["dropped"] for r in line_templates.report(documents(spark, data), **options).collect()}
 
 
+def median_brute(data):
+    """The rule of the query, line by line: a word is constant if it is as common at its place as the upper median of its line's words."""
+    where = defaultdict(list)
+    for doc, text in {(r[0], r[1]) for r in data if r[1] is not None}:
+        for n, line in enumerate(re.sub(r"[ \t\x0b\f\r]+", " ", text).split("\n")):
+            tokens = tuple("<*>" if re.search("[0-9]", t) else t for t in line.strip(" ").split(" "))
+            if any(c.isalpha() for c in "".join(tokens)):
+                where[tokens].append(((doc, text), n))
+    leaf = lambda t: (len(t), t[:3])
+    in_leaf, common = defaultdict(set), defaultdict(int)
+    for tokens, places in where.items():
+        in_leaf[leaf(tokens)] |= {d for d, _ in places}
+        for at, t in enumerate(tokens[3:], 3):
+            common[leaf(tokens), at, t] += 1
+    templates = defaultdict(list)
+    for tokens, places in where.items():
+        several = len({d for d, _ in places}) > 1
+        counts = [0 if t == "<*>" else 1 if at < 3 else common[leaf(tokens), at, t] for at, t in enumerate(tokens)]
+        if len(in_leaf[leaf(tokens)]) < 2 or not (several or max(counts[3:], default=0) > 1):
+            continue
+        need = max(1, min(len(tokens) // 2, 3))
+        words = sorted((c for c in counts[3:] if c), reverse=True)
+        median = words[(len(words) - 1) // 2] if words else 0
+        made = tuple(t if at < 3 or counts[at] >= median else "<*>" for at, t in enumerate(tokens))
+        if words and words[-1] < median and len(made) - made.count("<*>") >= need:
+            templates[made] += places
+        elif several and sum(map(bool, counts)) >= need:
+            templates[tokens] += places
+    drop = defaultdict(set)
+    for places in templates.values():
+        if len({d for d, _ in places}) >= 3:
+            for doc, n in places:
+                drop[doc].add(n)
+    return drop
+
+
+def test_the_rule_of_the_query_equals_a_loop(spark):
+    rng = random.Random(12)
+    data = list(rows())
+    shapes = ["job {a} of user {b} ended with state {c} after {n} ms", "get {a} from {b}", "{a} {n}", "the {a} of {b} is {c} and {a} too", "Page {n}", "all rights are reserved"]
+    for k in range(40):
+        lines = []
+        for _ in range(rng.randrange(1, 9)):
+            word = lambda: rng.choice(["red", "green", "blue", "été", rng.choice("abcdefghijk") * 3])
+            lines.append(rng.choice(shapes).format(a=word(), b=word(), c=word(), n=rng.randrange(900)))
+        data.append((2000 + k, rng.choice(["\n", " \t\n"]).join(lines), "en", "a", 1))
+    drop = median_brute(data)
+    assert sum(map(len, drop.values())) > 40
+    want = sorted(((r[0], sorted(drop[r[0], r[1]])) for r in data), key=repr)
+    assert sorted(((r["doc_id"], r["dropped"]) for r in line_templates.report(documents(spark, data)).collect()), key=repr) == want
+
+
 def test_fields_whose_values_come_back(spark):
     names, cities = ([f"{c}{a}{b}" for a in "abcde" for b in "vwxyz"] for c in "nc")
     # Every name and every city occurs in two documents, every pair in one; the last line exists twice, another template of the leaf once.
