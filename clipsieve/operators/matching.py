@@ -59,19 +59,26 @@ def _reduced(annotations: DataFrame, candidates: DataFrame, group: list[str], ta
     columns = [*group, "source", "part", "cand_rank", "cand_start", "cand_end", "cand_score"]
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in columns), "ann_index long", "overlap double"])
 
+    keys = ["source", "part", "_spread", *group]
+
     def run(ann: pd.DataFrame, cand: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        own = dict(list(ann.sort_values("ann_index").groupby(["source", "of_part", "of_spread"], sort=False)))
-        order = cand.sort_values(["cand_score", "cand_rank"], ascending=[False, True], na_position="last", kind="stable")
-        for key, rows in order.groupby(["source", "part", "_spread", *group], sort=False):
-            mine = own.get(tuple(key[:3]))
-            if mine is None:
-                continue
-            found = list(take_in_order(*(mine[c].to_numpy(float) for c in ("start", "end")), *(rows[c].to_numpy(float) for c in ("cand_start", "cand_end"))))
-            if found:
-                at, best, shared = zip(*found)
-                out.append(rows.iloc[list(best)][columns].assign(ann_index=mine["ann_index"].to_numpy()[list(at)], overlap=shared))
-        return pd.concat(out) if out else pd.DataFrame(columns=[*columns, "ann_index", "overlap"])
+        ann = ann.sort_values(["source", "of_part", "of_spread", "ann_index"], kind="stable")
+        order = [True] * len(keys) + [False, True]
+        cand = cand.sort_values([*keys, "cand_score", "cand_rank"], ascending=order, na_position="last", kind="stable")
+        own = {key: (at[0], at[-1] + 1) for key, at in ann.reset_index(drop=True).groupby(["source", "of_part", "of_spread"]).indices.items()}
+        spans, cuts = ([x[c].to_numpy(float) for c in names] for x, names in ((ann, ("start", "end")), (cand, ("cand_start", "cand_end"))))
+        number = cand.groupby(keys, sort=False).ngroup().to_numpy()
+        firsts = np.flatnonzero(np.append(True, number[1:] != number[:-1])) if number.size else number
+        places = list(zip(*(cand[c].to_numpy()[firsts] for c in keys[:3])))
+        rows: list[int] = []
+        mine: list[int] = []
+        seconds: list[float] = []
+        for place, lo, hi in zip(places, firsts.tolist(), [*firsts[1:].tolist(), len(cand)]):
+            if place in own:
+                first, end = own[place]
+                for k, best, shared in take_in_order(*(x[first:end] for x in spans), *(x[lo:hi] for x in cuts)):
+                    rows.append(lo + best), mine.append(first + k), seconds.append(shared)
+        return cand.iloc[rows][columns].assign(ann_index=ann["ann_index"].to_numpy()[mine], overlap=np.array(seconds, float))
 
     return left.groupBy("_own_task").cogroup(right.groupBy("_task")).applyInPandas(run, schema)
 
