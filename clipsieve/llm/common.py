@@ -91,7 +91,7 @@ class Encoder:
     split text first.  Strings of special tokens inside a text are ordinary text.  ``memory`` bounds the remembered pieces.
     """
 
-    def __init__(self, path: str, memory: int = 800_000):
+    def __init__(self, path: str, memory: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -163,14 +163,15 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def sampled_rows(docs: DataFrame, marks: DataFrame, most: int) -> DataFrame:
+def sampled_rows(docs: DataFrame, marks: DataFrame | None, most: int) -> DataFrame:
     """At most ``most`` distinct rows ``doc_id, text`` of ``docs``, with the columns of ``marks`` and the row's hash ``h``.
 
     Taken in the order of a hash of id and text, so the choice never depends on partitions.  ``marks`` has one row a
-    doc_id.  The bound holds for rows, however often a doc_id or a whole row is repeated; texts aren't shuffled
-    before they are chosen.
+    doc_id; without it any row with a doc_id may be taken.  The bound holds for rows, however often a doc_id or a
+    whole row is repeated; texts aren't shuffled before they are chosen.
     """
     row = F.xxhash64("doc_id", "text")
-    wanted = docs.select("doc_id", row.alias("h")).distinct().join(marks, "doc_id").orderBy("h", "doc_id").limit(most)
+    every = docs.where("doc_id is not null").select("doc_id", row.alias("h")).distinct()
+    wanted = (every if marks is None else every.join(marks, "doc_id")).orderBy("h", "doc_id").limit(most)
     found = docs.select("doc_id", "text", row.alias("h")).join(F.broadcast(wanted), ["doc_id", "h"])  # at most ``most`` rows
     return found.dropDuplicates(["doc_id", "h"])

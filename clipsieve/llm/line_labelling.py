@@ -2,8 +2,8 @@
 
 Each line of a whole text has the features of ``FEATURES``; Viterbi decoding finds the best sequence of labels, and a
 document is kept if content lines hold ``CONTENT_SHARE`` of its word characters.  The field is trained by maximum
-likelihood on ``MAX_SAMPLE`` labelled documents at most, in the order of a hash of doc_id, every line
-bearing its document's quality; a ridge on the transitions keeps single lines free to differ.
+likelihood on ``MAX_SAMPLE`` distinct labelled rows at most, in the order of a hash of doc_id and text, and ``MAX_LINES`` lines in a
+row of each, from a place the hash names, every line bearing its document's quality; a ridge on the transitions keeps single lines free to differ.
 
 Base rules come first: fewer than 20 words, or over 30 % of the words in repeated 8-word windows, fail a document.
 
@@ -20,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from clipsieve.llm.common import batches, mix64
+from clipsieve.llm.common import batches, mix64, sampled_rows
 from clipsieve.llm.shingles import words
 
 MAX_SAMPLE = 2_000
+MAX_LINES = 400
 CONTENT_SHARE = 0.5
 MIN_WORDS = 20
 MAX_REPEATED = 30  # percent of words
@@ -189,25 +190,33 @@ def fit(features: np.ndarray, per_text: np.ndarray, labels: np.ndarray, steps: i
     return Field(w, move)
 
 
-def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE) -> Field | None:
-    """Fits on the driver to the line features of a bounded sample of labelled documents; None without both kinds of label."""
-    usable = labels.where(F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    wanted = F.broadcast(usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample))
+def train(docs: DataFrame, labels: DataFrame, max_sample: int = MAX_SAMPLE, max_lines: int = MAX_LINES) -> Field | None:
+    """Fits in one task to the line features of a bounded sample of labelled rows; None without both kinds of label."""
+    usable = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("quality"))
+    width = len(FEATURES)
 
     def run(source):
         for batch in batches(source, "text"):
             x = lines(batch.column("text"))
             ends = np.cumsum(x.per_text)
-            parts = [x.features[a:b].astype("<f4").tobytes() for a, b in zip((ends - x.per_text).tolist(), ends.tolist())]
+            parts = []
+            for a, b, h in zip((ends - x.per_text).tolist(), ends.tolist(), batch.column("h").to_pylist()):
+                a += h % (b - a - max_lines + 1) if b - a > max_lines else 0
+                parts.append(x.features[a : min(a + max_lines, b)].astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(parts, pa.binary())], names=["quality", "features"])
 
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
-    sample = rows.mapInArrow(run, "quality int, features binary").toArrow()
-    found = sorted(zip(sample.column("quality").to_pylist(), (x.as_py() for x in sample.column("features"))))
-    if len({q for q, _ in found}) < 2:
-        return None
-    parts = [np.frombuffer(x, "<f4").reshape(-1, len(FEATURES)).astype(float) for _, x in found]
-    return fit(np.concatenate(parts), np.array([len(p) for p in parts]), np.array([q for q, _ in found]))
+    def learn(source):
+        found = sorted((q, f) for batch in source for q, f in zip(batch.column("quality").to_pylist(), batch.column("features").to_pylist()))
+        if len({q for q, _ in found}) < 2:
+            return
+        parts = [np.frombuffer(x, "<f4").reshape(-1, width).astype(float) for _, x in found]
+        field = fit(np.concatenate(parts), np.array([len(p) for p in parts]), np.array([q for q, _ in found]))
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (field.emission, field.move)], names=["emission", "move"])
+
+    rows = sampled_rows(docs, usable, max_sample).select("quality", "text", "h")
+    parts = rows.mapInArrow(run, "quality int, features binary").repartition(1)
+    found = parts.mapInArrow(learn, "emission binary, move binary").first()
+    return found and Field(np.frombuffer(bytes(found["emission"])), np.frombuffer(bytes(found["move"])).reshape(2, 2))
 
 
 def judge(docs: DataFrame, field: Field | None, content_share: float = CONTENT_SHARE) -> DataFrame:

@@ -6,7 +6,8 @@ the second part falls below zero, the step goes the other way, so the model can'
 
 Features are the words of a whole text and their first ``PREFIX`` bytes; those that stand out among the positive
 examples (``LEAST_Z`` standard errors) are kept, and a logistic model is fitted to them with numpy.  Both samples are
-bounded, ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` documents in the order of a hash of doc_id; scoring covers all documents.
+bounded, ``MAX_POSITIVE`` and ``MAX_UNLABELLED`` distinct rows in the order of a hash of doc_id and text, of which
+``MAX_FEATURES`` features each, chosen by hash from the whole text, are learnt from; scoring covers all documents and features.
 
 Defined results: a null or empty text scores as one without features; rows that repeat a doc_id are scored each
 by their own text; without labels or positive examples every score is 0; an empty table gives no row; a null
@@ -21,11 +22,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from clipsieve.llm.common import batches
+from clipsieve.llm.common import batches, mix64, sampled_rows
 from clipsieve.llm.shingles import words
 
 MAX_POSITIVE = 4_000
 MAX_UNLABELLED = 8_000
+MAX_FEATURES = 4_000
 PREFIX = 5
 LEAST_Z = 5.0
 THRESHOLD = 0.7
@@ -108,21 +110,19 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(keys, w[:-1], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED, max_features: int = MAX_FEATURES) -> Model:
     """Fits from two bounded samples; held-out labels are not read into any of them."""
     usable = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     prior = usable.agg(F.avg(F.col("toxic").cast("double"))).first()[0] or 0.0
-    order = F.xxhash64("doc_id")
-    confirmed = usable.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")).orderBy(order, "doc_id").limit(max_positive)
-    anything = docs.where(~held_out(F.col("doc_id"))).select("doc_id", F.lit(False).alias("positive")).orderBy(order, "doc_id").limit(max_unlabelled)
+    confirmed = sampled_rows(docs, usable.where("toxic = 1").select("doc_id", F.lit(True).alias("positive")), max_positive)
+    anything = sampled_rows(docs.where(~held_out(F.col("doc_id"))), None, max_unlabelled).withColumn("positive", F.lit(False))
 
     def run(source):
         for batch in batches(source, "text"):
-            found = [x.tobytes() for x in features(batch.column("text"))]
+            found = [x[np.argsort(mix64(x))[:max_features]].tobytes() for x in features(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("positive"), pa.array(found, pa.binary())], names=["positive", "features"])
 
-    wanted = F.broadcast(confirmed.union(anything))  # at most max_positive + max_unlabelled ids
-    rows = docs.select("doc_id", "text").join(wanted, "doc_id").select("positive", "text").mapInArrow(run, "positive boolean, features binary")
+    rows = confirmed.select("positive", "text").union(anything.select("positive", "text")).mapInArrow(run, "positive boolean, features binary")
 
     def learn(source):
         """Fits in one task, which the bounds of the samples keep small."""

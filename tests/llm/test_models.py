@@ -83,6 +83,20 @@ def test_mixed_text_is_labelled_by_line(spark):
     assert field.viterbi(x.features, x.per_text).tolist() == [1] * 5 + [0] * 4
 
 
+def test_bounds_of_the_samples_hold(spark):
+    """A row repeated thousands of times and a text of a million lines stay within the documented bounds."""
+    rng = random.Random(6)
+    data = [(1, "the same row " * 20, "en", "a", 1)] * 5000 + [(2, "\n".join(["a line of words"] * 1_000_000), "en", "a", 1)]
+    data += [(10 + k, junk(rng) if k % 2 else sentence(rng, 60) + ".", "en", "a", 1) for k in range(40)]
+    docs = documents(spark, data)
+    marks = labels(spark, [(1, 1, 0), (2, 0, 1), *((10 + k, 1 - k % 2, k % 2) for k in range(40))])
+    from clipsieve.llm.common import sampled_rows
+
+    assert sampled_rows(docs, marks, 10).count() == 10
+    assert line_labelling.train(docs, marks, max_sample=30, max_lines=50) is not None
+    assert toxicity.train(docs, marks, 30, 30, 100) is not None
+
+
 def mix_brute(data):
     def place(doc):
         import hashlib
