@@ -29,7 +29,7 @@ def scan_media(spark, sf):
 def _probes(spark, sf):
     """One probe document per user; every seventh lacks sound, every fifth document is cut short."""
     a = B.assets(spark, sf)
-    number = F.regexp_extract("filepath", r"(\d+)", 1).cast("int")
+    number = F.regexp_extract("filepath", r"(\d+)", 1).cast("long")
     video = F.struct(F.lit("video").alias("codec_type"), F.lit("h264").alias("codec_name"), "width", "height",
                      F.when(F.pmod(number, F.lit(3)) == 2, "30000/1001").when(F.pmod(number, F.lit(3)) == 1, "25/1").otherwise("0/0").alias("r_frame_rate"))
     none = lambda n, t: F.lit(None).cast(t).alias(n)

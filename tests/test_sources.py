@@ -242,3 +242,15 @@ def test_media_scan(spark, tmp_path):
     for name in ("a.MP4", "d/b.mov", "c.txt"):
         (tmp_path / name).write_bytes(b"x")
     assert sorted(r.path.rsplit("/", 1)[1] for r in M.scan_media(spark, str(tmp_path)).collect()) == ["a.MP4", "b.mov"]
+
+
+def test_probes_of_large_user_numbers(spark, tmp_path):
+    """Sizes in bytes beyond an int."""
+    from checks import sources as Q
+
+    users = [1500, 2200, 5_000_000_001]
+    rows = spark.createDataFrame([(k, u) for k, u in enumerate(users)], "event_id long, user_id long")
+    rows.selectExpr("*", "TIMESTAMP_NTZ'2024-01-02 00:00:00' AS ts", "'view' AS event_type", "1.0D AS value").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.filepath: r.size_mb for r in Q.parse_probe_json(spark, str(tmp_path)).collect()}
+    assert got == {f"user_{u}.mp4": round(u * 1_000_000 / 1048576, 2) for u in users}
+    assert Q.build_inventory(spark, str(tmp_path)).first()["count"] == 3
