@@ -1,8 +1,8 @@
 """Keyword dictionaries as tables: a text is read once, however many keywords there are.
 
 A dictionary of up to ``MAX_SHIPPED`` characters becomes one automaton, built once in each worker.  A larger one is joined: a
-keyword meets only the texts that hold its rarest three characters, and is looked for in those.  Both give the same rows,
-and neither plan grows with the dictionary.
+whole word of letters and digits meets the equal words of the texts, any other keyword only the texts that hold its rarest
+three characters, and is looked for in those.  Both give the same rows, and neither plan grows with the dictionary.
 """
 
 from __future__ import annotations
@@ -79,18 +79,33 @@ def _grams(text: str) -> Column:
     return F.array_distinct(F.transform(places, lambda k: F.substring(F.col(text), k, F.lit(GRAM))))
 
 
-def _joined(rows: DataFrame, keywords: DataFrame, whole_words: bool, out: str) -> DataFrame:
-    """For keywords of ``GRAM`` characters or more."""
-    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+def _by_gram(rows: DataFrame, keywords: DataFrame, whole_words: bool) -> DataFrame:
+    """``_row, place, keyword`` of the texts that hold a keyword, looked for where its rarest gram is."""
     in_texts = rows.where(F.length("_low") >= GRAM).select("_row", F.explode(_grams("_low")).alias("gram"))
     counts = in_texts.groupBy("gram").agg(F.count("*").alias("n"))
     keys = keywords.select("place", "keyword", F.explode(_grams("keyword")).alias("gram")).join(counts, "gram", "left")
     # A keyword with a gram that no text has is in none.
     rarest = keys.groupBy("place", "keyword").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).where("k.n > 0")
     maybe = in_texts.join(rarest.select("place", "keyword", F.col("k.gram").alias("gram")), "gram").select("_row", "place", "keyword")
-    quoted = F.concat(F.lit(r"(^|[^A-Za-z0-9])\Q"), F.replace("keyword", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(\z|[^A-Za-z0-9])"))
-    there = F.rlike("_low", quoted) if whole_words else F.contains("_low", "keyword")
-    hits = maybe.join(rows.select("_row", "_low"), "_row").where(there)
+    there = F.contains("_low", "keyword")
+    if whole_words:  # a pattern of its own for each keyword, so only for texts that hold it
+        quoted = F.concat(F.lit(r"(^|[^A-Za-z0-9])\Q"), F.replace("keyword", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(\z|[^A-Za-z0-9])"))
+        there = F.when(there, F.rlike("_low", quoted)).otherwise(False)
+    return maybe.join(rows.select("_row", "_low"), "_row").where(there).select("_row", "place", "keyword")
+
+
+def _joined(rows: DataFrame, keywords: DataFrame, whole_words: bool, out: str) -> DataFrame:
+    """For keywords of ``GRAM`` characters or more.  A whole word of letters and digits is a whole run of them, so it is joined as such."""
+    rows = cut_lineage(rows.withColumn("_row", F.monotonically_increasing_id()))
+    if whole_words:
+        plain = F.rlike("keyword", F.lit(r"^[A-Za-z0-9]+\z"))
+        runs = rows.select("_row", F.explode(F.array_distinct(F.split("_low", "[^A-Za-z0-9]+"))).alias("keyword"))
+        hits = runs.join(keywords.where(plain).select("place", "keyword"), "keyword").select("_row", "place", "keyword")
+        others = keywords.where(~plain)
+        if not others.isEmpty():
+            hits = hits.unionByName(_by_gram(rows, others, whole_words))
+    else:
+        hits = _by_gram(rows, keywords, whole_words)
     lists = hits.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("place", "keyword"))).alias("_hits"))
     found = F.coalesce(F.transform("_hits", lambda h: h["keyword"]), F.array().cast("array<string>"))
     return rows.join(lists, "_row", "left").withColumn(out, found).drop("_row", "_hits", "_low")

@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from clipsieve.operators import keywords as K
 from clipsieve.sources import transcripts as X
 
@@ -42,3 +44,14 @@ def test_plan_does_not_grow_with_the_dictionary(spark):
         assert set(hits.first().keywords) == {f"word{k}" for k in (7, 9, 99, 999, 9999, 99999) if k < n}
     assert abs(plans[0] - plans[1]) < 50
     assert K.find_keywords(rows, "text", []).first().keywords == []
+
+
+def test_whole_words_compare_no_pattern_with_each_text(spark):
+    """Patterns of a keyword run only where it occurs; plain words meet equal words."""
+    rows = spark.createDataFrame([(k, f"word{k} b-roll{k} the") for k in range(50)], "n int, text string")
+    kept = K.cut_lineage(rows.withColumn("_low", F.lower("text")))
+    words = K.numbered(["the", "word7", "roll7"], spark)
+    found = K.find_keywords(rows, "text", ["the", "word7", "b-roll7", "roll", "ord7"], whole_words=True, most=0)
+    assert {r.n: r.keywords for r in found.collect()} == {k: ["the"] + (["word7", "b-roll7"] if k == 7 else []) for k in range(50)}
+    plan = K._joined(kept, words, True, "out")._jdf.queryExecution().optimizedPlan().toString()
+    assert r"(^|[^A-Za-z0-9])\Q" not in plan
