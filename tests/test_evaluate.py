@@ -184,6 +184,23 @@ def test_training(spark):
     assert learned["clip_0001"] > 50 > learned["clip_0002"]
 
 
+def test_features_are_made_of_decided_clips_only(spark):
+    c = candidates(spark, [("a", 0.0, 10.0, 90, "select"), ("a", 20.0, 30.0, 20, "cut")])
+    decisions = spark.createDataFrame([("clip_0001", "approve", 1, "")], "id string, decision string, order int, note string")
+    data = L.build_review_dataset(decisions, c)
+    rows = L.feature_values(data.select("features", F.col("label.target").alias("target")))
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("Join Inner", 1)
+    assert "map_from_entries" in above and "map_from_entries" not in below
+    assert {r.feature: r.value for r in rows.collect()}["deterministic_score"] == 90.0
+
+
+def test_repeated_names_keep_the_last_value(spark):
+    c = candidates(spark, [("a", 0.0, 10.0, 90, "select")]).withColumn("signals", F.expr("map('Dog Run', 1.0D, 'dog_run', 2.0D, '_x_', 3.0D, '', 4.0D)"))
+    got = L.candidate_features(c).first().features
+    assert (got["dog_run"], got["x"], got["value"]) == (2.0, 3.0, 4.0)
+
+
 def test_large_models_join_by_feature(spark, monkeypatch):
     data = spark.createDataFrame([({"x": 4.0}, ("y", 1)), ({"x": 1.0, "z": 2.0}, ("n", 0))], "features map<string,double>, label struct<rating: string, target: int>")
     model = L.train_scorer(data)
