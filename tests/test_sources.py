@@ -254,3 +254,10 @@ def test_probes_of_large_user_numbers(spark, tmp_path):
     got = {r.filepath: r.size_mb for r in Q.parse_probe_json(spark, str(tmp_path)).collect()}
     assert got == {f"user_{u}.mp4": round(u * 1_000_000 / 1048576, 2) for u in users}
     assert Q.build_inventory(spark, str(tmp_path)).first()["count"] == 3
+
+
+def test_a_report_is_parsed_once(spark):
+    text = '{"signals": [{"asset": {"filepath": "a"}, "scene_changes": [1.0, 2.0], "audio_levels": [{"time": 1.0, "rms_db": -3.0}]}], "candidates": [{"id": "c", "source": "a", "score": 5}]}'
+    t = D.read_ratings(spark.createDataFrame([("r.json", text)], "path string, content string"))
+    assert not any("from_json" in df._jdf.queryExecution().optimizedPlan().toString() for df in t.values())
+    assert [t[n].count() for n in ("scenes", "levels", "candidates", "object_hits")] == [2, 1, 1, 0]
