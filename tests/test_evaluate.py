@@ -226,6 +226,33 @@ def test_sweep_grid_and_rank(spark):
     assert len(rows) == 648 and rows[0].f1 == 1.0 and rows[0].true_positives == 1
 
 
+def test_limited_sets_are_the_first_of_whole_sets(spark, monkeypatch):
+    rng = random.Random(5)
+    names = [f"s{i}" for i in range(40)]
+    asset = spark.createDataFrame([(n, n, 1.0, 300.0, 1920, 1080, "h264", 30.0, True, "ok", None) for n in names], schemas.ASSETS)
+    times = [(n, float(rng.randrange(300))) for n in names[1:] for _ in range(5)]
+    signals = Signals(asset, scenes=spark.createDataFrame(times, schemas.SCENES),
+                      levels=spark.createDataFrame([(n, t, rng.choice((-42.0, -30.0, -12.0))) for n, t in times], schemas.LEVELS))
+    base = ScoringConfig(max_candidates=7)
+    whole = W.scored_sets(signals, base, None).where("rank <= 7").select("weight", "audio", "roll", "source", "start", "end", "score", "rank")
+    want = sorted(whole.collect())
+    monkeypatch.setattr(W, "PENDING", 10)
+    found = W.scored_sets(signals, base, 7)
+    assert sorted(found.select(whole.columns).collect()) == want and len(want) == 7 * 54
+    # No task orders all of its scored windows: only what each left of them.
+    assert "MapInPandas" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sweep_seeds_move_once_to_their_chunk(spark, monkeypatch):
+    asset = spark.createDataFrame([("a", "a", 1.0, 60.0, 1920, 1080, "h264", 30.0, True, "ok", None)], schemas.ASSETS)
+    signals = Signals(asset, scenes=spark.createDataFrame([("a", 10.0)], schemas.SCENES), levels=spark.createDataFrame([("a", 9.0, -42.0)], schemas.LEVELS))
+    plans = []
+    monkeypatch.setattr(W, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    windows = W.windows_by_profile(signals, ScoringConfig(max_candidates=50))
+    assert set(windows.columns) == {"profile", "source", "start", "end"} and len(plans) == 1
+    assert sum("Exchange" in line and "_chunk" in line for line in plans[0].splitlines()) == 1
+
+
 def test_several_documents_are_one_evaluation(spark):
     a = annotations(spark, [("a", 10.0, 20.0, "select", [])]).withColumn("path", F.lit("one.json"))
     a = a.union(annotations(spark, [("b", 30.0, 40.0, "select", [])]).withColumn("path", F.lit("two.json")))
