@@ -1,6 +1,7 @@
 """Licence scan: MinHash bands over overlapping text windows retrieve templates, exact containment verifies them.
 
-DataFrame functions only, inside each row: no shuffle.  A template is looked for with the largest window of
+DataFrame functions only, inside each row: no shuffle.  A band's key is one of the window's own shingles, so only texts that hold
+some shingle of a template get windows.  A template is looked for with the largest window of
 ``WINDOWS`` that it fills; its own windows start at every word, those of a text at every ``stride``-th, so some window of
 a text lies ``stride / 2`` words at most beside a window of the template and shares three quarters of its shingles or
 more.  A band is one minimum, and six bands miss such a window with a chance of 0.25 ** 6 < 3e-4; the smallest window is one
@@ -102,18 +103,25 @@ def template_table(spark, templates: dict[str, str] = TEMPLATES) -> list[dict]:
     keys = F.array().cast("array<bigint>")
     for size, _, bands in WINDOWS:
         keys = F.when(F.size("words") >= size, _band_keys(F.col("hashes"), _salted(F.col("hashes")), size, 1, bands)).otherwise(keys)
-    return [r.asDict() for r in rows.select("license", F.array_distinct(_shingles(F.col("words"))).alias("shingles"), F.array_distinct(keys).alias("keys")).collect()]
+    made = {"shingles": _shingles(F.col("words")), "hashes": F.col("hashes"), "keys": keys}
+    return [r.asDict() for r in rows.select("license", *(F.array_distinct(c).alias(n) for n, c in made.items())).collect()]
+
+
+def _holds_any(text: Column, hashes: Column) -> Column:
+    """Whether the text holds a shingle of these hashes; as one expression, in which its words are taken once."""
+    return F.exists(F.array(_words(text)), lambda words: F.exists(F.array(_hashes(words)), lambda own: F.arrays_overlap(own, hashes)))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> DataFrame:
     """doc_id, license, containment, first_word (place of the first shared shingle) of every match."""
     table = template_table(docs.sparkSession, templates)
-    words = docs.select("doc_id", _words(F.col("text")).alias("words"))
+    array = lambda xs: F.array(*map(F.lit, xs))
+    near = docs.where(_holds_any(F.col("text"), array(sorted({h for t in table for h in t["hashes"]}))))
+    words = near.select("doc_id", _words(F.col("text")).alias("words"))
     hashed = words.withColumn("hashes", _hashes(F.col("words")))
     names = [f"m{k}" for k in range(len(_SALTS))]
     salted = hashed.select("*", *(c.alias(n) for c, n in zip(_salted(F.col("hashes")), names)))
     keys = F.concat(*(_band_keys(F.col("hashes"), [F.col(n) for n in names], *w) for w in WINDOWS))
-    array = lambda xs: F.array(*map(F.lit, xs))
     wanted = sorted({k for t in table for k in t["keys"]})
     hits = salted.select("doc_id", "words", F.array_intersect(keys, array(wanted)).alias("hits"))
     # One row for each template that shares a band; made by a generator, so keys are computed once a row.

@@ -2,6 +2,8 @@ import hashlib
 import re
 import time
 
+from pyspark.sql import functions as F
+
 from clipsieve.llm import credentials, license_scan
 
 from cases import clashing, documents, got, rows, sentence
@@ -150,3 +152,15 @@ def test_another_version_is_not_the_licence(spark):
     texts = ["licensed under the GNU General Public License, version 2", "Licensed under the Apache License, Version 2.1", "licensed under the GNU General Public License, version 3"]
     found = license_scan.scan(documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)]))
     assert [(r["doc_id"], r["license"]) for r in found.collect()] == [(2, "gpl-3")]
+
+
+def test_only_texts_with_a_shingle_of_a_template_get_windows(spark):
+    part = " ".join(license_scan.TEMPLATES["mit-text"].split()[3:8])
+    texts = [None, "", "one two three four", sentence(random.Random(6), 300), f"a b {part} c", license_scan.TEMPLATES["gpl-3"]]
+    docs = documents(spark, [(k, t, "en", "a", 1) for k, t in enumerate(texts)])
+    hashes = {h for t in license_scan.template_table(spark) for h in t["hashes"]}
+    near = docs.where(license_scan._holds_any(F.col("text"), F.array(*map(F.lit, hashes))))
+    assert [r["doc_id"] for r in near.orderBy("doc_id").collect()] == [4, 5]
+    plan = license_scan.scan(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter exists(" in plan[plan.index("Generate"):]  # below the windows, on texts alone
+    assert [(r["doc_id"], r["license"]) for r in license_scan.scan(docs).collect()] == [(5, "gpl-3")]
