@@ -8,7 +8,7 @@ import re
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, islice, repeat
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +79,20 @@ def default_tokenizer() -> str:
 _ODD_SPACE = r"[ \n]{2}|[\x00\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 #: Commas and full stops before which a text can't be cut: those not after a Latin letter or digit.
 _ODD_POINT = r"(?:^|[^0-9A-Za-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])[.,]"
+#: Pieces that may be encoded in one text, a line feed between them, and how many are; those of Latin letters are one word of any
+#: byte-level vocabulary, so they needn't be split by its pattern.
+_PLAIN = re.compile(r" ?\S+").fullmatch
+_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+").fullmatch
+_JOINED = 1000
+#: The character that stands for each byte in a byte-level vocabulary, and that of the line feed.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTES = np.arange(256, dtype="<u2")
+_BYTES[np.setdiff1d(_BYTES, _SHOWN)] = np.arange(256, 512 - len(_SHOWN))
+_FEED = chr(_BYTES[10])
+
+
+def _strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
 
 
 class Encoder:
@@ -86,7 +100,7 @@ class Encoder:
 
     A byte-level BPE vocabulary never joins characters over certain places: before a single space,
     around a single line feed, between a letter and a comma or full stop.  Texts are cut there, and
-    each distinct piece is encoded once and remembered.  Texts in which such places can't be told
+    each distinct piece is encoded once, many new ones in one text, and remembered.  Texts in which such places can't be told
     (white space in a row, tabs) are encoded as they are, and so are all where the file names another way to
     split text first.  Strings of special tokens inside a text are ordinary text.  ``memory`` bounds the remembered pieces.
     """
@@ -94,12 +108,16 @@ class Encoder:
     def __init__(self, path: str, memory: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import Split
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.memory = memory
         before = json.loads(self.tokenizer.to_str())["pre_tokenizer"] or {}
         self.cuts = self.tokenizer.normalizer is None and before.get("type") == "ByteLevel" and before["use_regex"] and not before["add_prefix_space"]
+        feed = self.tokenizer.encode("\n", add_special_tokens=False).ids if self.cuts else []
+        self.feed = feed[0] if len(feed) == 1 else None
+        self.by_pattern, self.at_feeds = self.tokenizer.pre_tokenizer, Split(_FEED, "isolated")
         self.known: dict[str, int] = {}
         self.flat = np.zeros(0, np.uint32)
         self.starts = np.zeros(1, np.int64)
@@ -108,10 +126,40 @@ class Encoder:
         """Keeps a quarter: the pieces learnt first, which are the common ones."""
         self.known = dict(islice(self.known.items(), self.memory // 4))
 
+    def _encode(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str], words: bool) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of plain pieces in a row, and each piece's number of ids; the line feeds between them tell them apart."""
+        joined = ["\n".join(pieces[k : k + _JOINED]) + "\n" for k in range(0, len(pieces), _JOINED)]
+        if words:
+            self.tokenizer.pre_tokenizer = self.at_feeds
+            ids = self._encode([_BYTES[np.frombuffer(t.encode(), np.uint8)].tobytes().decode("utf-16-le") for t in joined])
+            self.tokenizer.pre_tokenizer = self.by_pattern
+        else:
+            ids = self._encode(joined)
+        flat = np.concatenate(ids)
+        feeds = np.flatnonzero(flat == self.feed)
+        if feeds.size == len(pieces):
+            return np.delete(flat, feeds), np.diff(feeds, prepend=-1) - 1
+        return self._encode_each(pieces)  # the vocabulary has other uses for the line feed
+
+    def _encode_each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = self._encode(pieces)
+        return np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids))
+
     def _learn(self, pieces: list[str]) -> None:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        words, plain, rest = [], [], []
+        for p in pieces:
+            (rest if self.feed is None else words if _WORD(p) else plain if _PLAIN(p) else rest).append(p)
+        if words:
+            self._remember(words, *self._encode_pieces(words, True))
+        if plain:
+            self._remember(plain, *self._encode_pieces(plain, False))
+        if rest:
+            self._remember(rest, *self._encode_each(rest))
+
+    def _remember(self, pieces: list[str], flat: np.ndarray, lengths: np.ndarray) -> None:
         first, used = len(self.known), int(self.starts[len(self.known)])
         self.known.update(zip(pieces, range(first, first + len(pieces))))
         self.starts = self._longer(self.starts, len(self.known) + 1)
@@ -123,28 +171,34 @@ class Encoder:
     def _longer(x: np.ndarray, least: int) -> np.ndarray:
         return x if x.size >= least else np.concatenate([x, np.zeros(max(least, 2 * x.size) - x.size, x.dtype)])
 
-    @staticmethod
-    def _cut(text: str, odd_space: bool, odd_point: bool) -> list[str]:
-        if odd_space:
-            return [text]
-        text = text.replace("\n", "\x00\n\x00").replace(" ", "\x00 ")
-        if not odd_point:
-            text = text.replace(",", "\x00,").replace(".", "\x00.")
-        return text.split("\x00")
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """The number of every piece, in order, the distinct pieces, and each text's number of pieces."""
+        texts = pc.fill_null(texts, "").cast(pa.large_string())
+        if not self.cuts:
+            pieces = texts.dictionary_encode()
+            return np.asarray(pieces.indices), _strings(pieces.dictionary), np.ones(len(texts), np.int64)
+        odd_space, odd_point = (pc.match_substring_regex(texts, p) for p in (_ODD_SPACE, _ODD_POINT))
+        marked = pc.if_else(odd_space, "", texts)
+        for mark, cut in (("\n", "\x00\n\x00"), (" ", "\x00 ")):
+            marked = pc.replace_substring(marked, mark, cut)
+        points = pc.replace_substring(pc.replace_substring(marked, ",", "\x00,"), ".", "\x00.")
+        cut = pc.split_pattern(pc.if_else(odd_point, marked, points), "\x00")
+        counts = np.asarray(pc.list_value_length(cut)).astype(np.int64)
+        pieces = cut.flatten().dictionary_encode()
+        at, distinct = np.array(pieces.indices), _strings(pieces.dictionary)
+        if (whole := np.flatnonzero(odd_space)).size:  # one empty piece each so far
+            at[(np.cumsum(counts) - counts)[whole]] = np.arange(len(distinct), len(distinct) + whole.size)
+            distinct += _strings(texts.take(pa.array(whole)))
+        return at, distinct, counts
 
     def encode(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, and each text's number of ids; ``end`` is put after every text; null is empty."""
         if len(self.known) > self.memory:
             self._forget()
-        odd = (pc.match_substring_regex(texts, p).to_pylist() for p in (_ODD_SPACE, _ODD_POINT))
-        cut = [self._cut(t, *x) if t else [] for t, *x in zip(texts.to_pylist(), *odd)] if self.cuts else [[t] if t else [] for t in texts.to_pylist()]
-        counts = np.fromiter(map(len, cut), np.int64, len(cut))
-        pieces = list(chain.from_iterable(cut))
-        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
-        if (missing := np.flatnonzero(at < 0)).size:
-            new = [pieces[k] for k in missing.tolist()]
-            self._learn(list(dict.fromkeys(new)))
-            at[missing] = np.fromiter(map(self.known.__getitem__, new), np.int64, len(new))
+        which, pieces, counts = self._cut(texts)
+        if missing := [p for p in pieces if p not in self.known]:
+            self._learn(list(dict.fromkeys(missing)))
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))[which]
         starts = self.starts[at]
         lengths = self.starts[at + 1] - starts
         total = np.concatenate([[0], np.cumsum(lengths)])

@@ -176,3 +176,36 @@ def test_empty_tables(spark, tmp_path):
     grammar_output.write_shards(none, f"{tmp_path}/none")
     assert grammar_output.read_documents(spark, f"{tmp_path}/none").agg(F.count("*")).first()[0] == 0
     assert got(packing.pack(documents(spark, [(1, None, None, None, None)])).select("doc_id", "piece", "start", "length", "offset")) == [(1, 0, 0, 1, 0)]
+
+
+class CountedTokenizer:
+    """A tokenizer that counts the texts it encodes."""
+
+    def __init__(self, inner):
+        self.__dict__.update(inner=inner, texts=0)
+
+    def __getattr__(self, name):
+        return getattr(self.inner, name)
+
+    def __setattr__(self, name, value):
+        setattr(self.inner, name, value)
+
+    def encode_batch_fast(self, texts, **more):
+        self.__dict__["texts"] += len(texts)
+        return self.inner.encode_batch_fast(texts, **more)
+
+
+def test_new_pieces_are_encoded_in_few_texts(plain):
+    rng = np.random.default_rng(5)
+    make = lambda letters, n: ["".join(rng.choice(list(letters), rng.integers(1, 9))) for _ in range(n)]
+    words = make("abcdefghiéßŁ", 4000) + make("aé'1_漢я.,-ś", 2000) + ["'s", "it's", "<|endoftext|>", "﻿", "​", "\xad", ""]
+    texts = [" ".join(words), "\n".join(words[::-1])] + words
+    want = [plain(t) for t in texts]
+    coder = Encoder(default_tokenizer())
+    coder.tokenizer = CountedTokenizer(coder.tokenizer)
+    for other in (coder, Encoder(default_tokenizer())):
+        if other is not coder:
+            other.feed = 12345  # never found between the pieces: each is encoded by itself
+        ids, sizes = other.encode(pa.array(texts, pa.string()), 2)
+        assert sizes.tolist() == list(map(len, want)) and ids.tolist() == sum(want, [])
+    assert len(coder.known) > 5000 and coder.tokenizer.texts < 20
