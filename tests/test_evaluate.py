@@ -33,6 +33,12 @@ def test_report(spark):
     assert {r.k: r.recall for r in e.recall_at.collect()}[5] == 0.5
 
 
+def test_half_of_a_ratio_is_rounded_on_the_scaled_number(spark):
+    counts = spark.createDataFrame([(17, 783, 800), (139, 661, 800)], "tp long, fp long, pos long")
+    rows = counts.orderBy("tp").select(*[c.alias(n) for n, c in E.prf("tp", "fp", "pos").items()]).collect()
+    assert [(r.precision, r.recall) for r in rows] == [(0.0213, 0.0213), (0.1737, 0.1737)]
+
+
 def test_greedy_match_equals_the_loop(spark):
     rng = random.Random(11)
     span = lambda: (float(s := rng.randint(0, 200)), float(s + rng.randint(1, 40)))
