@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.registry import ORACLE, flat, query, r4
+from checks.registry import ORACLE, flat, query, r4, rounded4
 from checks.views import ADVANCED, ADVANCED_SCORES, with_views
 from clipsieve.config import SHORT_REPORT, ScoringConfig
 from clipsieve.functions import scalars as S
@@ -192,7 +192,7 @@ def _windows(spark, sf):
   FROM windows JOIN levels l USING (source) WHERE l.time BETWEEN "start" AND "end" GROUP BY source, "start" """)
 def points_in_window(spark, sf):
     pairs = I.points_in_windows(_windows(spark, sf), B.levels(B.events(spark, sf)), ["source"])
-    return pairs.groupBy("source", "start").agg(F.count("*").alias("n"), F.round(F.max("rms_db"), 4).alias("peak")).withColumn("start", F.round("start", 4))
+    return pairs.groupBy("source", "start").agg(F.count("*").alias("n"), rounded4(F.max("rms_db")).alias("peak")).withColumn("start", rounded4("start"))
 
 
 def _h(df):

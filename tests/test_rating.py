@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from checks.registry import r4
 from clipsieve import schemas
 from clipsieve.config import ScoringConfig
 from clipsieve.operators import ai, rating as R
@@ -40,6 +41,12 @@ def test_audio_spike_and_scene(spark):
     assert clip.signals["technical_score"] == 18.0 and clip.id == "clip_0001"
 
 
+def test_four_decimals_are_those_of_the_sql(spark):
+    times = [0.13015, 0.15435, 0.10994999999999999, 10.5, -3.0]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t double").orderBy("i").select(r4("t"))
+    assert [r.t for r in rows.collect()] == [0.1301, 0.1543, 0.11, 10.5, -3.0]
+
+
 def test_objects(spark):
     hits = spark.createDataFrame([("/m/a.mp4", 5.0, 8.0, "person", 0, 20, None)], schemas.OBJECT_HITS)
     clip = flows.rate(R.Signals(assets(spark), object_hits=hits), CFG).first()
