@@ -41,6 +41,11 @@ def test_audio_spike_and_scene(spark):
     assert clip.signals["technical_score"] == 18.0 and clip.id == "clip_0001"
 
 
+def test_half_of_a_level_goes_to_the_even_tenth(spark):
+    levels = spark.createDataFrame([("/m/a.mp4", 5.0, 25.15 - 40.0)], schemas.LEVELS)
+    assert flows.rate(R.Signals(assets(spark), levels=levels), CFG).first().reasons == ["audio peak -14.8 dB RMS"]
+
+
 def test_four_decimals_are_those_of_the_sql(spark):
     times = [0.13015, 0.15435, 0.10994999999999999, 10.5, -3.0]
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t double").orderBy("i").select(r4("t"))
